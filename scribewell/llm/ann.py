@@ -169,7 +169,8 @@ def search(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vec
             for t in range(tables):
                 cells, inside = hashes.cells(u, t, near)
                 for i in range(len(ids)):
-                    found = hashes.bucket(np.array(probes(cells[i], inside[i], float(spread[i]), per_table)).reshape(-1, projections))
+                    visited = probes(cells[i], inside[i], float(spread[i]), per_table)
+                    found = hashes.bucket(np.array(visited, np.int64).reshape(len(visited), projections))
                     buckets.append(found)
                     rows.append(np.full(len(found), i))
                     at.append(np.full(len(found), t))

@@ -90,7 +90,7 @@ WITH sizes AS (
   WINDOW before AS (ORDER BY 2.0 * s / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
     onward AS (ORDER BY 2.0 * s / w, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
 ), level AS (
-  SELECT coalesce(min(CASE WHEN (total - full_before) / w_onward * w <= 2.0 * s THEN (total - full_before) / w_onward END), 0) AS per FROM ranked
+  SELECT coalesce(arg_min((total - full_before) / w_onward, r) FILTER (WHERE (total - full_before) / w_onward * w <= 2.0 * s), 0) AS per FROM ranked
 ), budgets AS (
   SELECT source, s, least(2.0 * s, w * per)::DOUBLE AS target FROM weighed, level
 ), placed AS (

@@ -1,0 +1,242 @@
+"""Token counts, packing, secrets, language ID and HTML against brute force and on odd rows."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from scribewell.llm import html, langid, packing, queries, secrets, tokens
+from tests.oracle import SF_DIR, connect
+
+PATH = queries.tokenizer_path()
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(PATH)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return dict(connect().execute("SELECT doc_id, text FROM documents").fetchall())
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="aZé.,'!|1 \n\t \x1c日<>_-", max_size=30) | st.sampled_from(["<|endoftext|>", "don't we'll", "über, Straße.", "a b  c"]), max_size=6))
+def test_encoder_is_the_library(tokenizer, parts):
+    text = " ".join(parts)
+    ids = tokenizer.encode(text, add_special_tokens=False).ids
+    assert tokens.encoder(PATH).encode(pa.array([text]))[0].tolist() == ids
+    assert tokens.encoder(PATH).encode(pa.array([text, None, ""]), ids=False) == [len(ids), 0, 0]
+
+
+def test_long_texts_are_cut_at_safe_boundaries(tokenizer):
+    random.seed(3)
+    text = "".join(random.choices(["word ", "two  spaces", "\n", "é", "<|endoftext|>", "12", ", "], k=60_000))
+    assert len(list(tokens.parts(text))) > 2
+    assert "".join(tokens.parts(text)) == text
+    assert tokens.encoder(PATH).whole(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_token_counts_of_the_table(spark, tokenizer, texts):
+    got = {r["doc_id"]: r for r in queries.op5_token_counts(spark, SF_DIR).collect()}
+    assert got.keys() == texts.keys()
+    for i, t in texts.items():
+        n = len(tokenizer.encode(t or "", add_special_tokens=False).ids)
+        assert (got[i]["n_bytes"], got[i]["n_tokens"], got[i]["over_limit"]) == (len((t or "").encode()), n, n > 512)
+
+
+def test_token_counts_of_odd_rows(odd_documents, no_documents):
+    got = [tuple(r) for r in tokens.count_tokens(odd_documents, PATH).orderBy("doc_id").collect()]
+    assert len(got) == 11
+    assert got[0][0] is None and sum(r[0] == 2 for r in got) == 2
+    assert [r[1:] for r in got if r[0] in (3, 4)] == [(0, 0, False)] * 2
+    assert next(r for r in got if r[0] == 6)[3]
+    assert tokens.count_tokens(no_documents, PATH).count() == 0
+
+
+def packed(rows, capacity):
+    """Checks the places of pieces in their sequences; gives the number of sequences."""
+    by = defaultdict(list)
+    for r in rows:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in by.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(by)
+
+
+def test_packing_of_the_table(spark, tokenizer, texts):
+    rows = queries.op6_best_fit_packing(spark, SF_DIR).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r["doc_id"]].append(r)
+    assert by.keys() == texts.keys()
+    total = 0
+    for i, t in texts.items():
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        total += len(ids)
+        pieces = sorted(by[i], key=lambda r: r["piece"])
+        assert [r["piece"] for r in pieces] == list(range(-(-len(ids) // 2048)))
+        at = 0
+        for r in pieces:
+            assert r["start"] == at and r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids)
+        assert all(r["length"] == 2048 for r in pieces[1:])
+    assert packed(rows, 2048) <= -(-total // 2048) + 1
+
+
+def test_packing_of_odd_rows(odd_documents, no_documents):
+    rows = packing.pack_documents(odd_documents, PATH).collect()
+    assert sum(r["doc_id"] == 2 for r in rows) == 2 and sum(r["doc_id"] is None for r in rows) == 1
+    assert [r["length"] for r in rows if r["doc_id"] == 3] == [1]
+    packed(rows, 2048)
+    assert packing.pack_documents(no_documents, PATH).count() == 0
+
+
+@pytest.mark.parametrize("score", ["norm", "dot"])
+def test_best_fit_holds_every_capacity(score):
+    rng = np.random.default_rng(1)
+    lengths = rng.integers(1, 100, 500)
+    capacity = np.array([100.0, 3.0, 100.0**2 * 0.6 + 100**2 * 0.4])
+    bins, places = packing.best_fit(lengths, capacity, np.array([1.0, 0.5, 0.5]), score)
+    for b in set(bins.tolist()):
+        own = lengths[bins == b]
+        assert own.sum() <= 100 and len(own) <= 3 and (own**2).sum() <= capacity[2]
+        assert sorted(places[bins == b].tolist())[0] == 0
+    assert len(set(bins.tolist())) <= 1.3 * max(lengths.sum() / 100, len(lengths) / 3)
+
+
+def base(text):
+    """The contract's rules, read as they stand."""
+    rules = [
+        ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 12),
+        ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18),
+        ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 16),
+    ]
+    found = sorted((m.start(), k, m.end(), name) for k, (name, rule, ok) in enumerate(rules) for m in rule.finditer(text) if ok(m))
+    return [f"{name}:{a}:{b}" for a, _, b, name in found]
+
+
+def test_secrets_of_the_table(spark, texts):
+    rows = queries.op7_secret_scan(spark, SF_DIR).collect()
+    assert len(rows) == len(texts)
+    hits = 0
+    for r in rows:
+        want = base(texts[r["doc_id"]] or "")
+        hits += len(want)
+        assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert set(want) <= set(r["spans"].split(",")) | {""}
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(x.startswith(k) for x in want) for k in ("assign", "access", "hex")]
+    assert hits > 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["password", "API_KEY", "apikey", "ſecret", "toKen", "Token", ":", "=", " ", '"', "'", "abcdef123456", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "é", ".", "x"]), max_size=14))
+def test_base_spans(parts):
+    text = "".join(parts)
+    assert secrets.joined(secrets.base_spans(text)) == ",".join(base(text))
+
+
+def test_added_spans_and_masks():
+    text = "x -----BEGIN RSA PRIVATE KEY-----\nabc+/=\n-----END RSA PRIVATE KEY----- y password=abcdefabcdefabcdef z"
+    spans = secrets.joined(secrets.base_spans(text) + secrets.added_spans(text))
+    assert spans.split(",")[0].startswith("private_key:2:")
+    assert secrets.masked(text, spans, "#") == "x # y # z"
+
+
+def test_ledger_is_incremental(spark, odd_documents, no_documents):
+    ledger = secrets.new_ledger(spark)
+    first = secrets.scan_documents(odd_documents, ledger)
+    got = {r["doc_id"]: r for r in first.collect()}
+    assert first.count() == 11
+    assert (got[8]["n_assign"], got[8]["n_access"], got[8]["n_hex"]) == (1, 1, 2)
+    assert got[3]["spans"] == "" and got[3]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    n = secrets.read_ledger(spark, ledger).count()
+    assert n == 8  # distinct texts: three pairs are the same text or both empty
+    more = odd_documents.unionByName(odddoc(spark, odd_documents))
+    assert secrets.scan_documents(more, ledger).count() == 12
+    assert secrets.read_ledger(spark, ledger).count() == n + 1
+    assert secrets.scan_documents(no_documents, ledger).count() == 0
+
+
+def odddoc(spark, like):
+    return like.limit(1).withColumn("text", F.lit("a new version of a text")).withColumn("doc_id", F.lit(99).cast("long"))
+
+
+def test_languages_of_the_table(spark):
+    rows = queries.op3_language_id(spark, SF_DIR).collect()
+    lang = dict(connect().execute("SELECT doc_id, lang FROM documents").fetchall())
+    assert {r["doc_id"]: r["held_out"] for r in rows} == {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in lang}
+    held = [r for r in rows if r["held_out"]]
+    assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in held) / len(held) >= 0.95
+    assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_languages_of_odd_rows(spark, odd_documents, no_documents):
+    model = langid.fit(odd_documents)
+    rows = {r["doc_id"]: r for r in langid.identify(odd_documents, model).collect()}
+    for i in (3, 4, 5, 7):
+        assert (rows[i]["lang_pred"], rows[i]["score"], rows[i]["rejected"]) == ("und", 0.0, True)
+    assert rows[1]["lang_pred"] == "en"
+    nothing = langid.fit(no_documents)
+    assert nothing.content == {}
+    assert langid.identify(odd_documents, nothing).where("lang_pred <> 'und'").count() == 0
+    assert langid.identify(no_documents, model).count() == 0
+
+
+def test_narrow_margins_are_rejected():
+    same = b"abc def ghi"
+    assert langid.Classifier(langid.Dictionaries({"x": same, "y": same})).predict("abc def")[2]
+
+
+def test_pages_of_the_table(spark):
+    import html as entities
+
+    pages = dict(connect().execute("SELECT page_id, html FROM pages").fetchall())
+    for r in queries.op2_html_extraction(spark, SF_DIR).collect():
+        inner = re.search(r"(?s)<article>(.*?)</article>", pages[r["page_id"]])[1]
+        want = entities.unescape(re.sub(r"<[^>]*>", "", re.sub(r"</?(p|h1|br|li|ul)[^>]*>", " ", inner)))
+        assert r["text"] == " ".join(want.split()) and r["n_chars"] == len(r["text"])
+
+
+PAGE = """<html><head><title>T</title><script>if (a < b) "<p>no</p>"</script></head><body>
+<header><h1>Site</h1></header><div id="cookie-notice">We use cookies, yes.</div><ul class="menu"><li><a href=x>Home</a></ul>
+<div class="content"><h1>Head</h1><p>A long paragraph of the article &amp; what goes on<b>e</b> in it for a while.</p><p>Short.</p>
+<div class="advert">Buy now, buy a lot of it, and buy it here.</div><p>Another paragraph with many words in it, so that it is long.</p><form><label>Mail</label><input></form></div>
+<aside><p>Popular posts that many readers have read here this week.</p></aside><section id="comments"><p>First! A long comment of a reader who liked the text a lot.</p></section><footer>&copy; us</footer></body></html>"""
+
+
+def test_pages_without_an_article_element():
+    assert html.main_text(PAGE) == "Head A long paragraph of the article & what goes one in it for a while. Short. Another paragraph with many words in it, so that it is long."
+
+
+@pytest.mark.parametrize(("page", "text"), [(None, ""), ("", ""), ("<div>", ""), ("plain", "plain"), ("<p>a<p>b", "a b"), ("<article><header><h1>T</h1></header><p>a &lt;b&gt; c<footer>f</footer></article>", "T a <b> c"), ("<nav>only</nav>", ""), ("<p>a < b & c", "a < b & c")])
+def test_odd_pages(page, text):
+    assert html.main_text(page) == text
+
+
+def test_page_rows(spark):
+    df = spark.createDataFrame([(1, "u", "<p>a</p>", "x"), (1, "u", "<p>a</p>", "x"), (None, None, None, None)], "page_id long, url string, html string, text string")
+    assert sorted(map(tuple, html.extract(df).collect()), key=str) == [(1, "u", "a", 1), (1, "u", "a", 1), (None, None, "", 0)]
+    assert html.extract(df.limit(0)).count() == 0
+
+
+def test_smoothing_and_clusters():
+    ratios = np.array([0, 0, 0, 40, 0, 50, 60, 0, 0, 0, 0, 0], float)
+    assert html.clusters(ratios) == [(3, 8)]
+    assert abs(html.smoothed(np.ones(9))[4] - 1) < 1e-12
