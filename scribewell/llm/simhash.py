@@ -27,32 +27,37 @@ NODE_MOST = 20_000
 NODE_BITS = 12
 
 
-def fingerprint(text: bytes, words: int = 3) -> int:
-    """SimHash of UTF-8 ``text``: XXH64 of each shingle of lower-cased (A-Z) words, repeats included.
-
-    A bit is 1 if it is set in over half of the hashes; no words: 0.
-    """
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """XXH64 of each shingle of lower-cased (A-Z) words of UTF-8 ``text``, repeats included; fewer words are one shingle, no words none."""
     import xxhash
 
     split = text.lower().split()  # on bytes: A-Z only, and ASCII white space only
     n = len(split)
     if not n:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(split)
     digest = xxhash.xxh64_intdigest
     if n < words:
-        hashes = np.array([digest(joined, SEED)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, split), np.int64, n) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        spans = zip(starts[: n - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)
-        hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, n - words + 1)
+        return np.array([digest(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, split), np.int64, n) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    spans = zip(starts[: n - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, n - words + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint: a bit is 1 if it is set in over half of the hashes; none: 0."""
     total = np.zeros(BITS, np.int64)
     for a in range(0, len(hashes), 65_536):
         total += np.unpackbits(hashes[a : a + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, words: int = 3) -> int:
+    """SimHash of UTF-8 ``text``."""
+    return majority(shingle_hashes(text, words))
+
+
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
     """``key`` and fp, the fingerprint as a signed long, of every row (null text: 0)."""
 
@@ -231,10 +236,131 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     return out.select(F.col("key").alias(key), "fp", "component_id")
 
 
-def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, budget: int = 2) -> DataFrame:
-    """``df`` with the row of the least key of each near-duplicate group; of repeated rows with that key one stays. Rows with null keys stay."""
+# --- near copies by similarity: the same trie join, in groups that share an anchor
+
+#: Minima of the shingles' hashes under so many permutations: a sketch by which a link is held to its similarity,
+#: and anchors, each of two of them (four where very many texts share it).
+MINIMA, ANCHORS = 128, 8
+#: An anchor with more distinct texts takes all four of its minima.
+ANCHOR_MOST = 4096
+#: A run of more texts than this is gone through in parts, each together with the first text of each group so far.
+RUN_MOST = 1024
+_MULTIPLIERS = np.random.default_rng(SEED).integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def minima(hashes: np.ndarray) -> np.ndarray:
+    least = np.full(MINIMA, np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(hashes), 2048):
+        mixed = hashes[a : a + 2048]
+        mixed = mixed ^ (mixed >> np.uint64(29))
+        np.minimum(least, (mixed[:, None] * _MULTIPLIERS[None]).min(axis=0), out=least)
+    return least
+
+
+def sketches(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """key, fp, anchors and deep (arrays of ANCHORS longs), sketch (MINIMA bytes) of every row."""
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            column = batch.column("text").cast(pa.binary())
+            hashes = [shingle_hashes(x.as_py() if x.is_valid else b"", words) for x in column]
+            fp = np.array([majority(h) for h in hashes], np.uint64)
+            m = np.stack([minima(h) for h in hashes])
+            at = m[:, : 4 * ANCHORS].reshape(-1, ANCHORS, 4)
+            odd = np.uint64(0x9E3779B97F4A7C15)
+            turn = np.arange(ANCHORS, dtype=np.uint64)[None] * odd
+            anchors = (at[:, :, 0] * odd ^ (at[:, :, 1] >> np.uint64(7))) + turn
+            deep = (anchors * odd ^ (at[:, :, 2] >> np.uint64(5))) * odd ^ (at[:, :, 3] >> np.uint64(9))
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.view(np.int64).ravel()), ANCHORS).cast(pa.list_(pa.int64())) for x in (anchors, deep)]
+            sketch = pa.array([x.tobytes() for x in (m >> np.uint64(40)).astype(np.uint8)], pa.binary())
+            return pa.RecordBatch.from_arrays([batch.column("key"), pa.array(fp.view(np.int64)), *lists, sketch], ["key", "fp", "anchors", "deep", "sketch"])
+
+        return each
+
+    kind = df.schema[key].dataType.simpleString()
+    return map_batches(df.select(F.col(key).alias("key"), F.col(text).alias("text")), make, f"key {kind}, fp long, anchors array<long>, deep array<long>, sketch binary")
+
+
+def linked(fp: np.ndarray, sketch: np.ndarray, cuts: np.ndarray, budget: int, agree: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of links in each of the runs that end at ``cuts``: within the Hamming budget, and by the sketches similar."""
+    run = np.repeat(np.arange(len(cuts)), np.diff(cuts, prepend=0))
+    order = np.lexsort((fp, run))
+    f, r = fp[order], run[order]
+    same = np.concatenate([[False], (f[1:] == f[:-1]) & (r[1:] == r[:-1])])
+    first = np.nonzero(~same)[0]
+    i, j = trie_pairs(f[first], budget, np.cumsum(np.bincount(r[first], minlength=len(cuts))))
+    twins = np.nonzero(same)[0]
+    i, j = np.concatenate([first[i], twins - 1]), np.concatenate([first[j], twins])
+    i, j = order[i], order[j]
+    near = np.concatenate([(sketch[i[a : a + 65_536]] == sketch[j[a : a + 65_536]]).mean(axis=1) >= agree for a in range(0, len(i), 65_536)]) if len(i) else np.zeros(0, bool)
+    return i[near], j[near]
+
+
+def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(a, b): links between keys of texts whose shingles of ``words`` words have about this Jaccard similarity or more.
+
+    Fingerprints of texts of that similarity differ in more bits than blocks of bits could find, so texts are dealt
+    to tasks by anchors (minima of their shingles' hashes) and the trie join runs in each group with the error budget that
+    the similarity asks for; sketches then hold each pair to the similarity. Of equal texts the least key takes part, and the others are linked with it.
+    """
+    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    budget = int(BITS * angle + 2.2 * np.sqrt(BITS * angle * (1 - angle)))
+    agree = similarity - 0.06
+    rows = written(sketches(df.where(F.col(key).isNotNull()), key, text, words), "sketches").withColumn("class", F.xxhash64("fp", "sketch"))
+    classes = written(rows.groupBy("class").agg(F.min(F.struct("key", "fp", "anchors", "deep", "sketch")).alias("t")).select("class", "t.*"), "classes")
+    each = classes.select("class", "fp", "sketch", F.posexplode("anchors").alias("pos", "anchor"), "deep").withColumn("deep", F.expr("deep[pos]"))
+    sizes = each.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    keyed = each.join(sizes, "anchor").withColumn("anchor", F.when(F.col("n") > ANCHOR_MOST, F.col("deep")).otherwise(F.col("anchor"))).select("anchor", "class", "fp", "sketch")
+    dealt = keyed.repartition("anchor").sortWithinPartitions("anchor", "class")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [batch.column("anchor").to_numpy(), batch.column("class").to_numpy(), batch.column("fp").to_numpy().view(np.uint64), np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, MINIMA)]
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            cuts = np.nonzero(now[0][1:] != now[0][:-1])[0] + 1
+            last = cuts[-1] if len(cuts) else 0
+            if last:
+                yield from links_of([x[:last] for x in now], cuts)
+            held = [x[last:] for x in now]
+            if len(held[0]) > RUN_MOST:  # a long run: links so far, and of each group found the first text goes on
+                roots, out = links_and_roots(held, np.array([len(held[0])]))
+                yield from out
+                held = [x[roots[-RUN_MOST:]] for x in held]
+        if held is not None:
+            yield from links_of(held, np.array([len(held[0])]))
+
+    def links_and_roots(now: list[np.ndarray], cuts: np.ndarray) -> tuple[np.ndarray, list[pa.RecordBatch]]:
+        i, j = linked(now[2], now[3], cuts, budget, agree)
+        root = spanning(len(now[0]), i, j)
+        child = np.nonzero(root != np.arange(len(root)))[0]
+        out = [pa.RecordBatch.from_arrays([pa.array(now[1][root[child]]), pa.array(now[1][child])], ["a", "b"])] if len(child) else []
+        return np.nonzero(root == np.arange(len(root)))[0], out
+
+    def links_of(now: list[np.ndarray], cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield from links_and_roots(now, cuts)[1]
+
+    found = written(dealt.mapInArrow(run, "a long, b long").distinct(), "copies")
+    least = classes.select("class", F.col("key").alias("least"))
+    between = found.join(least.select(F.col("class").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("class").alias("b"), F.col("least").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    hot = hot_keys(rows.groupBy("class").agg(F.count("*").alias("n")), "class", "n", rows.count())
+    equal = salted_join(rows.select("class", "key"), least, "class", hot, "key").where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"))
+    return between.unionByName(equal)
+
+
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, budget: int = 2, similar: tuple[int, float] | None = None) -> DataFrame:
+    """``df`` with the row of the least key of each near-duplicate group; of repeated rows with that key one stays. Rows with null keys stay.
+
+    With ``similar`` (words, similarity) groups are linked by :func:`near_copies` too.
+    """
     groups = near_duplicates(df.select(key, text), key, text, words, budget)
-    gone = written(groups.where(F.col(key) != F.col("component_id")).select(key).distinct(), "gone")
+    gone = groups.where(F.col(key) != F.col("component_id")).select(F.col("component_id").alias("a"), F.col(key).alias("b"))
+    if similar:
+        gone = components(gone.unionByName(near_copies(df, key, text, *similar)))
+    gone = written(gone.select(F.col("b").alias(key)).distinct(), "gone")
     kept = df.join(checked(gone), key, "left_anti")
     repeated = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__sw_n")).where("__sw_n > 1").select(key)
     if repeated.isEmpty():

@@ -22,15 +22,15 @@ from .common import map_batches
 #: A single space between two characters that are no white space. Byte-level pre-tokenizers start a
 #: piece at such a space whatever stands before it, so the tokens of both sides don't depend on each other.
 SAFE = re.compile(r" (?=\S)(?<=\S )")
-#: Latin letters, and perhaps a stop after them.
-LATIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,]?)")
+#: Latin letters, and ASCII punctuation after them.
+LATIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]*)")
 #: Byte-level BPE writes each byte as a character: printable Latin-1 as itself, the others from U+0100 on.
 _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 BYTE_LEVEL = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 #: UTF-8 bytes in one call of the library.
 CALL_BYTES = 1 << 16
 #: A worker remembers words of up to so many characters, and so many of them.
-WORD_CHARS, REMEMBERED = 40, 500_000
+WORD_CHARS, REMEMBERED = 40, 800_000
 #: UTF-8 bytes of the texts whose words are handled together.
 GROUP_BYTES = 1 << 22
 
@@ -85,6 +85,7 @@ class TextEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[str, int] = {}
+        self.marks: dict[str, list[int]] = {}
         self.ids, self.ends = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
 
     def whole(self, text: str) -> np.ndarray:
@@ -94,21 +95,25 @@ class TextEncoder:
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words that follow a space each, and where each word's ids end.
 
-        Latin letters are one piece for the byte-level pre-tokenizer, and a full stop or comma after
+        Latin letters are one piece for the byte-level pre-tokenizer, and the punctuation after
         them is the next, so these go to the library's BPE model at once; the others go through all
         of the library, many to a call, where offsets tell whose the tokens are.
         """
         found: list = [None] * len(words)
         others = []
-        bpe, stops = self.tokenizer.model.tokenize, {x: self.tokenizer.token_to_id(x) for x in ("", ".", ",")}
+        bpe, marks = self.tokenizer.model.tokenize, self.marks
         for i, word in enumerate(words):
             if m := LATIN.fullmatch(word):
-                letters, stop = m.groups()
+                letters, mark = m.groups()
                 if not letters.isascii():
                     letters = letters.encode().decode("latin-1").translate(BYTE_LEVEL)
                 ids = [t.id for t in bpe("\u0120" + letters)]
-                if stop:
-                    ids.append(stops[stop])
+                if mark:
+                    if mark not in marks:
+                        if len(marks) > 4096:
+                            marks.clear()
+                        marks[mark] = [t.id for t in bpe(mark)]
+                    ids += marks[mark]
                 found[i] = ids
             else:
                 others.append(i)
