@@ -97,9 +97,9 @@ def update(df: DataFrame, ledger: str, text: str = "text") -> DataFrame:
     """Scans the blobs of ``df`` that the ledger at ``ledger`` doesn't have for these rules; returns what it then has, a row for each blob."""
     spark = df.sparkSession
     done = read_ledger(spark, ledger).where(F.col("rules") == RULES).select("sha")
-    # copies fall together in each task before anything is shuffled
+    # copies fall together in each task before anything is shuffled; an anti join would be pushed below that
     blobs = df.select(sha_of(text).alias("sha"), F.coalesce(F.col(text), F.lit("")).alias("text")).groupBy("sha").agg(F.first("text").alias("text"))
-    unseen = blobs.join(done.hint("merge"), "sha", "left_anti")
+    unseen = blobs.join(done.distinct().withColumn("seen", F.lit(True)).hint("merge"), "sha", "left").where(F.col("seen").isNull()).drop("seen")
     scan(unseen).write.mode("append").parquet(ledger)
     return read_ledger(spark, ledger).where(F.col("rules") == RULES).drop("rules").dropDuplicates(["sha"])
 
