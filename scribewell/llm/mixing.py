@@ -11,7 +11,7 @@ import math
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, written
@@ -41,6 +41,17 @@ def targets(sizes: list[int], weights: list[float], total: float, most: float =
     return out
 
 
+def size_of(text: str) -> Column:
+    """The number of words of a text; null has none."""
+    size = F.coalesce(F.size(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))), F.lit(0))
+    return F.when(F.col(text).isNull(), 0).otherwise(size).cast("long")
+
+
+def digest_of(key: Column, size: Column, seed: str) -> Column:
+    """The hash-random key by which the rows of a source are put in order; rows that tie have equal keys and sizes."""
+    return F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(key.cast("string"), F.lit("null")), size.cast("string")))
+
+
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = "mix") -> DataFrame:
     """``key``, source, size, source_size, target, taken of every row of ``df``.
 
@@ -51,9 +62,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     texts are taken with no words; further columns are not read; an empty table gives an empty one.
     """
     name = F.col(source).cast("string")
-    size = F.coalesce(F.size(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))), F.lit(0))
-    size = F.when(F.col(text).isNull(), 0).otherwise(size).cast("long")
-    rows = df.select(F.col(key).alias("key"), name.alias("source"), size.alias("size")).withColumn("digest", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("key").cast("string"), F.lit("null")), F.col("size").cast("string"))))
+    rows = df.select(F.col(key).alias("key"), name.alias("source"), size_of(text).alias("size")).withColumn("digest", digest_of(F.col("key"), F.col("size"), seed))
     rows = written(rows, "sizes")
     # one row for each source
     totals = sorted(rows.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
@@ -78,18 +87,28 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     return both.select(F.col("key").alias(key), F.col("source"), "size", "source_size", "target", (epochs * F.col("size") + cut).cast("long").alias("taken"))
 
 
-def take(df: DataFrame, mixed: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def take(df: DataFrame, mixed: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix") -> DataFrame:
     """The mixture's rows with the columns of ``df``: each row as often as ``mixed`` takes all of it, and cut where its budget ends.
 
-    Keys are unique in ``mixed``; rows that are not taken go. A row of no words stays once.
+    ``mixed`` is what :func:`mix` gives for ``df`` and ``seed``. A source's extra epoch ends at one digest, so a row's own digest tells how
+    often it is taken; only those digests, one row for each source, go to the rows, and no text is shuffled. Rows that are not
+    taken go. A row of no words stays once. Repeated rows in which a budget ends share what is left of it evenly, rounded down.
     """
-    plan = mixed.select(F.col(key).alias("__sw_key"), F.col("size").alias("__sw_size"), F.col("taken").alias("__sw_taken"))
-    both = df.join(plan, F.col(key).eqNullSafe(F.col("__sw_key"))).drop("__sw_key")
-    size, taken, copy = F.col("__sw_size"), F.col("__sw_taken"), F.col("__sw_copy")
-    times = F.when(size == 0, 1).otherwise(F.ceil(taken / size)).cast("int")
-    each = both.withColumn("__sw_copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))))
-    words = F.when(copy * size > taken, taken % size)
-    return cut_words(each.withColumn("__sw_words", words).select(*df.columns, "__sw_words"), text, "__sw_words")
+    size, epochs = F.col("size"), F.floor(F.floor(F.col("target") + F.lit(1e-6)) / F.col("source_size"))
+    each = mixed.where(size > 0).select(F.col(source).cast("string").alias("__sw_source"), digest_of(F.col(key), size, seed).alias("digest"), epochs.alias("__sw_epochs"), (F.col("taken") - epochs * size).alias("extra"))
+    ends = written(each.groupBy("__sw_source").agg(F.max("__sw_epochs").alias("__sw_epochs"), F.max(F.when(F.col("extra") > 0, F.col("digest"))).alias("__sw_end")), "ends")
+    at_end = each.drop("__sw_epochs").join(F.broadcast(ends.select(F.col("__sw_source").alias("s"), "__sw_end")), F.col("__sw_source").eqNullSafe(F.col("s")) & (F.col("digest") == F.col("__sw_end")))
+    shares = at_end.groupBy("s").agg(F.floor(F.avg("extra")).alias("__sw_share"))
+    plan = written(ends.join(F.broadcast(shares), F.col("__sw_source").eqNullSafe(F.col("s")), "left").drop("s"), "plan")
+    # words are counted once more: that is less than to shuffle the texts
+    counted = df.withColumn("__sw_size", size_of(text)).withColumn("__sw_digest", digest_of(F.col(key), F.col("__sw_size"), seed))
+    both = counted.join(F.broadcast(plan), F.col(source).cast("string").eqNullSafe(F.col("__sw_source")), "left")
+    end, full = F.col("__sw_end"), F.coalesce(F.col("__sw_epochs"), F.lit(0))
+    part = F.when(F.col("__sw_digest") == end, F.col("__sw_share"))
+    times = F.when(F.col("__sw_size") == 0, 1).otherwise(full + F.when(F.col("__sw_digest") < end, 1).when(part > 0, 1).otherwise(0)).cast("int")
+    copies = both.withColumn("__sw_copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))))
+    words = F.when((F.col("__sw_size") > 0) & (F.col("__sw_copy") > full) & (part < F.col("__sw_size")), part)
+    return cut_words(copies.withColumn("__sw_words", words).select(*df.columns, "__sw_words"), text, "__sw_words")
 
 
 def cut_words(df: DataFrame, text: str, words: str) -> DataFrame:
