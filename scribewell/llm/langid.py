@@ -34,7 +34,7 @@ def plain(text: str) -> str:
 
 @dataclass(frozen=True)
 class Dictionaries:
-    """For each language the content that its texts are encoded with."""
+    """For each language the content that its texts are encoded with; languages with more labelled texts come first."""
 
     content: dict[str, bytes]
 
@@ -61,7 +61,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int =
     distinct = near.groupBy("lang", "hash").agg(F.min("head").alias("head"))
     found = distinct.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.pmod("hash", F.lit(space)).alias("at"), "hash", "head"))), 1, rows).alias("sample"))
     content = {r["lang"]: " ".join(plain(x["head"]) for x in r["sample"]).encode() for r in found.collect()}
-    return Dictionaries(dict(sorted(content.items())))
+    return Dictionaries(dict(sorted(content.items(), key=lambda x: (-counts[x[0]], x[0]))))
 
 
 class Classifier:
@@ -77,7 +77,7 @@ class Classifier:
             self.compressors.append((lang, zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)))
 
     def sizes(self, text: str) -> list[tuple[int, str]]:
-        """The encoded size and the language, smallest first; ties in the order of languages."""
+        """The encoded size and the language, smallest first; ties to the language with more labelled texts."""
         total = [0] * len(self.compressors)
         for a in range(0, len(text), 1 << 20):
             data = plain(text[a : a + (1 << 20)]).encode()
@@ -85,7 +85,7 @@ class Classifier:
                 block = data[b : b + BLOCK]
                 for k, (_, c) in enumerate(self.compressors):
                     total[k] += len(c.compress(block))
-        return sorted((n, lang) for n, (lang, _) in zip(total, self.compressors, strict=True))
+        return sorted(((n, lang) for n, (lang, _) in zip(total, self.compressors, strict=True)), key=lambda x: x[0])
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score and whether it is rejected. The score is the share that the smallest size saves on the second, doubled, up to 1."""
