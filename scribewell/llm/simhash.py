@@ -243,8 +243,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
 MINIMA, ANCHORS = 128, 8
 #: An anchor with more distinct texts takes all four of its minima.
 ANCHOR_MOST = 4096
-#: A run of more texts than this is gone through in parts, each together with the first text of each group so far.
-RUN_MOST = 1024
+#: An anchor with more texts than this is dealt into runs of about so many; the first text of each group found goes on to the next turn.
+RUN_MOST, TURNS = 1024, 40
 _MULTIPLIERS = np.random.default_rng(SEED).integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -302,6 +302,8 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", words: i
     Fingerprints of texts of that similarity differ in more bits than blocks of bits could find, so texts are dealt
     to tasks by anchors (minima of their shingles' hashes) and the trie join runs in each group with the error budget that
     the similarity asks for; sketches then hold each pair to the similarity. Of equal texts the least key takes part, and the others are linked with it.
+    An anchor of very many texts is dealt into runs at random, whose groups go on as their first texts, turn by turn, until one run
+    holds them; so no task has a hot anchor whole, and its work grows with its texts and not with their pairs.
     """
     angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     budget = int(BITS * angle + 2.2 * np.sqrt(BITS * angle * (1 - angle)))
@@ -309,41 +311,59 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", words: i
     rows = written(sketches(df.where(F.col(key).isNotNull()), key, text, words), "sketches").withColumn("class", F.xxhash64("fp", "sketch"))
     classes = written(rows.groupBy("class").agg(F.min(F.struct("key", "fp", "anchors", "deep", "sketch")).alias("t")).select("class", "t.*"), "classes")
     each = classes.select("class", "fp", "sketch", F.posexplode("anchors").alias("pos", "anchor"), "deep").withColumn("deep", F.expr("deep[pos]"))
-    sizes = each.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    keyed = each.join(sizes, "anchor").withColumn("anchor", F.when(F.col("n") > ANCHOR_MOST, F.col("deep")).otherwise(F.col("anchor"))).select("anchor", "class", "fp", "sketch")
-    dealt = keyed.repartition("anchor").sortWithinPartitions("anchor", "class")
+
+    def crowded(frame: DataFrame, most: int) -> DataFrame:
+        """Anchors of over ``most`` rows, and into how many runs they are dealt."""
+        n = F.count("*")
+        return checked(written(frame.groupBy("anchor").agg(F.ceil(n / RUN_MOST).alias("ways"), n.alias("n")).where(F.col("n") > most).drop("n"), "crowded"))
+
+    keyed = each.join(crowded(each, ANCHOR_MOST), "anchor", "left").select(F.when(F.col("ways") > 0, F.col("deep")).otherwise(F.col("anchor")).alias("anchor"), "class", "fp", "sketch")
+
+    def links_of(now: list[np.ndarray], cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Links of each run with the first text of its group there; of a run that is one of several for its anchor, those first texts too."""
+        anchor, _, ways, texts, fp, sketch = now
+        i, j = linked(fp, sketch, cuts, budget, agree)
+        root = spanning(len(fp), i, j)
+        own = root == np.arange(len(root))
+        child, first = np.nonzero(~own)[0], np.nonzero(own & (ways > 1))[0]
+        for a, b, rows in ((texts[root[child]], texts[child], None), (texts[first], None, first)):
+            if n := len(a):
+                more = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.binary())] if rows is None else [pa.array(anchor[rows]), pa.array(fp[rows].view(np.int64)), pa.array([x.tobytes() for x in sketch[rows]], pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(n, pa.int64()) if b is None else pa.array(b), *more], ["a", "b", "anchor", "fp", "sketch"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [batch.column("anchor").to_numpy(), batch.column("class").to_numpy(), batch.column("fp").to_numpy().view(np.uint64), np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, MINIMA)]
+            now = [batch.column(c).to_numpy() for c in ("anchor", "salt", "ways", "class")]
+            now += [batch.column("fp").to_numpy().view(np.uint64), np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, MINIMA)]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-            cuts = np.nonzero(now[0][1:] != now[0][:-1])[0] + 1
+            cuts = np.nonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1]))[0] + 1
             last = cuts[-1] if len(cuts) else 0
             if last:
                 yield from links_of([x[:last] for x in now], cuts)
             held = [x[last:] for x in now]
-            if len(held[0]) > RUN_MOST:  # a long run: links so far, and of each group found the first text goes on
-                roots, out = links_and_roots(held, np.array([len(held[0])]))
-                yield from out
-                held = [x[roots[-RUN_MOST:]] for x in held]
         if held is not None:
             yield from links_of(held, np.array([len(held[0])]))
 
-    def links_and_roots(now: list[np.ndarray], cuts: np.ndarray) -> tuple[np.ndarray, list[pa.RecordBatch]]:
-        i, j = linked(now[2], now[3], cuts, budget, agree)
-        root = spanning(len(now[0]), i, j)
-        child = np.nonzero(root != np.arange(len(root)))[0]
-        out = [pa.RecordBatch.from_arrays([pa.array(now[1][root[child]]), pa.array(now[1][child])], ["a", "b"])] if len(child) else []
-        return np.nonzero(root == np.arange(len(root)))[0], out
-
-    def links_of(now: list[np.ndarray], cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        yield from links_and_roots(now, cuts)[1]
-
-    found = written(dealt.mapInArrow(run, "a long, b long").distinct(), "copies")
+    found = None
+    for turn in range(TURNS):
+        salt = F.pmod(F.xxhash64("class", F.lit(turn)), F.col("ways"))
+        dealt = keyed.join(crowded(keyed, RUN_MOST), "anchor", "left").withColumn("ways", F.coalesce("ways", F.lit(1))).withColumn("salt", salt).repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "class")
+        out = written(dealt.select("anchor", "salt", "ways", "class", "fp", "sketch").mapInArrow(run, "a long, b long, anchor long, fp long, sketch binary"), "copies")
+        pairs = out.where("b is not null").select("a", "b")
+        found = pairs if found is None else found.unionByName(pairs)
+        left = out.where("b is null").select("anchor", F.col("a").alias("class"), "fp", "sketch")
+        if left.isEmpty():
+            break
+        # copies of one text have become one by now; what is many still is of different texts, which further minima tell apart
+        at = 4 * ANCHORS + 1 + 2 * (turn - 1)
+        keyed = left if turn < 1 else left.withColumn("anchor", F.xxhash64("anchor", F.substring("sketch", at, 2)))
+    else:
+        raise RuntimeError(f"anchors didn't thin out in {TURNS} turns")
+    found = written(found.distinct(), "copies")
     least = classes.select("class", F.col("key").alias("least"))
     between = found.join(least.select(F.col("class").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("class").alias("b"), F.col("least").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     hot = hot_keys(rows.groupBy("class").agg(F.count("*").alias("n")), "class", "n", rows.count())
