@@ -35,7 +35,10 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function of one batch; ``make`` runs once in each task and holds its state."""
+    """``mapInArrow`` with a function of one batch; ``make`` runs once in each task and holds its state.
+
+    A worker gives the memory of its batches back after each task, as it stays for tasks of other stages.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
@@ -46,6 +49,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
                     yield out
                 else:
                     yield from out
+        pa.default_memory_pool().release_unused()
 
     small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

@@ -30,7 +30,7 @@ BYTE_LEVEL = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not
 #: UTF-8 bytes in one call of the library.
 CALL_BYTES = 1 << 16
 #: A worker remembers words of up to so many characters, and so many of them.
-WORD_CHARS, REMEMBERED = 40, 800_000
+WORD_CHARS, REMEMBERED = 40, 300_000
 #: UTF-8 bytes of the texts whose words are handled together.
 GROUP_BYTES = 1 << 22
 
