@@ -9,7 +9,7 @@ all that is below it. A block value that very many fingerprints share is dealt o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked, hot_keys, map_batches, salted_join, written
+from .common import checked, hot_keys, map_batches, salted_join, small_batches, written
 
 SEED = 42
 BITS = 64
@@ -239,12 +239,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
 # --- near copies by similarity: the same trie join, in groups that share an anchor
 
 #: Minima of the shingles' hashes under so many permutations: a sketch by which a link is held to its similarity,
-#: and anchors, each of two of them (four where very many texts share it).
+#: and anchors, each of two of them.
 MINIMA, ANCHORS = 128, 8
-#: An anchor with more distinct texts takes all four of its minima.
-ANCHOR_MOST = 4096
-#: An anchor with more texts than this is dealt into runs of about so many; the first text of each group found goes on to the next turn.
-RUN_MOST, TURNS = 1024, 40
+#: An anchor with more distinct texts than ANCHOR_MOST is dealt into runs of about RUN_MOST, any two of which meet in a task.
+ANCHOR_MOST, RUN_MOST = 4096, 1024
+#: In a run of more texts all pairs are compared at once, without a trie.
+DENSE_FROM = 256
 _MULTIPLIERS = np.random.default_rng(SEED).integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -258,7 +258,7 @@ def minima(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """key, fp, anchors and deep (arrays of ANCHORS longs), sketch (MINIMA bytes) of every row."""
+    """key, fp, anchors (ANCHORS longs), sketch (MINIMA bytes) of every row."""
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -270,20 +270,31 @@ def sketches(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
             odd = np.uint64(0x9E3779B97F4A7C15)
             turn = np.arange(ANCHORS, dtype=np.uint64)[None] * odd
             anchors = (at[:, :, 0] * odd ^ (at[:, :, 1] >> np.uint64(7))) + turn
-            deep = (anchors * odd ^ (at[:, :, 2] >> np.uint64(5))) * odd ^ (at[:, :, 3] >> np.uint64(9))
-            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.view(np.int64).ravel()), ANCHORS).cast(pa.list_(pa.int64())) for x in (anchors, deep)]
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(anchors.view(np.int64).ravel()), ANCHORS).cast(pa.list_(pa.int64()))
             sketch = pa.array([x.tobytes() for x in (m >> np.uint64(40)).astype(np.uint8)], pa.binary())
-            return pa.RecordBatch.from_arrays([batch.column("key"), pa.array(fp.view(np.int64)), *lists, sketch], ["key", "fp", "anchors", "deep", "sketch"])
+            return pa.RecordBatch.from_arrays([batch.column("key"), pa.array(fp.view(np.int64)), lists, sketch], ["key", "fp", "anchors", "sketch"])
 
         return each
 
     kind = df.schema[key].dataType.simpleString()
-    return map_batches(df.select(F.col(key).alias("key"), F.col(text).alias("text")), make, f"key {kind}, fp long, anchors array<long>, deep array<long>, sketch binary")
+    return map_batches(df.select(F.col(key).alias("key"), F.col(text).alias("text")), make, f"key {kind}, fp long, anchors array<long>, sketch binary")
 
 
 def linked(fp: np.ndarray, sketch: np.ndarray, cuts: np.ndarray, budget: int, agree: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of links in each of the runs that end at ``cuts``: within the Hamming budget, and by the sketches similar."""
-    run = np.repeat(np.arange(len(cuts)), np.diff(cuts, prepend=0))
+    """Positions of links in each of the runs that end at ``cuts``: within the Hamming budget, and by the sketches similar.
+
+    Of a run of over DENSE_FROM texts there is a link of each text with the first of its group.
+    """
+    starts = np.concatenate([[0], cuts[:-1]])
+    large = cuts - starts > DENSE_FROM
+    if large.any():
+        out = [tuple(a + x for x in _dense(fp[a:b], sketch[a:b], budget, agree)) for a, b in zip(starts[large].tolist(), cuts[large].tolist(), strict=True)]
+        if not large.all():
+            at = np.nonzero(np.repeat(~large, cuts - starts))[0]
+            out.append(tuple(at[x] for x in linked(fp[at], sketch[at], np.cumsum((cuts - starts)[~large]), budget, agree)))
+        i, j = (np.concatenate(x) for x in zip(*out, strict=True))
+        return i, j
+    run = np.repeat(np.arange(len(cuts)), cuts - starts)
     order = np.lexsort((fp, run))
     f, r = fp[order], run[order]
     same = np.concatenate([[False], (f[1:] == f[:-1]) & (r[1:] == r[:-1])])
@@ -296,74 +307,92 @@ def linked(fp: np.ndarray, sketch: np.ndarray, cuts: np.ndarray, budget: int, ag
     return i[near], j[near]
 
 
+def _dense(fp: np.ndarray, sketch: np.ndarray, budget: int, agree: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of one run, each text with the first of its group; pairs that are in one group already need no comparison."""
+    root = np.arange(len(fp))
+    for k in range(0, len(fp), 64):
+        i, j = np.nonzero(np.bitwise_count(fp[k : k + 64, None] ^ fp[None, k:]) <= budget)
+        i, j = i + k, j + k
+        apart = (i < j) & (root[i] != root[j])
+        i, j = i[apart], j[apart]
+        for a in range(0, len(i), 65_536):
+            x, y = i[a : a + 65_536], j[a : a + 65_536]
+            apart = root[x] != root[y]
+            x, y = x[apart], y[apart]
+            near = (sketch[x] == sketch[y]).mean(axis=1) >= agree
+            if near.any():
+                root = spanning(len(fp), np.concatenate([root, x[near]]), np.concatenate([np.arange(len(fp)), y[near]]))
+    child = np.nonzero(root != np.arange(len(fp)))[0]
+    return root[child], child
+
+
+def in_blocks(frame: DataFrame, group: str, ways: DataFrame) -> DataFrame:
+    """``frame`` with a column block: a ``group`` that has ``ways`` (over one) is dealt into so many runs, and each row is in the blocks of its run with every other run.
+
+    So any two rows of a group meet in a block, of about two runs' rows.
+    """
+    run = F.pmod(F.xxhash64("class", group), F.col("ways")).cast("int")
+    block = "transform(filter(sequence(0, ways - 1), k -> k <> run), k -> least(k, run) * cast(ways AS long) + greatest(k, run))"
+    dealt = frame.join(checked(ways), group, "left").withColumn("run", run)
+    return dealt.withColumn("block", F.explode(F.when(F.col("ways") > 1, F.expr(block)).otherwise(F.expr("array(0L)")))).drop("ways", "run")
+
+
+def by_block(df: DataFrame, group: str, columns: list[str], links_of: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """(a, b): what ``links_of`` gives for the rows of whole blocks of ``df``."""
+    dealt = df.select(group, "block", *columns).repartition(group, "block").sortWithinPartitions(group, "block", "class")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g, b = batch.column(group).to_numpy(), batch.column("block").to_numpy()
+            cuts = np.nonzero((g[1:] != g[:-1]) | (b[1:] != b[:-1]))[0] + 1
+            if held and last != (g[0], b[0]):
+                yield from links_of(pa.Table.from_batches(held))
+                held = []
+            if len(cuts):
+                yield from links_of(pa.Table.from_batches([*held, batch.slice(0, cuts[-1])]))
+                held = []
+            held.append(batch.slice(cuts[-1] if len(cuts) else 0))
+            last = g[-1], b[-1]
+        if held:
+            yield from links_of(pa.Table.from_batches(held))
+        pa.default_memory_pool().release_unused()
+
+    small_batches(df.sparkSession)
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(a, b): links between keys of texts whose shingles of ``words`` words have about this Jaccard similarity or more.
 
     Fingerprints of texts of that similarity differ in more bits than blocks of bits could find, so texts are dealt
-    to tasks by anchors (minima of their shingles' hashes) and the trie join runs in each group with the error budget that
+    to tasks by anchors (minima of their shingles' hashes) and joined in each group with the error budget that
     the similarity asks for; sketches then hold each pair to the similarity. Of equal texts the least key takes part, and the others are linked with it.
-    An anchor of very many texts is dealt into runs at random, whose groups go on as their first texts, turn by turn, until one run
-    holds them; so no task has a hot anchor whole, and its work grows with its texts and not with their pairs.
+    An anchor of very many texts is dealt into runs, and every two runs meet in a task, so that no pair is lost and no task has a hot anchor whole;
+    the comparisons grow with the square of its distinct texts.
     """
     angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     budget = int(BITS * angle + 2.2 * np.sqrt(BITS * angle * (1 - angle)))
     agree = similarity - 0.06
     rows = written(sketches(df.where(F.col(key).isNotNull()), key, text, words), "sketches").withColumn("class", F.xxhash64("fp", "sketch"))
-    classes = written(rows.groupBy("class").agg(F.min(F.struct("key", "fp", "anchors", "deep", "sketch")).alias("t")).select("class", "t.*"), "classes")
-    each = classes.select("class", "fp", "sketch", F.posexplode("anchors").alias("pos", "anchor"), "deep").withColumn("deep", F.expr("deep[pos]"))
-
-    def crowded(frame: DataFrame, most: int) -> DataFrame:
-        """Anchors of over ``most`` rows, and into how many runs they are dealt."""
-        n = F.count("*")
-        return checked(written(frame.groupBy("anchor").agg(F.ceil(n / RUN_MOST).alias("ways"), n.alias("n")).where(F.col("n") > most).drop("n"), "crowded"))
-
-    keyed = each.join(crowded(each, ANCHOR_MOST), "anchor", "left").select(F.when(F.col("ways") > 0, F.col("deep")).otherwise(F.col("anchor")).alias("anchor"), "class", "fp", "sketch")
-
-    def links_of(now: list[np.ndarray], cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Links of each run with the first text of its group there; of a run that is one of several for its anchor, those first texts too."""
-        anchor, _, ways, texts, fp, sketch = now
-        i, j = linked(fp, sketch, cuts, budget, agree)
-        root = spanning(len(fp), i, j)
-        own = root == np.arange(len(root))
-        child, first = np.nonzero(~own)[0], np.nonzero(own & (ways > 1))[0]
-        for a, b, rows in ((texts[root[child]], texts[child], None), (texts[first], None, first)):
-            if n := len(a):
-                more = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.binary())] if rows is None else [pa.array(anchor[rows]), pa.array(fp[rows].view(np.int64)), pa.array([x.tobytes() for x in sketch[rows]], pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(n, pa.int64()) if b is None else pa.array(b), *more], ["a", "b", "anchor", "fp", "sketch"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = [batch.column(c).to_numpy() for c in ("anchor", "salt", "ways", "class")]
-            now += [batch.column("fp").to_numpy().view(np.uint64), np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, MINIMA)]
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-            cuts = np.nonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1]))[0] + 1
-            last = cuts[-1] if len(cuts) else 0
-            if last:
-                yield from links_of([x[:last] for x in now], cuts)
-            held = [x[last:] for x in now]
-        if held is not None:
-            yield from links_of(held, np.array([len(held[0])]))
-
-    found = None
-    for turn in range(TURNS):
-        salt = F.pmod(F.xxhash64("class", F.lit(turn)), F.col("ways"))
-        dealt = keyed.join(crowded(keyed, RUN_MOST), "anchor", "left").withColumn("ways", F.coalesce("ways", F.lit(1))).withColumn("salt", salt).repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "class")
-        out = written(dealt.select("anchor", "salt", "ways", "class", "fp", "sketch").mapInArrow(run, "a long, b long, anchor long, fp long, sketch binary"), "copies")
-        pairs = out.where("b is not null").select("a", "b")
-        found = pairs if found is None else found.unionByName(pairs)
-        left = out.where("b is null").select("anchor", F.col("a").alias("class"), "fp", "sketch")
-        if left.isEmpty():
-            break
-        # copies of one text have become one by now; what is many still is of different texts, which further minima tell apart
-        at = 4 * ANCHORS + 1 + 2 * (turn - 1)
-        keyed = left if turn < 1 else left.withColumn("anchor", F.xxhash64("anchor", F.substring("sketch", at, 2)))
-    else:
-        raise RuntimeError(f"anchors didn't thin out in {TURNS} turns")
-    found = written(found.distinct(), "copies")
+    classes = written(rows.groupBy("class").agg(F.min(F.struct("key", "fp", "anchors", "sketch")).alias("t")).select("class", "t.*"), "classes")
+    each = classes.select("class", "fp", "sketch", F.explode("anchors").alias("anchor"))
+    crowded = written(each.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > ANCHOR_MOST).select("anchor", F.ceil(F.col("n") / RUN_MOST).cast("int").alias("ways")), "crowded")
+
+    def links_of(now: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Links of each block's texts with the first text of their group there."""
+        anchor, block, texts = (now.column(c).to_numpy() for c in ("anchor", "block", "class"))
+        fp, sketch = now.column("fp").to_numpy().view(np.uint64), np.frombuffer(b"".join(now.column("sketch").to_pylist()), np.uint8).reshape(-1, MINIMA)
+        cuts = np.append(np.nonzero((anchor[1:] != anchor[:-1]) | (block[1:] != block[:-1]))[0] + 1, len(fp))
+        root = spanning(len(fp), *linked(fp, sketch, cuts, budget, agree))
+        child = np.nonzero(root != np.arange(len(root)))[0]
+        if len(child):
+            yield pa.RecordBatch.from_arrays([pa.array(texts[root[child]]), pa.array(texts[child])], ["a", "b"])
+
+    found = written(by_block(in_blocks(each, "anchor", crowded), "anchor", ["class", "fp", "sketch"], links_of).distinct(), "copies")
     least = classes.select("class", F.col("key").alias("least"))
     between = found.join(least.select(F.col("class").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("class").alias("b"), F.col("least").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     hot = hot_keys(rows.groupBy("class").agg(F.count("*").alias("n")), "class", "n", rows.count())

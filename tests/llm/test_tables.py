@@ -267,6 +267,16 @@ def test_near_copies_are_linked_and_others_not(spark, monkeypatch, most, run):
     assert sum(i in roots for i in near) >= 0.97 * len(near)
 
 
+def test_every_two_texts_of_a_crowded_anchor_meet(spark):
+    each = spark.createDataFrame([(9, i) for i in range(50)] + [(8, i) for i in range(3)], "anchor long, class long")
+    blocks = defaultdict(set)
+    for r in simhash.in_blocks(each, "anchor", spark.createDataFrame([(9, 5)], "anchor long, ways int")).collect():
+        blocks[r["anchor"], r["block"]].add(r["class"])
+    assert max(map(len, blocks.values())) < 40
+    assert blocks[8, 0] == {0, 1, 2}
+    assert all(any({i, j} <= x for (anchor, _), x in blocks.items() if anchor == 9) for i in range(50) for j in range(i))
+
+
 def test_long_chains_are_one_component(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     assert {r["b"]: r["a"] for r in simhash.components(pairs).collect()} == {**{i: 0 for i in range(1, 61)}, 101: 100}
