@@ -3,7 +3,7 @@
 The standard library's parser reports tags and text as they come. Each block of a page is a line; its
 ratio is its characters of plain text to its tags, where text in links, and text in a part of the page whose element, role or
 class says that it is no content, counts for nothing. The ratios are smoothed, lines over a threshold form clusters,
-and the clusters select content regions: the innermost container around each cluster with most of the text.
+and the clusters select content regions: the articles that hold them and what they hold elsewhere, or else the innermost container around all.
 """
 
 from __future__ import annotations
@@ -161,23 +161,21 @@ def main_text(html: str | None) -> str:
     if not found:
         found = [(0, len(lines))] if plain.any() else []
     chains = [page.chain(x[3]) for x in lines]
-    inside: dict[int, float] = {}
-    for a, b in found:
-        for i in range(a, b):
-            for c in chains[i]:
-                inside[c] = inside.get(c, 0) + plain[i]
-    whole = inside.get(0, 0.0)
-    if not whole:
+    held = [i for a, b in found for i in range(a, b) if plain[i]]
+    if not held:
         return ""
-    # the innermost container that has most of the clusters' text; an article or main element is taken whole
-    marked = [c for c in inside if page.kinds[c] in ("article", "main")]
-    if marked and sum(inside[c] for c in marked if not any(p in marked for p in page.chain(c)[1:])) >= 0.3 * whole:
-        regions = {c for c in marked if inside[c] >= 0.05 * whole}
-        if any(page.kinds[c] == "article" for c in regions):
-            regions = {c for c in regions if page.kinds[c] == "article"}
+    # articles (main elements, if there are none) that hold a cluster's text are taken whole; text of clusters outside of them too, by its container
+    inside = {c for i in held for c in chains[i]}
+    kind = "article" if any(page.kinds[c] == "article" for c in inside) else "main"
+    regions = {c for c in inside if page.kinds[c] == kind}
+    loose = [i for i in held if regions.isdisjoint(chains[i])]
+    if not regions:
+        # no such element: the innermost container that has all of the clusters' text
+        regions = {next(c for c in chains[held[0]] if all(c in chains[i] for i in held))}
     else:
-        regions = {max((c for c in inside if inside[c] >= 0.8 * whole), key=lambda c: len(page.chain(c)))}
-    return " ".join(x[0] for x, chain in zip(lines, chains, strict=True) if not x[4] and not regions.isdisjoint(chain))
+        regions |= {chains[i][0] for i in loose if page.kinds[chains[i][0]] not in ("html", "body") and not any(c in chains[i][0:1] for r in regions for c in page.chain(r))}
+    taken = set(loose)
+    return " ".join(x[0] for i, (x, chain) in enumerate(zip(lines, chains, strict=True)) if not x[4] and (i in taken or not regions.isdisjoint(chain)))
 
 
 def extract(df: DataFrame, key: str = "page_id", html: str = "html", also: tuple[str, ...] = ("url",)) -> DataFrame:

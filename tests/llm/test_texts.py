@@ -225,6 +225,18 @@ def test_pages_without_an_article_element():
     assert html.main_text(PAGE) == "Head A long paragraph of the article & what goes one in it for a while. Short. Another paragraph with many words in it, so that it is long."
 
 
+LONG = "A paragraph with many words in it, so that it is long and surely text, number"
+
+
+def test_split_articles_are_whole():
+    says = lambda a, b: "".join(f"<p>{LONG} {k}.</p>" for k in range(a, b))
+    want = lambda n: " ".join(f"{LONG} {k}." for k in range(n))
+    assert html.main_text(f"<body><nav>x</nav><div class=content><div>{says(0, 17)}</div><div>{says(17, 20)}</div></div></body>") == want(20)
+    assert html.main_text("<body>" + "".join(f"<article>{says(k, k + 1)}</article>" for k in range(30)) + "</body>") == want(30)
+    assert html.main_text(f"<body><article>{says(0, 4)}</article><div>{says(4, 10)}</div></body>") == want(10)
+    assert html.main_text(f"<body><article>{says(0, 39)}</article><article>{says(39, 40)}</article></body>") == want(40)
+
+
 @pytest.mark.parametrize(("page", "text"), [(None, ""), ("", ""), ("<div>", ""), ("plain", "plain"), ("<p>a<p>b", "a b"), ("<article><header><h1>T</h1></header><p>a &lt;b&gt; c<footer>f</footer></article>", "T a <b> c"), ("<nav>only</nav>", ""), ("<p>a < b & c", "a < b & c")])
 def test_odd_pages(page, text):
     assert html.main_text(page) == text
