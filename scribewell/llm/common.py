@@ -11,27 +11,44 @@ from pyspark.sql import functions as F
 
 from scribewell.sources.scratch import shared_folder
 
-#: Rows of an Arrow batch that goes to Python; with texts of tens of kilobytes a batch stays at some tens of MB.
-BATCH_ROWS = 1024
+#: Rows and bytes of an Arrow batch that goes to Python; a text that is longer than that comes alone.
+BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 #: A key is hot from this share of all rows on, so that there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 1 / 400
 #: Ways that a hot key is dealt out.
 SALTS = 64
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends here, and lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = path or new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the rows of the Arrow batches that this session sends to Python."""
-    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes a written table that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Bounds the rows and bytes of the Arrow batches that this session sends to Python.
+
+    Plans read these settings when they run, which is after an operator has returned, so they stay; smaller ones are left alone.
+    """
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        name = f"spark.sql.execution.arrow.{name}"
+        # the default has a unit: "256MB"
+        now = spark.conf.get(name)
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:

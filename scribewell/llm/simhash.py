@@ -17,32 +17,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked, hot_keys, map_batches, salted_join, small_batches, written
+from .common import HOT_SHARE, checked, forget, hot_keys, map_batches, new_path, salted_join, small_batches, written
 
 SEED = 42
 BITS = 64
-#: A block value with more distinct fingerprints is dealt out over pairs of trie nodes.
-NODE_MOST = 20_000
+#: A block value with more distinct fingerprints, or with over HOT_SHARE of all and over NODE_LEAST, is dealt out over pairs of trie nodes.
+NODE_MOST, NODE_LEAST = 20_000, 64
 #: Trie levels by which it is dealt out: a fingerprint goes to 1 + 12 + 66 pairs of nodes at a budget of 2.
 NODE_BITS = 12
 
 
-def shingle_hashes(text: bytes, words: int) -> np.ndarray:
-    """XXH64 of each shingle of lower-cased (A-Z) words of UTF-8 ``text``, repeats included; fewer words are one shingle, no words none."""
+def shingle_hashes(text: bytes, *lengths: int) -> list[np.ndarray]:
+    """For each number of words the XXH64 of each shingle of lower-cased (A-Z) words of UTF-8 ``text``, repeats included; fewer words are one shingle, no words none."""
     import xxhash
 
     split = text.lower().split()  # on bytes: A-Z only, and ASCII white space only
     n = len(split)
     if not n:
-        return np.zeros(0, np.uint64)
+        return [np.zeros(0, np.uint64) for _ in lengths]
     joined = b" ".join(split)
     digest = xxhash.xxh64_intdigest
-    if n < words:
-        return np.array([digest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, split), np.int64, n) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    spans = zip(starts[: n - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)
-    return np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, n - words + 1)
+    starts = np.concatenate([[0], ends[:-1] + 1]).tolist()
+    ends = ends.tolist()
+    out = []
+    for words in lengths:
+        if n < words:
+            out.append(np.array([digest(joined, SEED)], np.uint64))
+        else:
+            spans = zip(starts[: n - words + 1], ends[words - 1 :], strict=True)
+            out.append(np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, n - words + 1))
+    return out
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -55,7 +60,7 @@ def majority(hashes: np.ndarray) -> int:
 
 def fingerprint(text: bytes, words: int = 3) -> int:
     """SimHash of UTF-8 ``text``."""
-    return majority(shingle_hashes(text, words))
+    return majority(shingle_hashes(text, words)[0])
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
@@ -146,8 +151,10 @@ def links(distinct: DataFrame, budget: int) -> DataFrame:
     # the trie levels below a shared block value: the next NODE_BITS bits above the block, around the word's end
     node = F.expr("CASE block " + " ".join(f"WHEN {k} THEN shiftrightunsigned(fp, {edges[(k + 1) % blocks]}) & {(1 << NODE_BITS) - 1}L" for k in range(blocks)) + " END")
     flips = [0, *[sum(1 << b for b in c) for r in range(1, budget + 1) for c in combinations(range(NODE_BITS), r)]] if budget <= 3 else None
-    sizes = keyed.groupBy("block", "value").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    keyed = keyed.join(sizes, ["block", "value"]).withColumn("node", F.when(F.col("n") > NODE_MOST, node))
+    total = distinct.count()
+    most = max(NODE_LEAST, min(NODE_MOST, int(total * HOT_SHARE)))
+    crowded = written(keyed.groupBy("block", "value").agg(F.count("*").alias("n")).where(F.col("n") > most).select("block", "value", F.lit(True).alias("hot")), "crowded")
+    keyed = keyed.join(checked(crowded), ["block", "value"], "left").withColumn("node", F.when(F.col("hot"), node))
     if flips:
         other = F.explode(F.when(F.col("node").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.array(*[F.lit(x).cast("long") for x in flips])))
         keyed = keyed.withColumn("flip", other)
@@ -197,26 +204,41 @@ def components(pairs: DataFrame, rounds: int = 40) -> DataFrame:
     """(b, a): every vertex of the links ``pairs`` (a, b) but the least of each component, with that least vertex.
 
     Large-star and small-star steps in turn, each a shuffle of the links, until nothing changes; links
-    are written to the shared folder in each round. Hot vertices are pre-aggregated to their least neighbour first.
+    are written to the shared folder in each round, and those of the round before deleted. A vertex's least neighbour and its number of links
+    come from an aggregate that combines in each task; the joins back to the links are salted for vertices of many links.
+    Links of a vertex with itself and with null tell nothing; no links give an empty table.
     """
-    now = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "links")
+    spark, base = pairs.sparkSession, new_path(pairs.sparkSession, "links")
+    now = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "links", f"{base}/0")
+    n = now.count()
     before = None
-    for _ in range(rounds):
+    for turn in range(1, rounds + 1):
+        at = f"{base}/{turn}"
         both = now.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(now.select(F.col("b").alias("v"), F.col("a").alias("u")))
         # large star: greater neighbours of a vertex are linked with its least neighbour
-        least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = both.where("u > v").join(least, "v").select(F.col("m").alias("a"), F.col("u").alias("b")).where("a < b").distinct()
+        least = written(both.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n")).select("v", F.least("v", "m").alias("m"), "n"), "least", f"{at}-least")
+        large = salted_join(both.where("u > v"), least.select("v", "m"), "v", hot_keys(least, "v", "n", 2 * n), "u")
+        large = written(large.select(F.col("m").alias("a"), F.col("u").alias("b")).where("a < b").distinct(), "large", f"{at}-large")
         # small star: a vertex and its smaller neighbours are linked with the least of them
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(low, "b")
-        new = written(small.select(F.col("m").alias("a"), "b").unionByName(small.select(F.col("m").alias("a"), F.col("a").alias("b"))).where("a < b").distinct(), "links")
-        sign = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if sign == before:
+        low = written(large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n")), "low", f"{at}-low")
+        small = salted_join(large, low.select("b", "m"), "b", hot_keys(low, "b", "n", n), "a")
+        new = small.select(F.col("m").alias("a"), "b").unionByName(small.select(F.col("m").alias("a"), F.col("a").alias("b"))).where("a < b").distinct()
+        new = written(new, "links", at)
+        n, total = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        for path in (f"{at}-least", f"{at}-large", f"{at}-low", f"{base}/{turn - 1}"):
+            forget(spark, path)
+        if (n, total) == before:
             return new.select("b", "a")
-        now, before = new, sign
+        now, before = new, (n, total)
     raise RuntimeError(f"links didn't settle in {rounds} rounds")
 
 
+def roots_of(distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """``distinct`` (one row for each fp) with root, the least fp that ``edges`` reach."""
+    roots = components(edges).select(F.col("b").alias("fp"), F.col("a").alias("root"))
+    return distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, budget: int = 2) -> DataFrame:
     """``key``, fp and component_id (the least key that links reach) of every row of ``df``.
 
@@ -226,9 +248,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     """
     rows = written(fingerprints(df, key, text, words), "fingerprints")
     classes = written(rows.groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("n")), "classes")
-    found = written(links(classes.select("fp"), budget), "pairs")
-    roots = components(found).select(F.col("b").alias("fp"), F.col("a").alias("root"))
-    rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = written(roots_of(classes, links(classes.select("fp"), budget)), "rooted")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = rooted.join(ids, "root").select("fp", "component_id")
     hot = hot_keys(classes, "fp", "n", rows.count())
@@ -236,15 +256,17 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     return out.select(F.col("key").alias(key), "fp", "component_id")
 
 
-# --- near copies by similarity: the same trie join, in groups that share an anchor
+# --- near copies by similarity: the same trie join in groups that share an anchor, and each link held to its exact similarity
 
-#: Minima of the shingles' hashes under so many permutations: a sketch by which a link is held to its similarity,
+#: Minima of the shingles' hashes under so many permutations: a sketch by which pairs become candidates,
 #: and anchors, each of two of them.
 MINIMA, ANCHORS = 128, 8
+#: Standard deviations by which a pair at the similarity may miss in its sketch, or in its fingerprints' bits.
+SLACK = 3.0
 #: An anchor with more distinct texts than ANCHOR_MOST is dealt into runs of about RUN_MOST, any two of which meet in a task.
 ANCHOR_MOST, RUN_MOST = 4096, 1024
-#: In a run of more texts all pairs are compared at once, without a trie.
-DENSE_FROM = 256
+#: In a run of more texts all pairs are compared at once, without a trie, and those of higher estimates first.
+DENSE_FROM, DENSE_STEPS = 256, (0.95, 0.88)
 _MULTIPLIERS = np.random.default_rng(SEED).integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -257,73 +279,122 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return least
 
 
-def sketches(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """key, fp, anchors (ANCHORS longs), sketch (MINIMA bytes) of every row."""
+def profiles(df: DataFrame, key: str, text: str, words: int, similar_words: int) -> DataFrame:
+    """key, version (the hash of the text), fp (of ``words``), class, code (the fingerprint of ``similar_words``), anchors (ANCHORS longs), sketch (MINIMA bytes) of every row.
+
+    One pass over the texts makes all of these. Texts of equal code and sketch are of one class.
+    """
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             column = batch.column("text").cast(pa.binary())
-            hashes = [shingle_hashes(x.as_py() if x.is_valid else b"", words) for x in column]
-            fp = np.array([majority(h) for h in hashes], np.uint64)
-            m = np.stack([minima(h) for h in hashes])
+            fps, codes, least = [], [], []
+            for x in column:
+                short, long = shingle_hashes(x.as_py() if x.is_valid else b"", words, similar_words)
+                fps.append(majority(short))
+                codes.append(majority(long))
+                least.append(minima(long))
+            m = np.stack(least)
             at = m[:, : 4 * ANCHORS].reshape(-1, ANCHORS, 4)
             odd = np.uint64(0x9E3779B97F4A7C15)
             turn = np.arange(ANCHORS, dtype=np.uint64)[None] * odd
             anchors = (at[:, :, 0] * odd ^ (at[:, :, 1] >> np.uint64(7))) + turn
             lists = pa.FixedSizeListArray.from_arrays(pa.array(anchors.view(np.int64).ravel()), ANCHORS).cast(pa.list_(pa.int64()))
             sketch = pa.array([x.tobytes() for x in (m >> np.uint64(40)).astype(np.uint8)], pa.binary())
-            return pa.RecordBatch.from_arrays([batch.column("key"), pa.array(fp.view(np.int64)), lists, sketch], ["key", "fp", "anchors", "sketch"])
+            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, codes)]
+            return pa.RecordBatch.from_arrays([batch.column("key"), batch.column("version"), *longs, lists, sketch], ["key", "version", "fp", "code", "anchors", "sketch"])
 
         return each
 
     kind = df.schema[key].dataType.simpleString()
-    return map_batches(df.select(F.col(key).alias("key"), F.col(text).alias("text")), make, f"key {kind}, fp long, anchors array<long>, sketch binary")
-
+    rows = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("version"), F.col(text).alias("text"))
+    return map_batches(rows, make, f"key {kind}, version long, fp long, code long, anchors array<long>, sketch binary").withColumn("class", F.xxhash64("code", "sketch"))
 
-def linked(fp: np.ndarray, sketch: np.ndarray, cuts: np.ndarray, budget: int, agree: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of links in each of the runs that end at ``cuts``: within the Hamming budget, and by the sketches similar.
 
-    Of a run of over DENSE_FROM texts there is a link of each text with the first of its group.
-    """
-    starts = np.concatenate([[0], cuts[:-1]])
-    large = cuts - starts > DENSE_FROM
-    if large.any():
-        out = [tuple(a + x for x in _dense(fp[a:b], sketch[a:b], budget, agree)) for a, b in zip(starts[large].tolist(), cuts[large].tolist(), strict=True)]
-        if not large.all():
-            at = np.nonzero(np.repeat(~large, cuts - starts))[0]
-            out.append(tuple(at[x] for x in linked(fp[at], sketch[at], np.cumsum((cuts - starts)[~large]), budget, agree)))
-        i, j = (np.concatenate(x) for x in zip(*out, strict=True))
-        return i, j
-    run = np.repeat(np.arange(len(cuts)), cuts - starts)
-    order = np.lexsort((fp, run))
-    f, r = fp[order], run[order]
-    same = np.concatenate([[False], (f[1:] == f[:-1]) & (r[1:] == r[:-1])])
-    first = np.nonzero(~same)[0]
-    i, j = trie_pairs(f[first], budget, np.cumsum(np.bincount(r[first], minlength=len(cuts))))
-    twins = np.nonzero(same)[0]
-    i, j = np.concatenate([first[i], twins - 1]), np.concatenate([first[j], twins])
-    i, j = order[i], order[j]
-    near = np.concatenate([(sketch[i[a : a + 65_536]] == sketch[j[a : a + 65_536]]).mean(axis=1) >= agree for a in range(0, len(i), 65_536)]) if len(i) else np.zeros(0, bool)
-    return i[near], j[near]
-
-
-def _dense(fp: np.ndarray, sketch: np.ndarray, budget: int, agree: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one run, each text with the first of its group; pairs that are in one group already need no comparison."""
-    root = np.arange(len(fp))
-    for k in range(0, len(fp), 64):
-        i, j = np.nonzero(np.bitwise_count(fp[k : k + 64, None] ^ fp[None, k:]) <= budget)
-        i, j = i + k, j + k
-        apart = (i < j) & (root[i] != root[j])
-        i, j = i[apart], j[apart]
-        for a in range(0, len(i), 65_536):
-            x, y = i[a : a + 65_536], j[a : a + 65_536]
-            apart = root[x] != root[y]
-            x, y = x[apart], y[apart]
-            near = (sketch[x] == sketch[y]).mean(axis=1) >= agree
-            if near.any():
-                root = spanning(len(fp), np.concatenate([root, x[near]]), np.concatenate([np.arange(len(fp)), y[near]]))
-    child = np.nonzero(root != np.arange(len(fp)))[0]
-    return root[child], child
+def forest(n: int, i: np.ndarray, j: np.ndarray, weight: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges (their positions) of a spanning forest of the ``n`` components ``root`` that has the heaviest edges, and the components then."""
+    rank = np.empty(len(i), np.int64)
+    rank[np.lexsort((j, i, weight))] = np.arange(len(i))
+    open_, taken = np.arange(len(i)), []
+    while True:
+        a, b = root[i[open_]], root[j[open_]]
+        apart = a != b
+        open_, a, b = open_[apart], a[apart], b[apart]
+        if not len(open_):
+            return (np.unique(np.concatenate(taken)) if taken else np.zeros(0, np.int64)), root
+        best = np.full(n, -1, np.int64)
+        np.maximum.at(best, a, rank[open_])
+        np.maximum.at(best, b, rank[open_])
+        chosen = open_[(rank[open_] == best[a]) | (rank[open_] == best[b])]
+        taken.append(chosen)
+        root = spanning(n, np.concatenate([np.arange(n), i[chosen]]), np.concatenate([root, j[chosen]]))
+
+
+class Texts:
+    """The distinct texts of some runs, one after the other, that end at ``cuts``; pairs of a run become candidates by code and sketch."""
+
+    def __init__(self, code: np.ndarray, sketch: np.ndarray, cuts: np.ndarray, budget: int, agree: float):
+        self.code, self.sketch, self.budget, self.agree = code, sketch, budget, agree
+        starts = np.concatenate([[0], cuts[:-1]])
+        large = cuts - starts > DENSE_FROM
+        self.dense = list(zip(starts[large].tolist(), cuts[large].tolist(), strict=True))
+        self.small = self.by_trie(np.nonzero(np.repeat(~large, cuts - starts))[0], np.repeat(np.arange(len(cuts)), cuts - starts))
+
+    def estimates(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        parts = [(self.sketch[i[a : a + 65_536]] == self.sketch[j[a : a + 65_536]]).mean(axis=1) for a in range(0, len(i), 65_536)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def by_trie(self, at: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All candidates in small runs: codes within the budget by the trie, texts of equal codes as well, and then by sketches."""
+        order = at[np.lexsort((self.code[at], run[at]))]
+        f, r = self.code[order], run[order]
+        same = np.concatenate([[False], (f[1:] == f[:-1]) & (r[1:] == r[:-1])])[: len(f)]
+        first = np.nonzero(~same)[0]
+        value = np.cumsum(~same) - 1  # of each text, its code's place among the distinct ones
+        cuts = np.nonzero(np.append(r[first][1:] != r[first][:-1], True))[0] + 1 if len(first) else np.zeros(0, np.int64)
+        x, y = trie_pairs(f[first], self.budget, cuts) if len(first) else (first, first)
+        # pairs of codes as pairs of texts, and pairs of texts of one code
+        size = np.bincount(value, minlength=len(first)) if len(first) else np.zeros(0, np.int64)
+        n = size[x] * size[y]
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        xs, ys = np.repeat(x, n), np.repeat(y, n)
+        i, j = first[xs] + k // size[ys], first[ys] + k % size[ys]
+        twins = np.nonzero(size > 1)[0].tolist()
+        if twins:
+            inner = [tuple(first[v] + t for t in np.triu_indices(size[v], 1)) for v in twins]
+            i, j = np.concatenate([i, *[t[0] for t in inner]]), np.concatenate([j, *[t[1] for t in inner]])
+        i, j = order[i], order[j]
+        i, j = np.minimum(i, j), np.maximum(i, j)
+        weight = self.estimates(i, j)
+        near = weight >= self.agree
+        return i[near], j[near], weight[near]
+
+    def tree(self, root: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Candidates that join the components ``root`` to a spanning forest; ``known`` (sorted i * n + j) are none any more."""
+        n = len(self.code)
+        i, j, weight = self.small
+        fresh = ~np.isin(i * n + j, known)
+        i, j, weight = i[fresh], j[fresh], weight[fresh]
+        chosen, root = forest(n, i, j, weight, root)
+        out = [(i[chosen], j[chosen])]
+        for a, b in self.dense:
+            for step in (*[s for s in DENSE_STEPS if s > self.agree], self.agree):
+                for k in range(a, b, 64):
+                    i, j = np.nonzero(np.bitwise_count(self.code[k : min(k + 64, b), None] ^ self.code[None, k:b]) <= self.budget)
+                    i, j = i + k, j + k
+                    apart = (i < j) & (root[i] != root[j])
+                    i, j = i[apart], j[apart]
+                    for c in range(0, len(i), 65_536):
+                        x, y = i[c : c + 65_536], j[c : c + 65_536]
+                        apart = (root[x] != root[y]) & ~np.isin(x * n + y, known)
+                        x, y = x[apart], y[apart]
+                        weight = self.estimates(x, y)
+                        near = weight >= step
+                        if near.any():
+                            x, y = x[near], y[near]
+                            chosen, root = forest(n, x, y, weight[near], root)
+                            out.append((x[chosen], y[chosen]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def in_blocks(frame: DataFrame, group: str, ways: DataFrame) -> DataFrame:
@@ -365,54 +436,181 @@ def by_block(df: DataFrame, group: str, columns: list[str], links_of: Callable[[
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(a, b): links between keys of texts whose shingles of ``words`` words have about this Jaccard similarity or more.
+def candidates(each: DataFrame, crowded: DataFrame, budget: int, agree: float, forests: int) -> DataFrame:
+    """(a, b): pairs of classes to be judged, from the rows ``each`` (class, code, sketch, anchor, yes, no).
 
-    Fingerprints of texts of that similarity differ in more bits than blocks of bits could find, so texts are dealt
-    to tasks by anchors (minima of their shingles' hashes) and joined in each group with the error budget that
-    the similarity asks for; sketches then hold each pair to the similarity. Of equal texts the least key takes part, and the others are linked with it.
-    An anchor of very many texts is dealt into runs, and every two runs meet in a task, so that no pair is lost and no task has a hot anchor whole;
-    the comparisons grow with the square of its distinct texts.
+    In each block the candidates of up to ``forests`` spanning forests, one after the other and without each other's pairs. What was
+    judged before (``yes`` and ``no``: classes that this one was held against) joins components at once, or is no candidate any more.
     """
-    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    budget = int(BITS * angle + 2.2 * np.sqrt(BITS * angle * (1 - angle)))
-    agree = similarity - 0.06
-    rows = written(sketches(df.where(F.col(key).isNotNull()), key, text, words), "sketches").withColumn("class", F.xxhash64("fp", "sketch"))
-    classes = written(rows.groupBy("class").agg(F.min(F.struct("key", "fp", "anchors", "sketch")).alias("t")).select("class", "t.*"), "classes")
-    each = classes.select("class", "fp", "sketch", F.explode("anchors").alias("anchor"))
-    crowded = written(each.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > ANCHOR_MOST).select("anchor", F.ceil(F.col("n") / RUN_MOST).cast("int").alias("ways")), "crowded")
 
     def links_of(now: pa.Table) -> Iterator[pa.RecordBatch]:
-        """Links of each block's texts with the first text of their group there."""
         anchor, block, texts = (now.column(c).to_numpy() for c in ("anchor", "block", "class"))
-        fp, sketch = now.column("fp").to_numpy().view(np.uint64), np.frombuffer(b"".join(now.column("sketch").to_pylist()), np.uint8).reshape(-1, MINIMA)
-        cuts = np.append(np.nonzero((anchor[1:] != anchor[:-1]) | (block[1:] != block[:-1]))[0] + 1, len(fp))
-        root = spanning(len(fp), *linked(fp, sketch, cuts, budget, agree))
-        child = np.nonzero(root != np.arange(len(root)))[0]
-        if len(child):
-            yield pa.RecordBatch.from_arrays([pa.array(texts[root[child]]), pa.array(texts[child])], ["a", "b"])
+        n = len(texts)
+        code, sketch = now.column("code").to_numpy().view(np.uint64), np.frombuffer(b"".join(now.column("sketch").to_pylist()), np.uint8).reshape(-1, MINIMA)
+        cuts = np.append(np.nonzero((anchor[1:] != anchor[:-1]) | (block[1:] != block[:-1]))[0] + 1, n)
+        judged = {}
+        run = np.repeat(np.arange(len(cuts)), np.diff(cuts, prepend=0))
+        place = None
+        for column in ("yes", "no"):
+            lists = now.column(column).combine_chunks()
+            sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+            i, other = np.repeat(np.arange(n), sizes), lists.flatten().to_numpy()
+            if len(i):
+                # where the other class stands in the same run, if it does
+                place = place or {(r, c): k for k, (r, c) in enumerate(zip(run.tolist(), texts.tolist(), strict=True))}
+                at = np.array([place.get((r, c), -1) for r, c in zip(run[i].tolist(), other.tolist(), strict=True)], np.int64)
+                i, at = i[at >= 0], at[at >= 0]
+                judged[column] = np.minimum(i, at), np.maximum(i, at)
+            else:
+                judged[column] = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        root = spanning(n, *judged["yes"])
+        known = np.unique(np.concatenate([judged[c][0] * n + judged[c][1] for c in ("yes", "no")]))
+        found = Texts(code, sketch, cuts, budget, agree)
+        for _ in range(forests):
+            i, j = found.tree(root, known)
+            if not len(i):
+                break
+            known = np.union1d(known, i * n + j)
+            yield pa.RecordBatch.from_arrays([pa.array(texts[i]), pa.array(texts[j])], ["a", "b"])
+
+    pairs = by_block(in_blocks(each, "anchor", crowded), "anchor", ["class", "code", "sketch", "yes", "no"], links_of)
+    # a pair may come from several blocks
+    return pairs.distinct()
+
+
+def held_to(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, near): whether the sets ``grams`` (class, grams: sorted hashes) of each of ``pairs`` have that Jaccard similarity or more."""
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            near = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+                    near.append(False)
+                    continue
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                # two texts without words are alike
+                near.append(both >= similarity * (len(x) + len(y) - both))
+            return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near, pa.bool_())], ["a", "b", "near"])
+
+        return each
+
+    n = pairs.count()
+    one = lambda side: grams.select(F.col("class").alias(side[0]), F.col("grams").alias(side[1]))
+    hot = lambda side: hot_keys(pairs.groupBy(side).agg(F.count("*").alias("n")), side, "n", n)
+    both = salted_join(pairs, one("ax"), "a", hot("a"), "b")
+    both = salted_join(both, one("by"), "b", hot("b"), "a")
+    return map_batches(both.select("a", "b", "x", "y"), make, "a long, b long, near boolean")
 
-    found = written(by_block(in_blocks(each, "anchor", crowded), "anchor", ["class", "fp", "sketch"], links_of).distinct(), "copies")
-    least = classes.select("class", F.col("key").alias("least"))
-    between = found.join(least.select(F.col("class").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("class").alias("b"), F.col("least").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    hot = hot_keys(rows.groupBy("class").agg(F.count("*").alias("n")), "class", "n", rows.count())
-    equal = salted_join(rows.select("class", "key"), least, "class", hot, "key").where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"))
-    return between.unionByName(equal)
+
+def copies(rows: DataFrame, df: DataFrame, key: str, text: str, words: int, similarity: float, rounds: int = 12) -> DataFrame:
+    """(a, b): links between classes of ``rows`` (profiles of ``df``) by which all are connected whose texts' shingle sets have that Jaccard similarity or more.
+
+    Texts are dealt to tasks by anchors, and a group is joined by the binary trie with the budget of bits that
+    the similarity asks for; sketches make candidates of the pairs within it. Of each group the pairs of a spanning forest are held to
+    their exact similarity, and as long as some fail, the groups of these are gone through again, with four times as many forests in each round.
+    """
+    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    budget = int(BITS * angle + SLACK * np.sqrt(BITS * angle * (1 - angle)))
+    agree = similarity - SLACK * np.sqrt(similarity * (1 - similarity) / MINIMA)
+    classes = written(rows.groupBy("class").agg(F.min(F.struct("key", "version", "code", "anchors", "sketch")).alias("t")).select("class", "t.*"), "classes")
+    none = F.array().cast("array<long>")
+    every = classes.select("class", "code", "sketch", F.explode("anchors").alias("anchor"))
+    crowded = written(every.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > ANCHOR_MOST).select("anchor", F.ceil(F.col("n") / RUN_MOST).cast("int").alias("ways")), "crowded")
+    each = every.withColumn("yes", none).withColumn("no", none)
+    judged = grams = None
+    for turn in range(rounds):
+        pairs = written(candidates(each, crowded, budget, agree, 4**turn), "candidates")
+        if judged is not None:
+            pairs = written(pairs.join(judged.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), "candidates")
+        if grams is None:
+            # a text that is in no candidate now will be in none later
+            used = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+            wanted = written(used.join(classes.select("class", F.col("key").alias("__sw_key"), F.col("version").alias("__sw_version")), "class"), "wanted")
+            texts = df.select(F.col(key).alias("__sw_key"), F.col(text).alias("__sw_text")).withColumn("__sw_version", F.xxhash64("__sw_text"))
+            grams = written(sets_of(texts.join(checked(wanted), ["__sw_key", "__sw_version"]).select("class", F.col("__sw_text").alias("text")), words), "grams")
+        new = written(held_to(pairs, grams, similarity), "judged")
+        judged = new if judged is None else judged.unionByName(new)
+        failed = new.where(~F.col("near"))
+        if failed.isEmpty():
+            return judged.where("near").select("a", "b")
+        # on with the groups that both texts of a failed pair are in; there each text says what it was held against
+        of = lambda side: failed.join(every.select(F.col("class").alias(side), "anchor"), side)
+        again = written(of("a").select("a", "b", "anchor").intersect(of("b").select("a", "b", "anchor")).select("anchor").distinct(), "again")
+        held = judged.groupBy(F.col("b").alias("class")).agg(F.collect_list(F.when(F.col("near"), F.col("a"))).alias("yes"), F.collect_list(F.when(~F.col("near"), F.col("a"))).alias("no"))
+        each = every.join(checked(again), "anchor", "left_semi").join(held, "class", "left").withColumn("yes", F.coalesce("yes", none)).withColumn("no", F.coalesce("no", none))
+    raise RuntimeError(f"links didn't settle in {rounds} rounds")
+
+
+def sets_of(rows: DataFrame, words: int) -> DataFrame:
+    """(class, grams): the sorted distinct shingle hashes of the text of each row (class, text); rows that repeat a class count once."""
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            column = batch.column("text").cast(pa.binary())
+            grams = [np.unique(shingle_hashes(x.as_py() if x.is_valid else b"", words)[0]).tobytes() for x in column]
+            return pa.RecordBatch.from_arrays([batch.column("class"), pa.array(grams, pa.binary())], ["class", "grams"])
+
+        return each
+
+    return map_batches(rows, make, "class long, grams binary").groupBy("class").agg(F.first("grams").alias("grams"))
+
+
+def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(a, b): links between keys of texts whose sets of shingles of ``words`` words have this Jaccard similarity or more.
+
+    The links connect all such texts of one group; each is exact, and candidates are missed with a chance of some thousandths at the
+    similarity itself, and less above it. Of texts of one class the least key takes part, and the others are linked with it.
+    An anchor of very many texts is dealt into runs, and every two runs meet in a task, so that no pair is lost and no task has a hot anchor whole;
+    the comparisons grow with the square of its distinct texts. Rows with null keys take no part; null, empty and blank texts are one class; repeated rows
+    link a key with itself; further columns are not read; an empty table gives an empty one.
+    """
+    rows = written(profiles(df.where(F.col(key).isNotNull()), key, text, words, words), "profiles")
+    found = copies(rows, df, key, text, words, similarity)
+    least = written(rows.groupBy("class").agg(F.min("key").alias("least"), F.count("*").alias("n")), "classes")
+    name = lambda side, to: least.select(F.col("class").alias(side), F.col("least").alias(to))
+    between = found.join(name("a", "x"), "a").join(name("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    equal = salted_join(rows.select("class", "key"), least.select("class", "least"), "class", hot_keys(least, "class", "n", rows.count()), "key").where("key <> least")
+    return between.unionByName(equal.select(F.col("least").alias("a"), F.col("key").alias("b")))
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, budget: int = 2, similar: tuple[int, float] | None = None) -> DataFrame:
-    """``df`` with the row of the least key of each near-duplicate group; of repeated rows with that key one stays. Rows with null keys stay.
+    """``df`` with one row of each near-duplicate group, that of the least key and then of the least hash of its text.
 
-    With ``similar`` (words, similarity) groups are linked by :func:`near_copies` too.
+    Groups are linked by fingerprints of ``budget`` or fewer differing bits and, with ``similar`` (words, similarity), by the exact similarity of
+    shingle sets too (:func:`copies`). A row stands for its key and text: of rows that repeat both one stays, and a key's
+    other texts are judged by themselves. Rows with null keys stay and link nothing. Null, empty and blank texts are one group. Columns that are called as
+    those used here (beginning with ``__sw_``) are the only names that clash; an empty table gives an empty one.
     """
-    groups = near_duplicates(df.select(key, text), key, text, words, budget)
-    gone = groups.where(F.col(key) != F.col("component_id")).select(F.col("component_id").alias("a"), F.col(key).alias("b"))
+    keyed = df.where(F.col(key).isNotNull())
+    if similar:
+        rows = written(profiles(keyed, key, text, words, similar[0]), "profiles")
+    else:
+        version = keyed.select(F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("version")).alias("id"), F.col(text).alias("text"))
+        rows = written(fingerprints(version, "id", "text", words).select("key.*", "fp"), "fingerprints")
+    ids = written(rows.groupBy("fp").agg(F.min(F.struct("key", "version")).alias("least"), F.count("*").alias("n")), "classes")
+    edges = links(ids.select("fp"), budget)
     if similar:
-        gone = components(gone.unionByName(near_copies(df, key, text, *similar)))
-    gone = written(gone.select(F.col("b").alias(key)).distinct(), "gone")
-    kept = df.join(checked(gone), key, "left_anti")
-    repeated = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__sw_n")).where("__sw_n > 1").select(key)
-    if repeated.isEmpty():
-        return kept
-    twice = kept.join(repeated, key, "left_semi").dropDuplicates([key])
-    return kept.join(repeated, key, "left_anti").unionByName(twice)
+        # classes by their least fingerprint, which is linked with the class's others
+        fps = written(rows.groupBy("class").agg(F.min("fp").alias("fp"), F.collect_set("fp").alias("fps")), "fps")
+        found = written(copies(rows, keyed, key, text, *similar), "copies")
+        n = found.count()
+        for side in ("a", "b"):
+            hot = hot_keys(found.groupBy(side).agg(F.count("*").alias("n")), side, "n", n)
+            found = salted_join(found, fps.select(F.col("class").alias(side), F.col("fp").alias(f"{side}_fp")), side, hot, "b" if side == "a" else "a")
+        within = fps.where(F.size("fps") > 1).select(F.col("fp").alias("a"), F.explode("fps").alias("b"))
+        edges = edges.unionByName(within).unionByName(found.select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")))
+    rooted = written(roots_of(ids, edges), "rooted")
+    kept = rooted.groupBy("root").agg(F.min("least").alias("kept"))
+    of_fp = rooted.join(kept, "root").select("fp", "kept")
+    each = salted_join(rows.select("key", "version", "fp"), of_fp, "fp", hot_keys(ids, "fp", "n", rows.count()), "key")
+    gone = each.where((F.col("key") != F.col("kept.key")) | (F.col("version") != F.col("kept.version")))
+    gone = written(gone.select(F.col("key").alias("__sw_key"), F.col("version").alias("__sw_version")).distinct(), "gone")
+    twice = written(rows.groupBy("key", "version").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("__sw_key"), F.col("version").alias("__sw_version")), "twice")
+    named = df.withColumn("__sw_key", F.col(key)).withColumn("__sw_version", F.xxhash64(text))
+    left = named.join(checked(gone), ["__sw_key", "__sw_version"], "left_anti")
+    if not twice.isEmpty():
+        both = ["__sw_key", "__sw_version"]
+        left = left.join(checked(twice), both, "left_anti").unionByName(left.join(checked(twice), both, "left_semi").dropDuplicates(both))
+    return left.select(*df.columns)
