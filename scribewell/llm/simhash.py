@@ -215,17 +215,19 @@ def components(pairs: DataFrame, rounds: int = 40) -> DataFrame:
     for turn in range(1, rounds + 1):
         at = f"{base}/{turn}"
         both = now.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(now.select(F.col("b").alias("v"), F.col("a").alias("u")))
+        # a vertex's least neighbour, its links, and those to smaller ones
+        at_v = both.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"), F.sum(F.when(F.col("u") < F.col("v"), 1).otherwise(0)).alias("n_low"))
+        least = written(at_v.select("v", F.least("v", "m").alias("m"), "n", "n_low"), "least", f"{at}-least")
         # large star: greater neighbours of a vertex are linked with its least neighbour
-        least = written(both.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n")).select("v", F.least("v", "m").alias("m"), "n"), "least", f"{at}-least")
         large = salted_join(both.where("u > v"), least.select("v", "m"), "v", hot_keys(least, "v", "n", 2 * n), "u")
-        large = written(large.select(F.col("m").alias("a"), F.col("u").alias("b")).where("a < b").distinct(), "large", f"{at}-large")
-        # small star: a vertex and its smaller neighbours are linked with the least of them
-        low = written(large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n")), "low", f"{at}-low")
-        small = salted_join(large, low.select("b", "m"), "b", hot_keys(low, "b", "n", n), "a")
+        large = large.select(F.col("m").alias("a"), F.col("u").alias("b")).where("a < b").distinct()
+        # small star: a vertex and its smaller neighbours, no more than it had, are linked with the least of them
+        low = large.groupBy("b").agg(F.min("a").alias("m"))
+        small = salted_join(large, low, "b", hot_keys(least.select(F.col("v").alias("b"), "n_low"), "b", "n_low", n), "a")
         new = small.select(F.col("m").alias("a"), "b").unionByName(small.select(F.col("m").alias("a"), F.col("a").alias("b"))).where("a < b").distinct()
         new = written(new, "links", at)
         n, total = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        for path in (f"{at}-least", f"{at}-large", f"{at}-low", f"{base}/{turn - 1}"):
+        for path in (f"{at}-least", f"{base}/{turn - 1}"):
             forget(spark, path)
         if (n, total) == before:
             return new.select("b", "a")
@@ -504,12 +506,12 @@ def held_to(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
     return map_batches(both.select("a", "b", "x", "y"), make, "a long, b long, near boolean")
 
 
-def copies(rows: DataFrame, df: DataFrame, key: str, text: str, words: int, similarity: float, rounds: int = 12) -> DataFrame:
+def copies(rows: DataFrame, df: DataFrame, key: str, text: str, words: int, similarity: float, rounds: int = 8) -> DataFrame:
     """(a, b): links between classes of ``rows`` (profiles of ``df``) by which all are connected whose texts' shingle sets have that Jaccard similarity or more.
 
     Texts are dealt to tasks by anchors, and a group is joined by the binary trie with the budget of bits that
     the similarity asks for; sketches make candidates of the pairs within it. Of each group the pairs of a spanning forest are held to
-    their exact similarity, and as long as some fail, the groups of these are gone through again, with four times as many forests in each round.
+    their exact similarity, and as long as some fail, the groups of these are gone through again, with sixteen times as many forests in each round.
     """
     angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     budget = int(BITS * angle + SLACK * np.sqrt(BITS * angle * (1 - angle)))
@@ -521,7 +523,7 @@ def copies(rows: DataFrame, df: DataFrame, key: str, text: str, words: int, simi
     each = every.withColumn("yes", none).withColumn("no", none)
     judged = grams = None
     for turn in range(rounds):
-        pairs = written(candidates(each, crowded, budget, agree, 4**turn), "candidates")
+        pairs = written(candidates(each, crowded, budget, agree, 16**turn), "candidates")
         if judged is not None:
             pairs = written(pairs.join(judged.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), "candidates")
         if grams is None:
