@@ -10,14 +10,15 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, written
-from .vectors import clean, matrix, pairs, ranked, top
+from .common import hot_keys, map_batches, salted_join, written
+from .vectors import blocks, clean, matrix, meet, ranked, top
 
 #: Tables, and the cells' width in standard deviations of a projection.
 TABLES, WIDTH = 2, 2.0
@@ -27,7 +28,7 @@ GOAL = 0.97
 SAMPLE = 2048
 #: Vectors in a bucket, about: more vectors take more projections, up to MOST_BITS / 4.
 OCCUPANCY = 64
-#: Rows of index and of queries that meet in one call.
+#: Vectors in a part of the index, and queries that one task finds places for, about.
 INDEX_ROWS, QUERY_ROWS = 4096, 1024
 #: A cell has four bits in a bucket's number.
 LOW, HIGH, MOST_PROJECTIONS = -8, 7, 15
@@ -125,37 +126,70 @@ def search(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vec
     dims = max(dims or 0, 1)
     projections = min(MOST_PROJECTIONS, dims, max(0, round(math.log(max(n, 1) / OCCUPANCY, 3)) if n > OCCUPANCY else 0))
     hashes = Tables(dims, projections, tables)
-    # a sample of bounded size: by a hash of the id, and never over twice SAMPLE rows
-    sample = base.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // SAMPLE))) == 0).limit(2 * SAMPLE).collect()
-    s_ids = np.array([r["id"] for r in sample], np.int64)
-    s_units = np.zeros((len(sample), dims))
-    for i, r in enumerate(sample):
-        s_units[i, : len(r["v"])] = r["v"]
-    s_units = unit(s_units) if len(sample) else s_units
-    # in the sample the k-th neighbour of all is about the first
-    rank = max(1, math.ceil(k * len(sample) / max(n, 1)))
+    packed = index(base, n, dims, hashes)
+    asked = base.where(is_query)
+    visits = written(visited(asked, n, k, dims, hashes, goal, sample_of(base, n, dims)), "visits")
+    return ranked(answers(packed, asks(asked, visits, places(packed)), dims, k).distinct(), k)
+
+
+def sample_of(base: DataFrame, n: int, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of a sample by a hash of the id: about SAMPLE rows, and never over twice as many."""
+    rows = base.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // SAMPLE))) == 0).limit(2 * SAMPLE).collect()
+    ids, v = np.array([r["id"] for r in rows], np.int64), np.zeros((len(rows), dims))
+    for i, r in enumerate(rows):
+        v[i, : len(r["v"])] = r["v"]
+    return ids, unit(v) if len(rows) else v
+
+
+def index(base: DataFrame, n: int, dims: int, hashes: Tables) -> DataFrame:
+    """A written table (part, ids, data, keys): each vector once for each table, in the order of its place (table and bucket).
+
+    A part is a piece of one range of places, of no more than INDEX_ROWS vectors; a place of many vectors goes over several parts, as ids break the ties.
+    """
+    tables = hashes.tables
 
-    def index():
+    def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             u = unit(matrix(batch.column("v"), dims))
-            every = [hashes.bucket(hashes.cells(u, t)[0]) for t in range(tables)]
-            m = batch.num_rows
-            rows = pa.array(np.tile(np.arange(m), tables))
-            return pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("v").take(rows), pa.array(np.repeat(np.arange(tables), m), pa.int64()), pa.array(np.concatenate(every))], ["id", "v", "table", "bucket"])
+            every = [place_of(t, hashes.bucket(hashes.cells(u, t)[0])) for t in range(tables)]
+            rows = pa.array(np.tile(np.arange(batch.num_rows), tables))
+            return pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("v").take(rows), pa.array(np.concatenate(every))], ["id", "v", "place"])
+
+        return each
+
+    hashed = map_batches(base, make, "id long, v array<double>, place long")
+    ordered = hashed.repartitionByRange(max(1, -(-n * tables // INDEX_ROWS)), "place", "id").sortWithinPartitions("place", "id")
+    numbered = blocks(ordered, dims, INDEX_ROWS, "place").select((F.col("part") * (1 << 20) + F.col("piece")).alias("part"), "ids", "data", F.col("place").alias("keys"))
+    return written(numbered, "index")
+
+
+def place_of(table: int, bucket: np.ndarray) -> np.ndarray:
+    """Table and bucket as one number: a bucket has 60 bits at most."""
+    return bucket | np.int64(table << 60)
+
+
+def places(packed: DataFrame) -> DataFrame:
+    """(place, parts): the parts that each place of the index is in."""
+
+    def make():
+        def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for part, keys in zip(batch.column("part").to_pylist(), batch.column("keys"), strict=True):
+                own = np.unique(np.frombuffer(keys.as_py(), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), part))], ["place", "part"])
 
         return each
 
-    parts = max(1, -(-n * tables // INDEX_ROWS))
-    # ranges of buckets; a bucket of many vectors goes over several parts, as ids break the ties
-    hashed = map_batches(base, index, "id long, v array<double>, table long, bucket long")
-    dealt = written(hashed.repartitionByRange(parts, "table", "bucket", "id").sortWithinPartitions("table", "bucket", "id").withColumn("part", F.spark_partition_id().cast("long")), "index")
-    where = dealt.groupBy("table", "bucket").agg(F.collect_set("part").alias("parts"))
-    by_part = dealt.repartition(parts, "part").sortWithinPartitions("part", "table", "bucket", "id")
-    packed = written(_pack_parts(by_part, dims), "packed")
+    return map_batches(packed.select("part", "keys"), make, "place long, part long").groupBy("place").agg(F.collect_list("part").alias("parts"))
 
-    per_table = 1 - (1 - goal) ** (1 / tables)
 
-    def probe():
+def visited(asked: DataFrame, n: int, k: int, dims: int, hashes: Tables, goal: float, sample: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(query_id, place): the places that each query visits."""
+    s_ids, s_units = sample
+    # in the sample the k-th neighbour of all is about the first
+    rank = max(1, math.ceil(k * len(s_ids) / max(n, 1)))
+    per_table = 1 - (1 - goal) ** (1 / hashes.tables)
+
+    def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = batch.column("id").to_numpy()
             u = unit(matrix(batch.column("v"), dims))
@@ -165,90 +199,65 @@ def search(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vec
             least = max(0, near.shape[1] - rank)
             near = np.clip(np.partition(near, least, axis=1)[:, least], 0.0, 1.0)
             spread = np.sqrt(np.maximum(1 - near**2, 1e-12)) / hashes.width
-            rows, at, buckets = [], [], []
-            for t in range(tables):
+            rows, found = [], []
+            for t in range(hashes.tables):
                 cells, inside = hashes.cells(u, t, near)
                 for i in range(len(ids)):
-                    visited = probes(cells[i], inside[i], float(spread[i]), per_table)
-                    found = hashes.bucket(np.array(visited, np.int64).reshape(len(visited), projections))
-                    buckets.append(found)
-                    rows.append(np.full(len(found), i))
-                    at.append(np.full(len(found), t))
-            rows = np.concatenate(rows)
-            return pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(np.concatenate(at), pa.int64()), pa.array(np.concatenate(buckets))], ["query_id", "table", "bucket"])
+                    tuples = probes(cells[i], inside[i], float(spread[i]), per_table)
+                    found.append(place_of(t, hashes.bucket(np.array(tuples, np.int64).reshape(len(tuples), hashes.projections))))
+                    rows.append(np.full(len(tuples), i))
+            return pa.RecordBatch.from_arrays([pa.array(ids[np.concatenate(rows)]), pa.array(np.concatenate(found))], ["query_id", "place"])
 
         return each
 
-    query_parts = max(1, -(-n // (16 * QUERY_ROWS)))
-    asked = base.where(is_query)
-    visits = map_batches(asked.repartition(max(query_parts, base.sparkSession.sparkContext.defaultParallelism)), probe, "query_id long, table long, bucket long")
-    visits = written(visits, "visits").join(where.hint("merge"), ["table", "bucket"]).withColumn("part", F.explode("parts"))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(query_parts))
-    asks = visits.groupBy("part", block.alias("block")).agg(F.collect_list("query_id").alias("a_ids"), F.collect_list("table").alias("a_tables"), F.collect_list("bucket").alias("a_buckets"))
-    vectors = asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(query_parts)).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("q"))
-    joined = packed.join(asks, "part").join(vectors, "block").select("ids", "data", "keys", "a_ids", "a_tables", "a_buckets", F.col("q.id").alias("q_ids"), F.flatten("q.v").alias("q_flat"), F.transform("q.v", lambda v: F.size(v)).alias("q_sizes"))
-
-    def work(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids, x = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["data"]).reshape(-1, dims)
-        keys = np.frombuffer(row["keys"], np.int64).reshape(-1, 2)
-        q_ids = np.array(row["q_ids"], np.int64)
-        queries = np.zeros((len(q_ids), dims))
-        sizes = np.array(row["q_sizes"])
-        queries[np.repeat(np.arange(len(sizes)), sizes), np.concatenate([np.arange(s) for s in sizes])] = row["q_flat"]
-        asked_of = np.searchsorted(np.sort(q_ids), np.array(row["a_ids"], np.int64))
-        order = np.argsort(q_ids)
-        q_units, x_units = unit(queries), unit(x)
-        # rows of each bucket lie together
-        cuts = np.concatenate([[0], np.nonzero((keys[1:] != keys[:-1]).any(axis=1))[0] + 1, [len(keys)]])
-        runs = {(int(keys[a, 0]), int(keys[a, 1])): (a, b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)}
-        at = [runs.get(b) for b in zip(row["a_tables"], row["a_buckets"], strict=True)]
-        wanted: dict[int, list[tuple[int, int]]] = {}
-        for q, span in zip(order[asked_of].tolist(), at, strict=True):
-            if span:
-                wanted.setdefault(q, []).append(span)
+    return map_batches(asked.repartition(max(1, -(-n // (16 * QUERY_ROWS)), base_parallelism(asked))), make, "query_id long, place long")
+
+
+def base_parallelism(df: DataFrame) -> int:
+    return df.sparkSession.sparkContext.defaultParallelism
+
+
+def asks(asked: DataFrame, visits: DataFrame, where: DataFrame) -> DataFrame:
+    """(part, query_id, v, visited): each query once for each part that has a place it visits, with its vector and those places.
+
+    The places' parts are joined to the visits, salted for places that very many queries visit.
+    """
+    hot = hot_keys(visits.groupBy("place").agg(F.count("*").alias("n")), "place", "n", visits.count())
+    at = salted_join(visits, where, "place", hot, "query_id").where(F.col("parts").isNotNull())
+    by_query = at.withColumn("part", F.explode("parts")).groupBy("query_id").agg(F.collect_list(F.struct("part", "place")).alias("stops"))
+    both = by_query.join(asked.select(F.col("id").alias("query_id"), "v"), "query_id")
+    each = both.withColumn("part", F.explode(F.array_distinct(F.col("stops.part"))))
+    return each.select("part", "query_id", "v", F.transform(F.filter("stops", lambda x: x["part"] == F.col("part")), lambda x: x["place"]).alias("visited"))
+
+
+def answers(packed: DataFrame, asked: DataFrame, dims: int, k: int) -> DataFrame:
+    """A written table (query_id, vec_id, score): the ``k`` nearest to each query of each part that it asks."""
+
+    def answer(index: dict, batch: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, x, units, runs = index["ids"], index["x"], index["units"], index["runs"]
+        q_units = unit(batch["v"])
         out = []
-        for q, spans in wanted.items():
-            rows = np.concatenate([np.arange(a, b) for a, b in spans])
-            rows = rows[ids[rows] != q_ids[q]]
-            rough = x_units[rows] @ q_units[q]
+        for i, (q, own) in enumerate(zip(batch["query_id"].tolist(), batch["visited"], strict=True)):
+            spans = [runs[p] for p in own if p in runs]
+            rows = np.concatenate([np.arange(a, b) for a, b in spans]) if spans else np.zeros(0, np.int64)
+            rows = rows[ids[rows] != q]
+            if not len(rows):
+                continue
+            rough = units[rows] @ q_units[i]
             if len(rows) > 2 * k:
                 least = np.partition(rough, len(rough) - 2 * k)[len(rough) - 2 * k] - 1e-9
                 rows = rows[rough >= least]
-            exact = cosines(x[rows], queries[q]) if len(rows) else rough
+            exact = cosines(x[rows], batch["v"][i])
             # the same vector may stand here for two tables
             first = np.unique(ids[rows], return_index=True)[1]
             rows, exact = rows[first], exact[first]
             best = top(ids[rows], exact, k)
-            out.append((np.full(len(best), q_ids[q]), ids[rows][best], exact[best]))
-        if not out:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-    return ranked(pairs(joined, work, "double").distinct(), k)
+            out.append((np.full(len(best), q), ids[rows][best], exact[best]))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
+    def load(row: dict) -> dict:
+        ids, x, keys = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["data"]).reshape(-1, dims), np.frombuffer(row["keys"], np.int64)
+        cuts = np.concatenate([[0], np.nonzero(keys[1:] != keys[:-1])[0] + 1, [len(keys)]])
+        return {"ids": ids, "x": x, "units": unit(x), "runs": {int(keys[a]): (a, b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)}}
 
-def _pack_parts(rows: DataFrame, dims: int) -> DataFrame:
-    """(part, ids, data, keys): the rows of each part, which a task has together and in order, as binary arrays."""
-
-    def run(batches):
-        part, held = None, []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            of = batch.column("part").to_numpy()
-            arrays = [batch.column("id").to_numpy(), matrix(batch.column("v"), dims), np.stack([batch.column("table").to_numpy(), batch.column("bucket").to_numpy()], axis=1)]
-            cuts = [0, *(np.nonzero(of[1:] != of[:-1])[0] + 1).tolist(), len(of)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if held and of[a] != part:
-                    yield row(part, held)
-                    held = []
-                part = int(of[a])
-                held.append([x[a:b] for x in arrays])
-        if held:
-            yield row(part, held)
-
-    def row(part, held):
-        full = [np.ascontiguousarray(np.concatenate(x)).tobytes() for x in zip(*held, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), *[pa.array([x], pa.binary()) for x in full]], ["part", "ids", "data", "keys"])
-
-    return rows.select("id", "v", "table", "bucket", "part").mapInArrow(run, "part long, ids binary, data binary, keys binary")
+    return meet(packed, asked, dims, load, answer, "double")

@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import checked, small_batches, written
 
-#: Queries that stand in one row.
-QUERY_ROWS = 2048
+#: Queries that one copy of a part answers.
+ASK_ROWS = 4096
+#: Tasks of the step in which queries meet parts, at most.
+MOST_TASKS = 10_000
 
 
 def clean(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -52,36 +54,65 @@ def top(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def pairs(joined: DataFrame, work: Callable[[dict], tuple[np.ndarray, np.ndarray, np.ndarray]], score: str) -> DataFrame:
-    """A written table of the (query_id, vec_id, score) arrays that ``work`` makes of each row of ``joined``.
+def meet(parts: DataFrame, asked: DataFrame, dims: int, load: Callable[[dict], dict], answer: Callable[[dict, dict], tuple[np.ndarray, np.ndarray, np.ndarray]], score: str) -> DataFrame:
+    """A written table of the (query_id, vec_id, score) arrays that ``answer`` gives for what ``load`` makes of a part and for a batch of the queries that ask it.
 
-    A row holds blocks of some MB; it is run here, while few rows go to Python at once.
+    ``parts`` has a row for each part, ``asked`` one for each query of a part: part, query_id, v and a further column. Queries come to the
+    parts, which are shuffled once. A part that over ASK_ROWS queries ask is repeated for each so many of them, so that no task has all of them; a
+    task holds one part at a time, and its queries pass by in batches.
     """
+    spark = parts.sparkSession
+    further = next(c for c in asked.columns if c not in ("part", "query_id", "v"))
+    blobs = [c for c in parts.columns if c != "part"]
+    asked = written(asked, "asks")
+    counts = asked.groupBy("part").agg(F.count("*").alias("n")).withColumn("ways", F.ceil(F.col("n") / ASK_ROWS).cast("int"))
+    wanted = written(counts.select("part", "ways"), "ways")
+    dealt = parts.join(wanted, "part").withColumn("way", F.explode(F.sequence(F.lit(0), F.col("ways") - 1))).drop("ways")
+    busy = checked(written(wanted.where("ways > 1"), "busy"))
+    asking = asked.join(busy, "part", "left").withColumn("way", F.coalesce(F.pmod(F.xxhash64("query_id"), F.col("ways")), F.lit(0)).cast("int")).drop("ways")
+    kinds = {f.name: f.dataType for f in (*parts.schema.fields, *asked.schema.fields)}
+    columns = [*blobs, "query_id", "v", further]
+    side = lambda df, first: df.select("part", "way", F.lit(first).alias("kind"), *[F.col(c) if c in df.columns else F.lit(None).cast(kinds[c]).alias(c) for c in columns])
+    both = side(dealt, 0).unionByName(side(asking, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: dict = {}
+        at = None
         for batch in batches:
-            for i in range(batch.num_rows):
-                q, v, s = work({c: batch.column(c)[i].as_py() for c in batch.schema.names})
+            if not batch.num_rows:
+                continue
+            part, way, kind = (batch.column(c).to_numpy() for c in ("part", "way", "kind"))
+            cuts = np.nonzero((part[1:] != part[:-1]) | (way[1:] != way[:-1]) | (kind[1:] != kind[:-1]))[0] + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if kind[a] == 0:
+                    now, at = load({c: batch.column(c)[a].as_py() for c in blobs}), (part[a], way[a])
+                    continue
+                if at != (part[a], way[a]):
+                    raise RuntimeError("queries of a part that isn't there")
+                own = batch.slice(a, b - a)
+                q, v, s = answer(now, {"query_id": own.column("query_id").to_numpy(), "v": matrix(own.column("v"), dims), further: own.column(further).to_pylist()})
                 if len(q):
                     yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.int64() if score == "long" else pa.float64())], ["query_id", "vec_id", "score"])
+        pa.default_memory_pool().release_unused()
 
-    spark, name = joined.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "2")
-    try:
-        return written(joined.mapInArrow(run, f"query_id long, vec_id long, score {score}"), "scores")
-    finally:
-        spark.conf.set(name, before)
+    small_batches(spark)
+    # as many tasks as parts: a task's work is not in proportion to its bytes
+    tasks = min(MOST_TASKS, wanted.agg(F.coalesce(F.sum("ways"), F.lit(1))).first()[0])
+    ordered = both.repartition(int(tasks), "part", "way").sortWithinPartitions("part", "way", "kind")
+    return written(ordered.mapInArrow(run, f"query_id long, vec_id long, score {score}"), "scores")
 
 
 def blocks(rows: DataFrame, dims: int, most: int, extra: str | None = None) -> DataFrame:
-    """(part, ids, data[, extra]): the rows (id, v[, extra]) of each partition, in their order, up to ``most`` to a row, as arrays in binary columns."""
+    """(part, piece, ids, data[, extra]): the rows (id, v[, extra]) of each partition, in their order, up to ``most`` to a row, as arrays in binary columns.
+
+    ``part`` is the partition and ``piece`` counts its rows.
+    """
     names = ["id", "v", *([extra] if extra else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
+        part, piece = TaskContext.get().partitionId(), 0
         held: list[list[np.ndarray]] = []
         for batch in batches:
             if not batch.num_rows:
@@ -89,14 +120,14 @@ def blocks(rows: DataFrame, dims: int, most: int, extra: str | None = None) -> D
             held.append([batch.column("id").to_numpy(), matrix(batch.column("v"), dims), *([batch.column(extra).to_numpy()] if extra else [])])
             while sum(len(x[0]) for x in held) >= most:
                 full = [np.concatenate(x) for x in zip(*held, strict=True)]
-                yield row(part, [x[:most] for x in full])
-                held = [[x[most:] for x in full]]
+                yield row(part, piece, [x[:most] for x in full])
+                held, piece = [[x[most:] for x in full]], piece + 1
         if sum(len(x[0]) for x in held):
-            yield row(part, [np.concatenate(x) for x in zip(*held, strict=True)])
+            yield row(part, piece, [np.concatenate(x) for x in zip(*held, strict=True)])
 
-    def row(part: int, arrays: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), *[pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in arrays]], ["part", "ids", "data", *([extra] if extra else [])])
+    def row(part: int, piece: int, arrays: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([piece], pa.int64()), *[pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in arrays]], ["part", "piece", "ids", "data", *([extra] if extra else [])])
 
     small_batches(rows.sparkSession)
-    schema = "part long, ids binary, data binary" + (f", {extra} binary" if extra else "")
+    schema = "part long, piece long, ids binary, data binary" + (f", {extra} binary" if extra else "")
     return rows.select(*names).mapInArrow(run, schema)

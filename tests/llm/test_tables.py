@@ -429,7 +429,7 @@ def test_pruning_keeps_ties():
     rng = np.random.default_rng(4)
     x = rng.integers(-3, 4, (700, 8)).astype(float)
     ids = rng.permutation(700)
-    q, v, s = topk.search_blocks(x[:40], ids[:40], x, ids, 5, block=16)
+    q, v, s, _ = topk.search_blocks(x[:40], ids[:40], x, ids, 5, block=16)
     scores = x @ x.T
     for r in range(40):
         own = scores[r].copy()
@@ -438,6 +438,42 @@ def test_pruning_keeps_ties():
         assert v[q == ids[r]].tolist() == ids[want].tolist() and s[q == ids[r]].tolist() == own[want].tolist()
 
 
+def clustered(n, groups, dims, seed):
+    """Vectors around some centres, those of one centre in no order."""
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((groups, dims))
+    return centres[rng.integers(0, groups, n)] + 0.05 * rng.standard_normal((n, dims))
+
+
+def test_most_blocks_of_clustered_vectors_are_skipped():
+    x = np.floor(256 * clustered(4096, 40, 16, 3))
+    signs = np.random.default_rng(7).standard_normal((16, topk.SIGNS))
+    x = x[np.argsort((x @ signs > 0) @ (1 << np.arange(topk.SIGNS)), kind="stable")]
+    ids = np.arange(4096)
+    own = topk.search_blocks(x[::50], ids[::50], x, ids, 5)
+    assert own[3] < 0.5 * 64 * len(x[::50])
+    floors = [own[2][own[0] == i].min() for i in ids[::50]]
+    assert topk.search_blocks(x[::50], ids[::50], x, ids, 5, floors=np.array(floors))[3] <= own[3]
+
+
+def test_few_parts_of_clustered_vectors_are_asked(spark, monkeypatch):
+    """And the answers are exact: many parts, a part that several copies answer for, and bounds of several rows."""
+    from scribewell.llm import vectors
+
+    monkeypatch.setattr(topk, "GROUP", 128)
+    monkeypatch.setattr(topk, "SUMMARIES", 8)
+    monkeypatch.setattr(topk, "ASK_BLOCK", 16)
+    monkeypatch.setattr(vectors, "ASK_ROWS", 2)
+    asked, promising = [], topk.promising
+    monkeypatch.setattr(topk, "promising", lambda *a: asked.append(promising(*a)) or asked[-1])
+    x = clustered(3000, 30, 16, 5)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = by_query(topk.search(df, F.col("id") % 50 == 0).collect())
+    x = np.floor(256 * x)
+    assert got == brute(np.arange(3000), x @ x.T)
+    assert asked[0].count() < 0.5 * 60 * 24
+
+
 def test_nearest_neighbours_of_the_table(spark):
     ids, x = vectors()
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -468,6 +504,17 @@ def test_recall_with_copies_and_a_hot_bucket(spark):
     assert sum(len({v for v, _ in want[q]} & {v for v, _ in got[q]}) for q in want) / (5 * len(want)) >= 0.9
 
 
+def test_parts_that_many_queries_ask_are_dealt(spark, monkeypatch):
+    """The same answers with parts of few vectors, each of which several copies answer for."""
+    from scribewell.llm import vectors
+
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(clustered(1500, 30, 16, 7))], "vec_id long, embedding array<double>")
+    whole = by_query(ann.search(df, F.col("id") % 50 == 0).collect())
+    monkeypatch.setattr(ann, "INDEX_ROWS", 100)
+    monkeypatch.setattr(vectors, "ASK_ROWS", 2)
+    assert by_query(ann.search(df, F.col("id") % 50 == 0).collect()) == whole
+
+
 def test_probes_come_in_order_of_their_chances():
     rng = np.random.default_rng(8)
     inside = rng.uniform(0, 1, 3)
