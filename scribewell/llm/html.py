@@ -39,13 +39,16 @@ class Page(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool, bool]] = []  # element, container, whether it is boilerplate, whether it has no text
-        self.parents = [-1]  # of each container
+        self.stack: list[tuple[str, tuple[int, bool, bool, bool]]] = []  # element, and what ``at`` was before it
+        self.places: dict[str, list[int]] = {}  # of each element's open tags in the stack
+        self.bounds: list[int] = []  # places of open containers, and with lists and tables
+        self.borders: list[int] = []
+        self.parents = [-1]  # of each container; a parent comes before its children
         self.kinds = ["html"]
         self.lines: list[tuple[str, int, int, int, bool]] = []
         self.text: list[str] = []
-        self.plain = self.tags = self.links = 0
-        self.at = (0, False, False)
+        self.plain = self.tags = 0
+        self.at = (0, False, False, False)  # container, whether it is boilerplate, whether it has no text, whether an article is around
 
     def line(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -56,7 +59,7 @@ class Page(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self.line()
-            if any(e[0] == "p" for e in self.stack) and tag != "p":
+            if tag != "p" and self.places.get("p"):
                 self.end("p", within=True)
             elif tag in ("p", "li", "dt", "dd", "tr", "td", "th"):
                 self.end(tag, within=True)
@@ -65,30 +68,26 @@ class Page(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        container, no_content, no_text = self.at
+        container, no_content, no_text, in_article = self.at
         # an article's own header holds its headline; the page's header does not
-        headline = tag == "header" and any(self.kinds[c] == "article" for c in self.chain(container))
+        headline = tag == "header" and in_article
         bad = tag in BOILERPLATE and not headline
         if attrs and not bad:
             names = dict(attrs)
             said = f"{names.get('class') or ''} {names.get('id') or ''}".lower()
             bad = (names.get("role") or "").lower() in ROLES or "hidden" in names or names.get("aria-hidden") == "true" or re.search(r"display:\s*none", names.get("style") or "") is not None
             bad |= tag not in ("article", "main", "body", "html") and not headline and MARKED.search(said) is not None
+        place = len(self.stack)
+        self.places.setdefault(tag, []).append(place)
         if tag in CONTAINERS:
             self.parents.append(container)
             self.kinds.append(tag)
             container = len(self.parents) - 1
-        if tag == "a":
-            self.links += 1
-        self.stack.append((tag, *self.at))
-        self.at = (container, no_content or bad, no_text or tag in NO_TEXT)
-
-    def chain(self, container: int) -> list[int]:
-        out = []
-        while container >= 0:
-            out.append(container)
-            container = self.parents[container]
-        return out
+            self.bounds.append(place)
+        if tag in CONTAINERS or tag in ("table", "ul", "ol", "dl"):
+            self.borders.append(place)
+        self.stack.append((tag, self.at))
+        self.at = (container, no_content or bad, no_text or tag in NO_TEXT, in_article or tag == "article")
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -96,18 +95,20 @@ class Page(HTMLParser):
             self.handle_endtag(tag)
 
     def end(self, tag: str, within: bool = False) -> None:
-        """Closes the innermost open ``tag`` and what is open inside it; ``within``: not beyond a container or list."""
-        for k in range(len(self.stack) - 1, -1, -1):
-            name = self.stack[k][0]
-            if name == tag:
-                break
-            if within and name in ("table", "ul", "ol", "dl", *CONTAINERS) or name in CONTAINERS and tag not in BLOCKS:
-                return
-        else:
+        """Closes the innermost open ``tag`` and what is open inside it; ``within``: not beyond a container or list. Only what is closed is gone through."""
+        own = self.places.get(tag)
+        if not own:
             return
-        self.links -= sum(e[0] == "a" for e in self.stack[k:])
-        self.at = self.stack[k][1:]
+        k = own[-1]
+        if within and self.borders and self.borders[-1] > k or tag not in BLOCKS and self.bounds and self.bounds[-1] > k:
+            return
+        self.at = self.stack[k][1]
+        for name, _ in self.stack[k:]:
+            self.places[name].pop()
         del self.stack[k:]
+        for ends in (self.bounds, self.borders):
+            while ends and ends[-1] >= k:
+                ends.pop()
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
@@ -119,7 +120,7 @@ class Page(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.at[2]:
             self.text.append(data)
-            if not self.links and not self.at[1]:
+            if not self.places.get("a") and not self.at[1]:
                 self.plain += len(data.strip())
 
     def read(self, html: str) -> list[tuple[str, int, int, int, bool]]:
@@ -160,22 +161,44 @@ def main_text(html: str | None) -> str:
     found = clusters(ratios)
     if not found:
         found = [(0, len(lines))] if plain.any() else []
-    chains = [page.chain(x[3]) for x in lines]
     held = [i for a, b in found for i in range(a, b) if plain[i]]
     if not held:
         return ""
+    of = [x[3] for x in lines]
+    # lines of clusters in each container and below: a parent comes before its children
+    n_held = [0] * len(page.parents)
+    for i in held:
+        n_held[of[i]] += 1
+    summed(n_held, page.parents)
     # articles (main elements, if there are none) that hold a cluster's text are taken whole; text of clusters outside of them too, by its container
-    inside = {c for i in held for c in chains[i]}
+    inside = [c for c, n in enumerate(n_held) if n]
     kind = "article" if any(page.kinds[c] == "article" for c in inside) else "main"
     regions = {c for c in inside if page.kinds[c] == kind}
-    loose = [i for i in held if regions.isdisjoint(chains[i])]
+    within = below(regions, page.parents)
+    loose = [i for i in held if not within[of[i]]]
     if not regions:
         # no such element: the innermost container that has all of the clusters' text
-        regions = {next(c for c in chains[held[0]] if all(c in chains[i] for i in held))}
+        regions = {max(c for c in inside if n_held[c] == len(held))}
     else:
-        regions |= {chains[i][0] for i in loose if page.kinds[chains[i][0]] not in ("html", "body") and not any(c in chains[i][0:1] for r in regions for c in page.chain(r))}
-    taken = set(loose)
-    return " ".join(x[0] for i, (x, chain) in enumerate(zip(lines, chains, strict=True)) if not x[4] and (i in taken or not regions.isdisjoint(chain)))
+        n_regions = [int(c in regions) for c in range(len(page.parents))]
+        summed(n_regions, page.parents)
+        regions |= {of[i] for i in loose if page.kinds[of[i]] not in ("html", "body") and not n_regions[of[i]]}
+    taken, within = set(loose), below(regions, page.parents)
+    return " ".join(x[0] for i, x in enumerate(lines) if not x[4] and (i in taken or within[of[i]]))
+
+
+def summed(counts: list[int], parents: list[int]) -> None:
+    """Adds the counts of all that is below to each container."""
+    for c in range(len(parents) - 1, 0, -1):
+        counts[parents[c]] += counts[c]
+
+
+def below(regions: set[int], parents: list[int]) -> list[bool]:
+    """Whether each container is one of ``regions`` or in one."""
+    out = [False] * len(parents)
+    for c, p in enumerate(parents):
+        out[c] = c in regions or p >= 0 and out[p]
+    return out
 
 
 def extract(df: DataFrame, key: str = "page_id", html: str = "html", also: tuple[str, ...] = ("url",)) -> DataFrame:

@@ -237,6 +237,20 @@ def test_split_articles_are_whole():
     assert html.main_text(f"<body><article>{says(0, 39)}</article><article>{says(39, 40)}</article></body>") == want(40)
 
 
+def test_a_teaser_does_not_replace_the_body():
+    body, teaser = " ".join(f"body{i}" for i in range(100)), " ".join(f"teaser{i}" for i in range(90))
+    assert body in html.main_text(f"<body><div class=content><p>{body}</p></div><article><p>{teaser}</p></article></body>")
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 100_000, "<div>" + "<b>" * 50_000 + "</u>" * 50_000 + "x", "<u><div>" + "<b>" * 50_000 + "</u>" * 50_000 + "x", "<p><header>y" * 30_000, "<article><header>y" * 30_000, "<li>x" * 50_000, "<table><tr><td>x" * 30_000])
+def test_hostile_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    assert "x" in html.main_text(page) + "x"
+    assert time.process_time() - began < 6
+
+
 @pytest.mark.parametrize(("page", "text"), [(None, ""), ("", ""), ("<div>", ""), ("plain", "plain"), ("<p>a<p>b", "a b"), ("<article><header><h1>T</h1></header><p>a &lt;b&gt; c<footer>f</footer></article>", "T a <b> c"), ("<nav>only</nav>", ""), ("<p>a < b & c", "a < b & c")])
 def test_odd_pages(page, text):
     assert html.main_text(page) == text
