@@ -32,6 +32,11 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place))
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Deletes a written table that nothing reads any more."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -67,10 +67,36 @@ def test_slot_maps(spark, tmp_path):
     assert max(three.loads()) < 1.1 * min(three.loads())
     assert sum(three.shard_of[s] != one.shard_of[s] for s in sizes) < 0.5 * len(sizes)
     path = str(tmp_path / "map")
+    assert sharding.SlotMap.load(spark, path) is None
     one.save(spark, path)
     two.save(spark, path)
-    assert sharding.SlotMap.load(spark, path, 6) == two
-    assert sharding.SlotMap.load(spark, path, 5, version=1) == one
+    assert sharding.SlotMap.load(spark, path) == two
+    assert sharding.SlotMap.load(spark, path, version=1) == one
+    with pytest.raises(Exception, match="exists|EXISTS"):
+        two.save(spark, path)
+
+
+def test_an_edited_map_moves_the_rows_of_its_moved_slots(spark, tmp_path):
+    """Two runs give versions 1 and 2; between them only rows of entries that the second map moves change shards, also after growth and in split slots."""
+    path = str(tmp_path / "map")
+    rows = [(7 if i < 300 else i, f"text {i} " * (1 + i % 9)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    more = df.unionByName(spark.createDataFrame([(9000 + i, "another text " * 30) for i in range(300)], "doc_id long, text string"))
+    before = {(r["doc_id"], r["text_crc32"], r["size"]): r["shard"] for r in sharding.shard(df, 4, map_path=path).collect()}
+    after = sharding.shard(more, 5, map_path=path).collect()
+    one, two = (sharding.SlotMap.load(spark, path, version=v) for v in (1, 2))
+    assert sharding.SlotMap.load(spark, path) == two and (one.shards, two.shards) == (4, 5) and one.ways == two.ways and one.ways
+    loads = check_shards(after, None, 5)
+    assert max(loads.values()) < 1.1 * min(loads.values())
+    # entries of the rows that both runs place
+    base = sharding.entered(sharding.sized(df), one.ways, sharding.part_most(one.bytes_of, 4) / 2, one.slots)
+    entry = {(r["key"], r["text_crc32"], r["size"]): r["entry"] for r in base.collect()}
+    now = {(r["doc_id"], r["text_crc32"], r["size"]): r["shard"] for r in after}
+    assert {k for k in before if before[k] != now[k]} == {k for k, e in entry.items() if one.shard_of[e] != two.shard_of[e]}
+    assert 0 < sum(before[k] != now[k] for k in before) < 0.6 * len(before)
+    # another layout of the same rows, the same shards
+    again = sharding.placed(sharding.sized(df.repartition(7, "text")), one).collect()
+    assert {(r["key"], r["text_crc32"], r["size"]): r["shard"] for r in again} == before
 
 
 # --- mixing
