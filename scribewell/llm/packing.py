@@ -21,6 +21,8 @@ from .tokens import encoder
 #: Pieces that one task packs together. Some bins of each such group stay partly empty, so larger is
 #: tighter; a task needs some 100 bytes and up to a numpy pass over its open bins for each piece.
 GROUP_PIECES = 16_384
+#: Weights of the residual tokens, documents and attention cost in the choice of a bin.
+WEIGHTS = (1.0, 1.0, 1.0)
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -88,7 +90,7 @@ def best_fit(lengths: np.ndarray, capacity: np.ndarray, weights: np.ndarray, sco
     return bins, places
 
 
-def pack(pieces: DataFrame, n: int, capacity: int, most_documents: int, attention: float, weights: tuple[float, float, float] = (1.0, 0.0, 0.0), score: str = "norm", group: int = GROUP_PIECES) -> DataFrame:
+def pack(pieces: DataFrame, n: int, capacity: int, most_documents: int, attention: float, weights: tuple[float, float, float] = WEIGHTS, score: str = "norm", group: int = GROUP_PIECES) -> DataFrame:
     """``pieces`` (columns of :func:`token_pieces`, ``n`` rows) with sequence_id and offset.
 
     Rows are dealt round robin into groups of about ``group`` pieces, each packed by one task; hot
@@ -115,13 +117,13 @@ def pack(pieces: DataFrame, n: int, capacity: int, most_documents: int, attentio
     return pieces.repartition(parts).mapInArrow(guarded, schema)
 
 
-def pack_documents(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0, most_documents: int | None = None, attention: float | None = None, weights: tuple[float, float, float] = (1.0, 0.0, 0.0), score: str = "norm") -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0, most_documents: int | None = None, attention: float | None = None, weights: tuple[float, float, float] = WEIGHTS, score: str = "norm") -> DataFrame:
     """Every piece of every document with its sequence: key, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its text's ids and then ``end_id``; null and empty texts are that one id. Documents
     longer than ``capacity`` are cut into full pieces and a first one that may be shorter. By default
     ``most_documents`` and ``attention`` (the sum of squared lengths in a sequence) have the largest
-    values that a full sequence can need, so that only tokens bind. A piece that alone is over the
+    values that a full sequence can need, so that no sequence is closed before its tokens are used up; what is left of them takes part in the choice all the same. A piece that alone is over the
     attention capacity has no sequence, which is an error. Repeated rows and null keys are packed like others; further columns are not
     read; an empty table gives an empty one.
     """

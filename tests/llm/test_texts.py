@@ -121,6 +121,42 @@ def test_best_fit_holds_every_capacity(score):
     assert len(set(bins.tolist())) <= 1.3 * max(lengths.sum() / 100, len(lengths) / 3)
 
 
+def test_all_residuals_take_part_in_the_choice_and_cost_no_sequence():
+    """With the query's weights and capacities pieces go elsewhere than by tokens alone, into as many sequences."""
+    lengths = np.minimum(np.random.default_rng(4).lognormal(5.5, 1.1, 6000).astype(int) + 1, 2047)
+    capacity = np.array([2048.0, 2048.0, 2048.0**2])
+    vector, _ = packing.best_fit(lengths, capacity, np.array(packing.WEIGHTS))
+    scalar, _ = packing.best_fit(lengths, capacity, np.array([1.0, 0.0, 0.0]))
+    assert (vector != scalar).any()
+    assert vector.max() <= scalar.max() and vector.max() + 1 <= -(-lengths.sum() // 2048) + 2
+    for bins in (vector, scalar):
+        assert np.bincount(bins, lengths).max() <= 2048
+
+
+def test_languages_are_those_of_a_plain_encoding(spark):
+    """Predictions and scores held against one-shot encodings of each block with the same dictionaries."""
+    import zstandard
+
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
+    encoders = {}
+    for lang, content in model.content.items():
+        data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        data.precompute_compress(level=langid.LEVEL)
+        encoders[lang] = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)
+    texts_of = dict(connect().execute("SELECT doc_id, text FROM documents").fetchall())
+    for r in queries.op3_language_id(spark, SF_DIR).collect():
+        text = texts_of[r["doc_id"]]
+        if not text or not any(c.isalpha() for c in text):
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
+            continue
+        data = re.sub(r"[\W\d_]+", " ", text.lower()).encode()
+        sizes = [(sum(len(e.compress(data[a : a + 4096])) for a in range(0, len(data), 4096)), k, lang) for k, (lang, e) in enumerate(encoders.items())]
+        (best, _, lang), (second, *_) = sorted(sizes)[:2]
+        assert r["lang_pred"] == lang
+        assert r["score"] == pytest.approx(min(1.0, 2 * (second - best) / second)) and r["rejected"] == ((second - best) / second < 0.002)
+
+
 def base(text):
     """The contract's rules, read as they stand."""
     rules = [
@@ -174,6 +210,17 @@ def test_ledger_is_incremental(spark, odd_documents, no_documents):
     assert secrets.scan_documents(no_documents, ledger).count() == 0
 
 
+def test_masks_of_odd_rows(spark, odd_documents, no_documents):
+    """A mask changes texts with spans only; nulls, repeated rows and clashing columns stay as they are."""
+    found = secrets.update(odd_documents, secrets.new_ledger(spark))
+    before = sorted(map(tuple, odd_documents.where("doc_id IS NULL OR doc_id <> 8").collect()), key=str)
+    after = secrets.mask(odd_documents, found)
+    assert after.columns == odd_documents.columns
+    assert sorted(map(tuple, after.where("doc_id IS NULL OR doc_id <> 8").collect()), key=str) == before
+    assert after.where("doc_id = 8").first()["text"] == "[SECRET] and [SECRET] é [SECRET]"
+    assert secrets.mask(no_documents, found).count() == 0
+
+
 def odddoc(spark, like):
     return like.limit(1).withColumn("text", F.lit("a new version of a text")).withColumn("doc_id", F.lit(99).cast("long"))
 
