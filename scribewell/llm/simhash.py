@@ -267,6 +267,8 @@ MINIMA, ANCHORS = 128, 8
 SLACK = 3.0
 #: An anchor with more distinct texts than ANCHOR_MOST is dealt into runs of about RUN_MOST, any two of which meet in a task.
 ANCHOR_MOST, RUN_MOST = 4096, 1024
+#: Bytes of sets in a run of texts whose links are settled by their sets.
+RUN_BYTES = 8 << 20
 #: In a run of more texts all pairs are compared at once, without a trie, and those of higher estimates first.
 DENSE_FROM, DENSE_STEPS = 256, (0.95, 0.88)
 _MULTIPLIERS = np.random.default_rng(SEED).integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -371,13 +373,11 @@ class Texts:
         near = weight >= self.agree
         return i[near], j[near], weight[near]
 
-    def tree(self, root: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Candidates that join the components ``root`` to a spanning forest; ``known`` (sorted i * n + j) are none any more."""
+    def tree(self) -> tuple[np.ndarray, np.ndarray]:
+        """Candidates that make a spanning forest of each run."""
         n = len(self.code)
         i, j, weight = self.small
-        fresh = ~np.isin(i * n + j, known)
-        i, j, weight = i[fresh], j[fresh], weight[fresh]
-        chosen, root = forest(n, i, j, weight, root)
+        chosen, root = forest(n, i, j, weight, np.arange(n))
         out = [(i[chosen], j[chosen])]
         for a, b in self.dense:
             for step in (*[s for s in DENSE_STEPS if s > self.agree], self.agree):
@@ -388,7 +388,7 @@ class Texts:
                     i, j = i[apart], j[apart]
                     for c in range(0, len(i), 65_536):
                         x, y = i[c : c + 65_536], j[c : c + 65_536]
-                        apart = (root[x] != root[y]) & ~np.isin(x * n + y, known)
+                        apart = root[x] != root[y]
                         x, y = x[apart], y[apart]
                         weight = self.estimates(x, y)
                         near = weight >= step
@@ -438,46 +438,75 @@ def by_block(df: DataFrame, group: str, columns: list[str], links_of: Callable[[
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def candidates(each: DataFrame, crowded: DataFrame, budget: int, agree: float, forests: int) -> DataFrame:
-    """(a, b): pairs of classes to be judged, from the rows ``each`` (class, code, sketch, anchor, yes, no).
+def runs_of(now: pa.Table) -> np.ndarray:
+    """The ends of the runs of one anchor and block."""
+    anchor, block = now.column("anchor").to_numpy(), now.column("block").to_numpy()
+    return np.append(np.nonzero((anchor[1:] != anchor[:-1]) | (block[1:] != block[:-1]))[0] + 1, len(anchor))
 
-    In each block the candidates of up to ``forests`` spanning forests, one after the other and without each other's pairs. What was
-    judged before (``yes`` and ``no``: classes that this one was held against) joins components at once, or is no candidate any more.
-    """
+
+def candidates(each: DataFrame, crowded: DataFrame, budget: int, agree: float) -> DataFrame:
+    """(a, b): pairs of classes to be judged, from the rows ``each`` (class, code, sketch, anchor): the candidates of a spanning forest in each block."""
 
     def links_of(now: pa.Table) -> Iterator[pa.RecordBatch]:
-        anchor, block, texts = (now.column(c).to_numpy() for c in ("anchor", "block", "class"))
-        n = len(texts)
-        code, sketch = now.column("code").to_numpy().view(np.uint64), np.frombuffer(b"".join(now.column("sketch").to_pylist()), np.uint8).reshape(-1, MINIMA)
-        cuts = np.append(np.nonzero((anchor[1:] != anchor[:-1]) | (block[1:] != block[:-1]))[0] + 1, n)
-        judged = {}
-        run = np.repeat(np.arange(len(cuts)), np.diff(cuts, prepend=0))
-        place = None
-        for column in ("yes", "no"):
-            lists = now.column(column).combine_chunks()
-            sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-            i, other = np.repeat(np.arange(n), sizes), lists.flatten().to_numpy()
-            if len(i):
-                # where the other class stands in the same run, if it does
-                place = place or {(r, c): k for k, (r, c) in enumerate(zip(run.tolist(), texts.tolist(), strict=True))}
-                at = np.array([place.get((r, c), -1) for r, c in zip(run[i].tolist(), other.tolist(), strict=True)], np.int64)
-                i, at = i[at >= 0], at[at >= 0]
-                judged[column] = np.minimum(i, at), np.maximum(i, at)
-            else:
-                judged[column] = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        root = spanning(n, *judged["yes"])
-        known = np.unique(np.concatenate([judged[c][0] * n + judged[c][1] for c in ("yes", "no")]))
-        found = Texts(code, sketch, cuts, budget, agree)
-        for _ in range(forests):
-            i, j = found.tree(root, known)
-            if not len(i):
-                break
-            known = np.union1d(known, i * n + j)
+        code, texts = now.column("code").to_numpy().view(np.uint64), now.column("class").to_numpy()
+        sketch = np.frombuffer(b"".join(now.column("sketch").to_pylist()), np.uint8).reshape(-1, MINIMA)
+        i, j = Texts(code, sketch, runs_of(now), budget, agree).tree()
+        if len(i):
             yield pa.RecordBatch.from_arrays([pa.array(texts[i]), pa.array(texts[j])], ["a", "b"])
 
-    pairs = by_block(in_blocks(each, "anchor", crowded), "anchor", ["class", "code", "sketch", "yes", "no"], links_of)
     # a pair may come from several blocks
-    return pairs.distinct()
+    return by_block(in_blocks(each, "anchor", crowded), "anchor", ["class", "code", "sketch"], links_of).distinct()
+
+
+def set_links(sets: list[np.ndarray], root: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links (i, j) by which all of the sets that have that Jaccard similarity or more are connected, beyond what ``root`` (changed in place) has.
+
+    Exact: an inverted index gives what each set but those of the largest component has in common with all others.
+    """
+    n, size = len(sets), np.fromiter(map(len, sets), np.int64, len(sets))
+    labels, counts = np.unique(root, return_counts=True)
+    open_ = np.nonzero(root != labels[counts.argmax()])[0].tolist()
+    if not open_:
+        return []
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    starts = np.cumsum(size) - size
+    holders = np.repeat(np.arange(n), size)[np.argsort(token, kind="stable")]
+    n_holders = np.bincount(token)
+    first = np.cumsum(n_holders) - n_holders
+    out = []
+    for i in open_:
+        own = token[starts[i] : starts[i] + size[i]]
+        m = n_holders[own]
+        at = np.repeat(first[own] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        both = np.bincount(holders[at], minlength=n)
+        for j in np.nonzero((both >= similarity * (size[i] + size - both)) & (root != root[i]))[0].tolist():
+            if root[i] != root[j]:
+                root[root == root[j]] = root[i]
+                out.append((i, j))
+    return out
+
+
+def settled(each: DataFrame, ways: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links between classes of each block by the exact similarity of their sets, from the rows ``each`` (class, grams, anchor, yes).
+
+    ``yes`` are classes with which a row's class is linked already.
+    """
+
+    def links_of(now: pa.Table) -> Iterator[pa.RecordBatch]:
+        texts, cuts = now.column("class").to_numpy(), runs_of(now)
+        grams, yes = now.column("grams"), now.column("yes").to_pylist()
+        a = 0
+        for b in cuts.tolist():
+            place = {c: k for k, c in enumerate(texts[a:b].tolist())}
+            known = [(k, place[c]) for k, row in enumerate(yes[a:b]) for c in row if c in place]
+            root = spanning(b - a, *np.array(known, np.int64).reshape(-1, 2).T)
+            found = set_links([np.frombuffer(x.as_py(), np.uint64) for x in grams[a:b]], root, similarity)
+            if found:
+                i, j = np.array(found).T + a
+                yield pa.RecordBatch.from_arrays([pa.array(texts[np.minimum(i, j)]), pa.array(texts[np.maximum(i, j)])], ["a", "b"])
+            a = b
+
+    return by_block(in_blocks(each, "anchor", ways), "anchor", ["class", "grams", "yes"], links_of).distinct()
 
 
 def held_to(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
@@ -506,43 +535,36 @@ def held_to(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
     return map_batches(both.select("a", "b", "x", "y"), make, "a long, b long, near boolean")
 
 
-def copies(rows: DataFrame, df: DataFrame, key: str, text: str, words: int, similarity: float, rounds: int = 8) -> DataFrame:
+def copies(rows: DataFrame, df: DataFrame, key: str, text: str, words: int, similarity: float) -> DataFrame:
     """(a, b): links between classes of ``rows`` (profiles of ``df``) by which all are connected whose texts' shingle sets have that Jaccard similarity or more.
 
     Texts are dealt to tasks by anchors, and a group is joined by the binary trie with the budget of bits that
     the similarity asks for; sketches make candidates of the pairs within it. Of each group the pairs of a spanning forest are held to
-    their exact similarity, and as long as some fail, the groups of these are gone through again, with sixteen times as many forests in each round.
+    their exact similarity. Where one fails, others may still connect its texts: such groups are gone through once more, now by their texts' whole sets.
     """
     angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     budget = int(BITS * angle + SLACK * np.sqrt(BITS * angle * (1 - angle)))
     agree = similarity - SLACK * np.sqrt(similarity * (1 - similarity) / MINIMA)
     classes = written(rows.groupBy("class").agg(F.min(F.struct("key", "version", "code", "anchors", "sketch")).alias("t")).select("class", "t.*"), "classes")
-    none = F.array().cast("array<long>")
-    every = classes.select("class", "code", "sketch", F.explode("anchors").alias("anchor"))
-    crowded = written(every.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > ANCHOR_MOST).select("anchor", F.ceil(F.col("n") / RUN_MOST).cast("int").alias("ways")), "crowded")
-    each = every.withColumn("yes", none).withColumn("no", none)
-    judged = grams = None
-    for turn in range(rounds):
-        pairs = written(candidates(each, crowded, budget, agree, 16**turn), "candidates")
-        if judged is not None:
-            pairs = written(pairs.join(judged.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), "candidates")
-        if grams is None:
-            # a text that is in no candidate now will be in none later
-            used = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-            wanted = written(used.join(classes.select("class", F.col("key").alias("__sw_key"), F.col("version").alias("__sw_version")), "class"), "wanted")
-            texts = df.select(F.col(key).alias("__sw_key"), F.col(text).alias("__sw_text")).withColumn("__sw_version", F.xxhash64("__sw_text"))
-            grams = written(sets_of(texts.join(checked(wanted), ["__sw_key", "__sw_version"]).select("class", F.col("__sw_text").alias("text")), words), "grams")
-        new = written(held_to(pairs, grams, similarity), "judged")
-        judged = new if judged is None else judged.unionByName(new)
-        failed = new.where(~F.col("near"))
-        if failed.isEmpty():
-            return judged.where("near").select("a", "b")
-        # on with the groups that both texts of a failed pair are in; there each text says what it was held against
-        of = lambda side: failed.join(every.select(F.col("class").alias(side), "anchor"), side)
-        again = written(of("a").select("a", "b", "anchor").intersect(of("b").select("a", "b", "anchor")).select("anchor").distinct(), "again")
-        held = judged.groupBy(F.col("b").alias("class")).agg(F.collect_list(F.when(F.col("near"), F.col("a"))).alias("yes"), F.collect_list(F.when(~F.col("near"), F.col("a"))).alias("no"))
-        each = every.join(checked(again), "anchor", "left_semi").join(held, "class", "left").withColumn("yes", F.coalesce("yes", none)).withColumn("no", F.coalesce("no", none))
-    raise RuntimeError(f"links didn't settle in {rounds} rounds")
+    each = classes.select("class", "code", "sketch", F.explode("anchors").alias("anchor"))
+    crowded = written(each.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > ANCHOR_MOST).select("anchor", F.ceil(F.col("n") / RUN_MOST).cast("int").alias("ways")), "crowded")
+    pairs = written(candidates(each, crowded, budget, agree), "candidates")
+    # what is in no pair here has no candidate at all, so its set is not needed
+    used = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    wanted = written(used.join(classes.select("class", F.col("key").alias("__sw_key"), F.col("version").alias("__sw_version")), "class"), "wanted")
+    texts = df.select(F.col(key).alias("__sw_key"), F.col(text).alias("__sw_text")).withColumn("__sw_version", F.xxhash64("__sw_text"))
+    grams = written(sets_of(texts.join(checked(wanted), ["__sw_key", "__sw_version"]).select("class", F.col("__sw_text").alias("text")), words), "grams")
+    judged = written(held_to(pairs, grams, similarity), "judged")
+    linked, failed = judged.where("near").select("a", "b"), judged.where(~F.col("near"))
+    at = classes.select("class", F.explode("anchors").alias("anchor"))
+    of = lambda side: failed.join(at.select(F.col("class").alias(side), "anchor"), side).select("a", "b", "anchor")
+    again = written(of("a").intersect(of("b")).select("anchor").distinct(), "again")
+    yes = linked.groupBy(F.col("b").alias("class")).agg(F.collect_set("a").alias("yes"))
+    each = at.join(checked(again), "anchor", "left_semi").join(yes, "class", "left").join(grams, "class")
+    each = written(each.select("class", "anchor", "grams", F.coalesce("yes", F.array().cast("array<long>")).alias("yes")), "unsettled")
+    n, size = F.col("n") / RUN_MOST, F.col("size") / RUN_BYTES
+    ways = each.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.octet_length("grams")).alias("size")).where(F.greatest(n, size) > 2).select("anchor", F.ceil(F.greatest(n, size)).cast("int").alias("ways"))
+    return linked.unionByName(settled(each, written(ways, "ways"), similarity))
 
 
 def sets_of(rows: DataFrame, words: int) -> DataFrame:

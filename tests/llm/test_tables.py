@@ -351,6 +351,18 @@ def test_a_crowded_template_keeps_its_links(spark):
     assert copy_groups(spark, texts) == groups_of(len(texts), pairs)
 
 
+def test_set_links_are_exact():
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**64, (5, 60), dtype=np.uint64)
+    sets = [np.unique(np.where(rng.random(60) < rng.choice([0.02, 0.1, 0.15]), rng.integers(0, 2**64, 60, dtype=np.uint64), base[k % 5])) for k in range(120)] + [np.zeros(0, np.uint64)] * 2
+    want = groups_of(122, alike([set(x.tolist()) for x in sets]))
+    assert 5 < len(set(want)) < 120
+    for known in ([], [(i, r) for i, r in enumerate(want) if i % 2]):
+        root = simhash.spanning(122, *np.array(known, np.int64).reshape(-1, 2).T)
+        found = simhash.set_links(sets, root, 0.8)
+        assert groups_of(122, known + found) == want
+
+
 def test_forest_takes_the_heaviest_edges():
     rng = np.random.default_rng(3)
     i, j = rng.integers(0, 40, 300), rng.integers(0, 40, 300)
