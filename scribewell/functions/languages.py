@@ -20,6 +20,8 @@ LANGUAGES = {
 }
 # Model sizes and their labels.
 MODELS = {"auto": "Auto (best for your device)", "tiny": "Tiny (fastest, lowest quality)", "base": "Base (recommended - stable)", "small": "Small (better quality)", "medium": "Medium (high quality, heavier)"}
+# The public model of each size.
+MODEL_IDS = {"auto": "onnx-community/whisper-base", "tiny": "onnx-community/whisper-tiny", "base": "onnx-community/whisper-base", "small": "onnx-community/whisper-small", "medium": "onnx-community/whisper-medium"}
 DEFAULT_LANGUAGE = "ru"
 
 
@@ -31,6 +33,10 @@ def dim_models(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(MODELS.items()), "model string, label string")
 
 
+def dim_model_ids(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(MODEL_IDS.items()), "model string, model_id string")
+
+
 def display_name(name: Column) -> Column:
     """The first character of each part between slashes in upper case, the rest as it is."""
     return F.array_join(F.transform(F.split(name, "/"), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 20))), "/")

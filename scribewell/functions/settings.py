@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The record's fields with their types and defaults.
@@ -70,6 +70,15 @@ def merged(text: Column) -> Column:
     return F.struct(*fields)
 
 
+def unknown(text: Column) -> Column:
+    """JSON text of the keys of a stored object that are no fields of the record, with their values as they are; the old layout and what is no object have none.
+
+    A merge keeps such keys: they go beside the record, and :func:`stored_with` writes them back.
+    """
+    every = F.from_json(F.when((json_type(text) == "object") & ~is_legacy(text), text), "map<string,variant>")
+    return F.to_json(F.coalesce(F.map_filter(every, lambda k, v: ~k.isin(*FIELDS)), F.expr("cast(map() AS map<string,variant>)")))
+
+
 def defaults() -> Column:
     return F.struct(*[F.lit(v).cast(FIELDS[k]).alias(k) for k, v in DEFAULTS.items()])
 
@@ -101,6 +110,19 @@ def stored(record: Column) -> Column:
     return F.to_json(record, {"ignoreNullFields": "false"})
 
 
+def stored_with(record: Column, rest: Column) -> Column:
+    """JSON text of a record and of the unknown keys ``rest`` that came with it."""
+    known = F.regexp_replace(stored(record), r"\}$", "")
+    return F.when(F.coalesce(rest, F.lit("{}")) == "{}", stored(record)).otherwise(F.concat(known, F.lit(","), F.substring(rest, 2, 1 << 30)))
+
+
+def put(table: DataFrame, changes: DataFrame) -> DataFrame:
+    """A key-value table (key, json) with ``changes`` (seq, key, json): the last change of a key overwrites it, and a null json deletes it."""
+    last = changes.groupBy("key").agg(F.max_by(F.struct("json"), "seq").alias("new"))
+    both = table.join(last, "key", "full")
+    return both.select("key", F.when(F.col("new").isNotNull(), F.col("new.json")).otherwise(F.col("json")).alias("json")).where(F.col("json").isNotNull())
+
+
 def updated(record: Column, **changes: object) -> Column:
     """The record with some fields replaced."""
     for name, value in changes.items():

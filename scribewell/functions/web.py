@@ -60,3 +60,14 @@ def route(kind: Column, target: Column | None = None) -> Column:
     out = F.when(kind.isin("start-transcription", "stop-transcription"), "recorder").when(kind.isin("get-recording-state"), "reply").when(kind.isin("recording-state", "transcript", "model-status", "capture-error"), "panel")
     out = out.when(kind == "offscreen-ready", "starter").otherwise("none")
     return out if target is None else F.when(target == TARGET, "offscreen").otherwise(out)
+
+
+def start_outcome(url: Column, has_context: Column, context_made: Column, handle: Column) -> Column:
+    """What a request to start gives: ``start`` at once where a context exists, else ``wait`` for the one that is made to be ready.
+
+    A context that can't be made, an address that can't be captured and a stream without a handle are a ``capture-error`` each;
+    with a new context the address and the handle are looked at once it is ready. Nulls count as false.
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    waits = F.when(yes(context_made), "wait").otherwise("capture-error")
+    return F.when(~yes(has_context), waits).when(capturable(url) & yes(handle != ""), "start").otherwise("capture-error")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scribewell.functions.web import capturable
+from scribewell.operators.providers import TextModel, answered
 
 # The cap and the prompts.
 LINES = 40
@@ -88,4 +91,24 @@ def distilled(pages: DataFrame) -> DataFrame:
     """
     kept = pages.where(capturable(F.col("url")) & F.col("html").isNotNull())
     body = head_lines(markdown(article(F.col("html"))))
-    return kept.select("page_id", "url", title(F.col("html")).alias("title"), body.alias("body")).where(F.col("body") != "")
+    # a filter would be pushed below the projection and make the markdown twice
+    found = F.filter(F.array(body), lambda x: x != "")
+    return kept.select("page_id", "url", title(F.col("html")).alias("title"), F.explode(found).alias("body"))
+
+
+def summarized(pages: DataFrame, summarizers: list[Callable[[], TextModel]], translators: list[Callable[[], TextModel]]) -> DataFrame:
+    """page_id, text, status of every page (page_id, url, html, language): its summary under a linked title, in Japanese if that is the language.
+
+    The summary of a page's markdown goes to the translating model for Japanese readers only. Where a model fails, the text says so and the
+    status too; pages that can't be captured or have no article are left out, as in :func:`distilled`.
+    """
+    done = distilled(pages)
+    asked = done.select("page_id", prompt(F.col("body")).alias("prompt"))
+    first = answered(asked, summarizers).select("page_id", F.col("answer").alias("summary"), F.col("status").alias("summary_status"))
+    language = pages.select("page_id", "language")
+    second = first.join(language, "page_id").select("page_id", translate_prompt(F.col("language"), F.col("summary")).alias("prompt"))
+    second = answered(second, translators).select("page_id", F.col("answer").alias("translated"), F.col("status").alias("translated_status"))
+    both = done.select("page_id", "title", "url").join(first, "page_id").join(second, "page_id")
+    status_ = F.when(F.col("summary_status") != "ok", F.col("summary_status")).when(~F.col("translated_status").isin("ok", "skipped"), F.col("translated_status")).otherwise("ok")
+    text = F.when(status_ == "ok", titled(F.col("title"), F.col("url"), F.coalesce("translated", "summary"))).otherwise(failure_text(status_))
+    return both.select("page_id", text.alias("text"), status_.alias("status"))

@@ -28,6 +28,10 @@ CONTEXTS = "(VALUES (1, 'OFFSCREEN_DOCUMENT'), (1, 'SIDE_PANEL'), (2, 'POPUP'),
 MODELS = "(VALUES (1, 'auto', true), (2, 'auto', false), (3, 'small', true), (4, NULL, true), (5, 'large', false)) AS t(id, model, gpu)"
 
 
+STARTS = "(VALUES (1, 'https://a', true, false, 'h'), (2, 'chrome://a', true, false, 'h'), (3, 'https://a', true, false, NULL), (4, 'https://a', true, false, ''), (5, 'https://a', false, true, NULL), (6, 'https://a', false, false, 'h'), (7, NULL, true, false, 'h'), (8, 'https://a', NULL, NULL, 'h')) AS t(id, url, has_context, context_made, handle)"
+EXTRAS = """(VALUES (1, '{"mode":"translate","extra":5}'), (2, '{"a":"x","b":null,"whisperModel":"small"}'), (3, '{"mode":"transcribe"}'), (4, '{bad'), (5, '{"language":"english","extra":1}'), (6, '[]'), (7, NULL), (8, '{"deep":{"k":[1,2]},"flag":true}')) AS t(id, json)"""
+
+
 def rows(spark: SparkSession, values: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM {values.replace('array[', 'array(').replace('])', '))') if 'array[' in values else values}")
 
@@ -151,8 +155,34 @@ def ctx_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contexts.select("window_id").distinct().join(contexts.where("context_type = 'OFFSCREEN_DOCUMENT'"), "window_id", "left_semi")
 
 
+def settings_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that the record doesn't have are kept beside it."""
+    return rows(spark, EXTRAS).select("id", settings.unknown(F.col("json")).alias("rest"))
+
+
+def settings_stored_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is written back has the record's fields and the unknown keys; both are read from it again."""
+    text = F.col("json")
+    whole = rows(spark, EXTRAS).select("id", settings.stored_with(settings.migrated(text), settings.unknown(text)).alias("json"))
+    return whole.select("id", settings.unknown(text).alias("rest"), settings.migrated(text)["mode"].alias("mode"))
+
+
+def settings_put(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of settings after one key is overwritten twice, one deleted and one added."""
+    table = rows(spark, SETTINGS).where("json IS NOT NULL").select(F.col("id").cast("string").alias("key"), "json")
+    return settings.put(table, rows(spark, "(VALUES (1, '9', '{}'), (2, '9', '{\"mode\":\"translate\"}'), (3, '10', NULL), (4, 'new', '[]'), (5, 'none', NULL)) AS t(seq, key, json)"))
+
+
+def start_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(spark, STARTS).select("id", web.start_outcome(F.col("url"), F.col("has_context"), F.col("context_made"), F.col("handle")).alias("outcome"))
+
+
+def model_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(spark, MODELS).join(F.broadcast(languages.dim_model_ids(spark)), "model", "left").select("id", "model", "model_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [url_capturable, url_capturable_ext, settings_load, settings_is_legacy, settings_truthy, settings_merge, settings_migrate, settings_update, settings_roundtrip, safe_render, msg_error_text, falsy_default, status_whitelist, error_fallback_class, resolve_language, lang_display, lang_primary, dim_languages, dim_models_entries, model_label_lookup, model_recommend, msg_target_filter, msg_route_targets, transcript_emit, transcript_append_rules, transcript_concat_rules, ctx_semi]
+    own = [url_capturable, url_capturable_ext, settings_load, settings_is_legacy, settings_truthy, settings_merge, settings_migrate, settings_update, settings_roundtrip, safe_render, msg_error_text, falsy_default, status_whitelist, error_fallback_class, resolve_language, lang_display, lang_primary, dim_languages, dim_models_entries, model_label_lookup, model_recommend, msg_target_filter, msg_route_targets, transcript_emit, transcript_append_rules, transcript_concat_rules, ctx_semi, settings_unknown, settings_stored_whole, settings_put, start_outcome, model_ids]
     return {f.__name__: f for f in own}
 
 
@@ -211,8 +241,19 @@ _MIGRATE = (
 )
 
 
+_KNOWN = ", ".join(f"'{n}'" for n in settings.FIELDS)
+_REST = f"""WITH typed AS (SELECT id, json, CASE WHEN json IS NOT NULL AND json_valid(json) AND json_type(json) = 'OBJECT' THEN json::JSON END AS o FROM {EXTRAS}),
+  kept AS (SELECT *, CASE WHEN o IS NULL OR (list_contains(json_keys(o), 'language') AND NOT list_contains(json_keys(o), 'mode')) THEN []::VARCHAR[] ELSE list_filter(json_keys(o), lambda k: k NOT IN ({_KNOWN})) END AS names FROM typed),
+  rest AS (SELECT id, o, '{{' || array_to_string(list_transform(names, lambda k: '"' || k || '":' || CAST(json_extract(o, '$.' || k) AS VARCHAR)), ',') || '}}' AS rest FROM kept)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "settings_unknown": _REST + " SELECT id, rest FROM rest",
+        "settings_stored_whole": _REST + " SELECT id, rest, coalesce(o->>'$.mode', 'transcribe') AS mode FROM rest",
+        "settings_put": f"SELECT CAST(id AS VARCHAR) AS key, CASE WHEN id = 9 THEN '{{\"mode\":\"translate\"}}' ELSE json END AS json FROM {SETTINGS} WHERE json IS NOT NULL AND id <> 10 UNION ALL SELECT 'new', '[]'",
+        "start_outcome": f"SELECT id, CASE WHEN coalesce(has_context, false) THEN CASE WHEN coalesce(url <> '' AND NOT ({_starts(web.BLOCKED)}), false) AND coalesce(handle, '') <> '' THEN 'start' ELSE 'capture-error' END WHEN coalesce(context_made, false) THEN 'wait' ELSE 'capture-error' END AS outcome FROM {STARTS}",
+        "model_ids": f"SELECT m.id, m.model, t.model_id FROM (SELECT * FROM {MODELS}) m LEFT JOIN {_values(languages.MODEL_IDS, 'model, model_id')} ON m.model = t.model",
         "url_capturable": f"SELECT id, coalesce(url <> '' AND NOT ({_starts(web.BLOCKED)}), false) AS capturable FROM {URLS}",
         "url_capturable_ext": f"SELECT id, coalesce(url <> '' AND NOT ({_starts(web.BLOCKED_EXTENDED)}), false) AS capturable FROM {URLS}",
         "settings_load": _TYPED + " SELECT id, kind AS json_type FROM typed",

@@ -104,6 +104,12 @@ def doc_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return providers.answered(done.select("page_id", distill.prompt(F.col("body")).alias("prompt")), [providers.StubTextModel])
 
 
+def doc_summarized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From pages to summaries under their titles, in Japanese for every third page, with stubs for both models."""
+    pages = tables.table(spark, sf_dir, "pages").withColumn("language", F.when(F.col("page_id") % 3 == 0, "japanese").otherwise("english"))
+    return distill.summarized(pages, [providers.StubTextModel], [providers.StubTextModel])
+
+
 def locale_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.table(spark, sf_dir, "documents").select("doc_id", languages.locale_default(F.col("lang")).alias("language"))
 
@@ -214,7 +220,7 @@ def toast_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toast_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return notices.removed(_latest_by_id(spark, sf_dir), _log(spark, sf_dir).where("action = 'REMOVE' AND seq % 5 = 0").select("stream_id", "id"))
+    return notices.removed(_latest_by_id(spark, sf_dir), _log(spark, sf_dir).where("action = 'REMOVE'").select("stream_id", "id"))
 
 
 def toast_schedule_once(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,7 +273,7 @@ def audio_downmix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunks_union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _chunks(spark, sf_dir).select("stream_id", "seq")
-    return chunks.unionByName(chunks.where("seq % 2 = 0"))
+    return chunks.unionByName(chunks)
 
 
 def audio_transcribed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,7 +316,7 @@ def stream_audio_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [src_audio_chunks, src_messages, src_pages, src_first_page, url_capturable_antijoin, doc_article, doc_markdown, doc_titled, doc_prompt, doc_translate_prompt, doc_status, doc_head40, doc_summaries, locale_default, doc_language_names, msg_route, msg_payload_field, state_recording_last, state_model_last, state_snapshot_plus_updates, chunk_sessions, pair_pending_ready, fsm_recording, error_visible_ttl, error_visible_ttl_hour, settings_as_of, shed_latest_window, sliding_30s_10s, trailing_30s, toast_top1, toast_ids, toast_update, toast_remove, toast_schedule_once, toast_fold, chunk_nonempty, audio_tail, audio_head, audio_concat, audio_mix, audio_channel0, audio_downmix, chunks_union_all, audio_transcribed, transcript_append, transcript_concat, stream_route, stream_handshake, stream_sliding, stream_audio_tail]
+    own = [src_audio_chunks, src_messages, src_pages, src_first_page, url_capturable_antijoin, doc_article, doc_markdown, doc_titled, doc_prompt, doc_translate_prompt, doc_status, doc_head40, doc_summaries, doc_summarized, locale_default, doc_language_names, msg_route, msg_payload_field, state_recording_last, state_model_last, state_snapshot_plus_updates, chunk_sessions, pair_pending_ready, fsm_recording, error_visible_ttl, error_visible_ttl_hour, settings_as_of, shed_latest_window, sliding_30s_10s, trailing_30s, toast_top1, toast_ids, toast_update, toast_remove, toast_schedule_once, toast_fold, chunk_nonempty, audio_tail, audio_head, audio_concat, audio_mix, audio_channel0, audio_downmix, chunks_union_all, audio_transcribed, transcript_append, transcript_concat, stream_route, stream_handshake, stream_sliding, stream_audio_tail]
     return {f.__name__: f for f in own}
 
 
@@ -358,6 +364,10 @@ def _duck_head(sql: str) -> str:
 _DISTILLED = f"(SELECT page_id, url, {_TITLE} AS title, {_duck_head(_duck_markdown(_ARTICLE))} AS body FROM pages WHERE html IS NOT NULL AND coalesce(url <> '' AND NOT ({_BLOCKED}), false)) WHERE body <> ''"
 
 
+# what the stub for a text model says
+_SUMMARY = "'[stub summary] ' || left(split_part(body, chr(10), 1), 80)"
+
+
 def _shown(seconds: int) -> str:
     us = seconds * 1_000_000
     return (
@@ -384,6 +394,9 @@ def oracle_sql() -> dict[str, str]:
             s AS (SELECT page_id, CASE WHEN html IS NULL OR html = '' THEN 'no_content' WHEN {_ARTICLE} = '' THEN 'no_article' WHEN page_id % 3 = 0 THEN 'no_provider' ELSE 'ok' END AS status FROM p)
             SELECT page_id, status, CASE WHEN status <> 'ok' THEN 'Failed to summarize: ' || status END AS shown FROM s""",
         "doc_head40": f"SELECT doc_id, {_duck_head('text')} AS head FROM documents",
+        "doc_summaries": f"SELECT page_id, {_SUMMARY} AS answer, 'stub' AS backend, 'ok' AS status FROM {_DISTILLED}",
+        # the stub that translates answers with the first line of the summary that it is given
+        "doc_summarized": f"SELECT page_id, '# [' || title || '](' || url || ')' || chr(10) || chr(10) || CASE WHEN page_id % 3 = 0 THEN '[stub summary] ' || left({_SUMMARY}, 80) ELSE {_SUMMARY} END AS text, 'ok' AS status FROM {_DISTILLED}",
         "locale_default": "SELECT doc_id, CASE WHEN starts_with(lang, 'ja') THEN 'japanese' ELSE 'english' END AS language FROM documents",
         "doc_language_names": "SELECT d.lang, array_to_string(list_transform(string_split(l.name, '/'), lambda p: upper(p[1]) || p[2:]), '/') AS display, count(*) AS n FROM documents d LEFT JOIN (VALUES "
         + ", ".join(f"('{a}', '{b}')" for a, b in languages.LANGUAGES.items())
@@ -409,7 +422,7 @@ def oracle_sql() -> dict[str, str]:
         "toast_top1": _LOG + " SELECT stream_id, seq, id, title FROM log WHERE action = 'ADD' QUALIFY row_number() OVER (PARTITION BY stream_id ORDER BY seq DESC) <= 1",
         "toast_ids": _LOG + " SELECT stream_id, seq, CAST(row_number() OVER (PARTITION BY stream_id ORDER BY seq) AS VARCHAR) AS id FROM log WHERE action = 'ADD'",
         "toast_update": _LOG + ", u AS (SELECT stream_id, id, arg_max(title, seq) AS new FROM log WHERE action = 'UPDATE' AND id IS NOT NULL GROUP BY ALL) SELECT l.stream_id, l.id, coalesce(u.new, l.title) AS title FROM latest l LEFT JOIN u ON l.stream_id = u.stream_id AND l.id = u.id",
-        "toast_remove": _LOG + ", r AS (SELECT * FROM log WHERE action = 'REMOVE' AND seq % 5 = 0) SELECT l.stream_id, l.id, l.title FROM latest l WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.stream_id = l.stream_id AND (r.id IS NULL OR r.id = l.id))",
+        "toast_remove": _LOG + ", r AS (SELECT * FROM log WHERE action = 'REMOVE') SELECT l.stream_id, l.id, l.title FROM latest l WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.stream_id = l.stream_id AND (r.id IS NULL OR r.id = l.id))",
         "toast_schedule_once": _LOG + " SELECT stream_id, id, min(seq) AS seq FROM log WHERE action = 'DISMISS' AND id IS NOT NULL GROUP BY ALL",
         "toast_fold": _LOG + """, top AS (SELECT stream_id, seq AS added, id, title FROM log WHERE action = 'ADD' QUALIFY row_number() OVER (PARTITION BY stream_id ORDER BY seq DESC) = 1),
             after AS (SELECT t.stream_id, t.id, t.title, l.seq, l.action, l.title AS new FROM top t LEFT JOIN log l ON l.stream_id = t.stream_id AND l.seq > t.added AND l.action <> 'ADD' AND (l.id = t.id OR (l.id IS NULL AND l.action <> 'UPDATE')))
@@ -421,7 +434,7 @@ def oracle_sql() -> dict[str, str]:
         "audio_mix": "SELECT vec_id AS seq, list_transform(embedding::DOUBLE[], lambda x, i: x + CASE WHEN i <= 32 THEN x ELSE 0 END) AS samples FROM embeddings",
         "audio_channel0": "SELECT vec_id AS seq, embedding[1:32] AS samples FROM embeddings",
         "audio_downmix": "SELECT vec_id AS seq, list_transform(embedding[1:32]::DOUBLE[], lambda x, i: round(sqrt(2.0) * (x + embedding[i + 32]::DOUBLE) / 2, 9)) AS samples FROM embeddings",
-        "chunks_union_all": "SELECT label AS stream_id, vec_id AS seq FROM embeddings UNION ALL SELECT label, vec_id FROM embeddings WHERE vec_id % 2 = 0",
+        "chunks_union_all": "SELECT label AS stream_id, vec_id AS seq FROM embeddings UNION ALL SELECT label, vec_id FROM embeddings",
         "transcript_append": "SELECT conv_id AS stream_id, chr(10) || string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id",
         "transcript_concat": "SELECT stream_id, coalesce(string_agg(coalesce(text, ''), chr(10) ORDER BY turn) FILTER (WHERE begun), '') AS transcript FROM (SELECT conv_id AS stream_id, turn, text, bool_or(coalesce(text, '') <> '') OVER (PARTITION BY conv_id ORDER BY turn) AS begun FROM conversations) GROUP BY stream_id",
         "stream_route": _M + f" SELECT seq, stream_id, type, {_ROUTE} AS route FROM m",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,10 +44,11 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
     schema = stream.withColumn("batch_id", F.lit(0).cast("long")).schema
-    try:
-        return spark.read.schema(schema).parquet(f"{out}/b=*")
-    except Exception:  # noqa: BLE001  no batch ran: nothing was there
+    # no batch ran where nothing was there; a failure to read is an error
+    place = spark._jvm.org.apache.hadoop.fs.Path(out)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{out}/b=*")
 
 
 def routed(stream: DataFrame) -> DataFrame:
@@ -92,8 +94,14 @@ def trailing_samples(stream: DataFrame, most: int) -> DataFrame:
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames)).sort_values("seq")
         held = list(state.get[0]) if state.exists else []
-        for samples in rows["samples"]:
-            held = (held + [float(x) for x in samples[-most:]])[-most:]
+        # from the end, and no further than the window
+        kept, n = [], 0
+        for samples in reversed(rows["samples"].tolist()):
+            if n >= most:
+                break
+            kept.append(np.asarray(samples, np.float32))
+            n += len(samples)
+        held = np.concatenate([np.asarray(held, np.float32), *reversed(kept)])[-most:].tolist()
         last = int(rows["seq"].iloc[-1])
         state.update((held,))
         yield pd.DataFrame([(key[0], last, held)], columns=["stream_id", "seq", "samples"])

@@ -119,3 +119,34 @@ def test_tails_are_suffixes(spark, parts, n):
     whole = [float(x) for p in parts for x in p]
     got = [list(r["samples"]) for r in audio.stream_tails(df, n).collect()]
     assert got == ([whole[-n:]] if whole else [])
+
+
+def test_unknown_keys_are_kept(spark):
+    rows = [('{"mode":"translate","extra":5}', '{"extra":5}'), ('{"a":"x","b":null}', '{"a":"x","b":null}'), ('{"language":"english","extra":1}', "{}"), ("[]", "{}"), ("{bad", "{}"), (None, "{}")]
+    df = spark.createDataFrame(rows, "json string, want string")
+    assert [(r["got"], r["want"]) for r in df.select(records.unknown(F.col("json")).alias("got"), "want").collect() if r["got"] != r["want"]] == []
+    text = F.col("json")
+    whole = [r[0] for r in df.select(records.stored_with(records.migrated(text), records.unknown(text))).collect()]
+    assert whole[0] == '{"mode":"translate","transcribeLanguage":null,"translateTargetLanguage":"english","includeMicrophone":false,"summarizationLanguage":"english","whisperModel":"auto","extra":5}'
+    assert whole[3].endswith('"whisperModel":"auto"}')
+
+
+def test_start_outcomes(spark):
+    rows = [("https://a", True, None, "h", "start"), ("chrome://a", True, None, "h", "capture-error"), ("https://a", True, None, None, "capture-error"), ("https://a", False, True, None, "wait"), ("https://a", False, False, "h", "capture-error")]
+    df = spark.createDataFrame(rows, "url string, has boolean, made boolean, handle string, want string")
+    got = df.select(web.start_outcome(F.col("url"), F.col("has"), F.col("made"), F.col("handle")).alias("got"), "want").collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
+
+
+def test_summaries_are_translated_and_failures_shown(spark):
+    class Broken(providers.StubTextModel):
+        def prompt(self, text):
+            raise RuntimeError("no model")
+
+    html = "<title>T</title><article><h1>Head</h1></article>"
+    pages = spark.createDataFrame([(1, "https://a", html, "japanese"), (2, "https://b", html, "english"), (3, "chrome://c", html, "english")], "page_id long, url string, html string, language string")
+    stub = providers.StubTextModel
+    got = {r["page_id"]: (r["text"], r["status"]) for r in distill.summarized(pages, [stub], [stub]).collect()}
+    assert got == {1: ("# [T](https://a)\n\n[stub summary] [stub summary] # Head", "ok"), 2: ("# [T](https://b)\n\n[stub summary] # Head", "ok")}
+    got = {r["page_id"]: r["text"] for r in distill.summarized(pages, [stub], [Broken]).collect()}
+    assert got == {1: "Failed to summarize: error: no model", 2: "# [T](https://b)\n\n[stub summary] # Head"}
