@@ -83,6 +83,42 @@ def test_rough_html(spark):
     assert row["body"] == "# Head\n\n**one\n\ntwo & <three"
 
 
+def markdown_of(spark, *pages, of=distill.markdown):
+    rows = spark.createDataFrame(list(enumerate(pages)), "i int, html string")
+    return [r[0] for r in rows.orderBy("i").select(of(F.col("html"))).collect()]
+
+
+def test_markdown_marks(spark):
+    cases = {
+        '<p>see <a class="x" href="/u?a=1">the <b>page</b></a>, <a href=\'v\'>it</a><a href="n"></a></p>': "see [the **page**](/u?a=1), [it](v)",
+        '<p><img src="a.png" alt="A"> <img alt="B" src="b.png"/><img width=1 src="c.png"></p>': "![A](a.png) ![B](b.png)![](c.png)",
+        "<OL start=1><LI>one</LI><li>two <i>x</i></li></OL><ul><li>three</li></ul>": "1.  one\n2.  two _x_\n\n*   three",
+        "<p>run <code>a b</code>:</p><pre><code>if x:\n    y  = 1\n</code></pre><p>end": "run `a b`:\n\n```\nif x:\n    y  = 1\n```\n\nend",
+        "<h4>Four</h4><h6 id=a>Six</h6><hr/><blockquote><p>said</p></blockquote>": "#### Four\n\n###### Six\n\n* * *\n\n> said",
+        "<table><tr><td>a</td><td>b</td></tr></table>": "a\n\nb",
+        "&ldquo;x&rdquo; &mdash; &amp;lt;<!-- <b> --><bdi>y</bdi>": "“x” — &lt;y",
+        "": "",
+        None: None,
+    }
+    assert markdown_of(spark, *cases) == list(cases.values())
+
+
+def test_articles_are_scored(spark):
+    long = "A paragraph that goes on for a while, with commas, and with more than enough words."
+    menu = '<div><p><a href="/a">A link of the menu that goes on and on, and on</a></p></div>'
+    pages = {
+        f"<body><nav><p>{long}</p></nav>{menu}<div><p>{long}</p><p>short</p></div><footer>{long}</footer></body>": f"<p>{long}</p><p>short</p>",
+        f"<div><p>{long}</p></div><div><p>x</p></div><div><p>{long}</p></div>": f"<p>{long}</p>\n<p>{long}</p>",
+        f"<article><p>{long[:30]}</p></article><article class=x><p>{long}</p></article><article></article>": f"<p>{long}</p>",
+        f"<article>t</article><p>{long}</p>": "t",
+        "<article></article>": "",
+        "<p>x</p>": "",
+        "": "",
+        None: None,
+    }
+    assert markdown_of(spark, *pages, of=distill.article) == list(pages.values())
+
+
 def test_notices(spark):
     log = [(1, 1, "ADD", "a", "A"), (1, 2, "ADD", "b", "B"), (1, 3, "UPDATE", "b", "C"), (1, 4, "UPDATE", "z", "D"), (1, 5, "DISMISS", None, None), (2, 1, "ADD", "a", "A"), (2, 2, "REMOVE", None, None), (3, 1, "ADD", "a", "A"), (3, 2, "REMOVE", "z", None)]
     rows = spark.createDataFrame(log, notices.ACTION)
