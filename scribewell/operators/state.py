@@ -33,15 +33,17 @@ def sessions(messages: DataFrame, starts: Column) -> DataFrame:
     return messages.withColumn("session", F.sum(F.when(starts, 1).otherwise(0)).over(so_far))
 
 
-def paired(messages: DataFrame, pending: Column, ready: Column) -> DataFrame:
+def paired(messages: DataFrame, pending: Column, ready: Column, closed: Column | None = None) -> DataFrame:
     """Each pending message with the ready message that takes it; consumed once, in either order.
 
-    A ready message takes the last pending one since the last ready message; a second one in a row takes nothing.
+    A ready message takes the last pending one since the last ready or closing message; a second one in a row takes nothing.
     """
-    marked = messages.where(pending | ready).withColumn("is_ready", F.coalesce(ready, F.lit(False)))
+    closed = F.lit(False) if closed is None else closed
+    kind = F.when(pending, "pending").when(ready, "ready").when(closed, "closed")
+    marked = messages.withColumn("kind", kind).where(F.col("kind").isNotNull())
     by = Window.partitionBy("stream_id").orderBy("ts", "seq")
-    before = marked.withColumn("before_ready", F.lag("is_ready").over(by)).withColumn("before_seq", F.lag("seq").over(by))
-    return before.where(F.col("is_ready") & (F.col("before_ready") == F.lit(False))).select("stream_id", F.col("before_seq").alias("pending_seq"), F.col("seq").alias("ready_seq"))
+    before = marked.withColumn("before_kind", F.lag("kind").over(by)).withColumn("before_seq", F.lag("seq").over(by))
+    return before.where((F.col("kind") == "ready") & (F.col("before_kind") == "pending")).select("stream_id", F.col("before_seq").alias("pending_seq"), F.col("seq").alias("ready_seq"))
 
 
 def recorder(messages: DataFrame, starts: Column, stops: Column) -> DataFrame:

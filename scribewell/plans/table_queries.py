@@ -310,6 +310,20 @@ def stream_handshake(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.drained(streams.paired(streams.message_stream(spark, sf_dir))).drop("batch_id")
 
 
+def pair_until_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs as before, but a stop in between forgets the pending start."""
+    kind = F.col("type")
+    return state.paired(_messages(spark, sf_dir), kind == START, kind == RECORDING, kind == STOP)
+
+
+def stream_handshake_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.drained(streams.paired(streams.message_stream(spark, sf_dir), closed=STOP)).drop("batch_id")
+
+
+def stream_recorder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.drained(streams.recorder(streams.message_stream(spark, sf_dir))).drop("batch_id")
+
+
 def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The windows that are closed: those that ended before the last event less the allowed lateness."""
     return streams.drained(streams.sliding_counts(streams.message_stream(spark, sf_dir))).select(F.col("w_start").cast("timestamp_ntz").alias("w_start"), "type", "n")
@@ -321,7 +335,7 @@ def stream_audio_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [src_audio_chunks, src_messages, src_pages, src_first_page, url_capturable_antijoin, doc_article, doc_scored, doc_markdown, doc_titled, doc_prompt, doc_translate_prompt, doc_status, doc_head40, doc_summaries, doc_summarized, locale_default, doc_language_names, msg_route, msg_payload_field, state_recording_last, state_model_last, state_snapshot_plus_updates, chunk_sessions, pair_pending_ready, fsm_recording, error_visible_ttl, error_visible_ttl_hour, settings_as_of, shed_latest_window, sliding_30s_10s, trailing_30s, toast_top1, toast_ids, toast_update, toast_remove, toast_schedule_once, toast_fold, chunk_nonempty, audio_tail, audio_head, audio_concat, audio_mix, audio_channel0, audio_downmix, chunks_union_all, audio_transcribed, transcript_append, transcript_concat, stream_route, stream_handshake, stream_sliding, stream_audio_tail]
+    own = [src_audio_chunks, src_messages, src_pages, src_first_page, url_capturable_antijoin, doc_article, doc_scored, doc_markdown, doc_titled, doc_prompt, doc_translate_prompt, doc_status, doc_head40, doc_summaries, doc_summarized, locale_default, doc_language_names, msg_route, msg_payload_field, state_recording_last, state_model_last, state_snapshot_plus_updates, chunk_sessions, pair_pending_ready, fsm_recording, error_visible_ttl, error_visible_ttl_hour, settings_as_of, shed_latest_window, sliding_30s_10s, trailing_30s, toast_top1, toast_ids, toast_update, toast_remove, toast_schedule_once, toast_fold, chunk_nonempty, audio_tail, audio_head, audio_concat, audio_mix, audio_channel0, audio_downmix, chunks_union_all, audio_transcribed, transcript_append, transcript_concat, stream_route, stream_handshake, pair_until_closed, stream_handshake_closed, stream_recorder, stream_sliding, stream_audio_tail]
     return {f.__name__: f for f in own}
 
 
@@ -490,5 +504,8 @@ def oracle_sql() -> dict[str, str]:
     out["stream_sliding"] = _M + """, w AS (SELECT time_bucket(INTERVAL 10 SECONDS, ts) - n.k * INTERVAL 10 SECONDS AS w_start, type, count(*) AS n FROM m, (VALUES (0), (1), (2)) AS n(k) GROUP BY 1, 2)
             SELECT * FROM w WHERE w_start + INTERVAL 30 SECONDS <= (SELECT max(ts) FROM m) - INTERVAL 60 SECONDS"""
     out["stream_handshake"] = out["pair_pending_ready"]
+    out["pair_until_closed"] = out["pair_pending_ready"].replace("IN ('start-transcription', 'recording-state')", "IN ('start-transcription', 'recording-state', 'stop-transcription')")
+    out["stream_handshake_closed"] = out["pair_until_closed"]
+    out["stream_recorder"] = out["fsm_recording"]
     out["stream_audio_tail"] = out["audio_tail"]
     return out

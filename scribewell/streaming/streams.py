@@ -63,8 +63,8 @@ def sliding_counts(stream: DataFrame) -> DataFrame:
     return stream.withWatermark("ts", LATE).groupBy(window.alias("w"), "type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("w_start"), "type", "n")
 
 
-def paired(stream: DataFrame, pending: str = "start-transcription", ready: str = "recording-state") -> DataFrame:
-    """The handshake: a ready message takes its stream's last pending one, once."""
+def paired(stream: DataFrame, pending: str = "start-transcription", ready: str = "recording-state", closed: str | None = None) -> DataFrame:
+    """The handshake: a ready message takes its stream's last pending one, once; a closing message forgets the pending one."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         waiting = state.get[0] if state.exists else None
@@ -77,6 +77,8 @@ def paired(stream: DataFrame, pending: str = "start-transcription", ready: str =
                 if waiting is not None:
                     out.append((key[0], waiting, int(seq)))
                 waiting = None
+            else:
+                waiting = None
         if waiting is None:
             if state.exists:
                 state.remove()
@@ -84,10 +86,25 @@ def paired(stream: DataFrame, pending: str = "start-transcription", ready: str =
             state.update((waiting,))
         yield pd.DataFrame(out, columns=["stream_id", "pending_seq", "ready_seq"])
 
-    wanted = stream.where(F.col("type").isin(pending, ready)).select("stream_id", "ts", "seq", "type")
+    wanted = stream.where(F.col("type").isin(pending, ready, *([] if closed is None else [closed]))).select("stream_id", "ts", "seq", "type")
     return wanted.groupBy("stream_id").applyInPandasWithState(step, "stream_id long, pending_seq long, ready_seq long", "pending long", "append", GroupStateTimeout.NoTimeout)
 
 
+def recorder(stream: DataFrame, start: str = "start-transcription", stop: str = "stop-transcription") -> DataFrame:
+    """The changes of a recorder as messages come: a start counts only when idle and a stop only when recording."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        recording = bool(state.get[0]) if state.exists else False
+        rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
+        now = (rows["type"] == start).to_numpy()
+        changed = now != np.concatenate([[recording], now[:-1]])
+        state.update((bool(now[-1]),))
+        yield pd.DataFrame({"stream_id": key[0], "seq": rows["seq"].to_numpy()[changed], "state": np.where(now, "recording", "idle")[changed]})
+
+    wanted = stream.where(F.col("type").isin(start, stop)).select("stream_id", "ts", "seq", "type")
+    return wanted.groupBy("stream_id").applyInPandasWithState(step, "stream_id long, seq long, state string", "recording boolean", "append", GroupStateTimeout.NoTimeout)
+
+
 def trailing_samples(stream: DataFrame, most: int) -> DataFrame:
     """Each stream's last ``most`` samples after each batch; the state holds no more than those."""
 

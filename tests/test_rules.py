@@ -133,6 +133,13 @@ def test_pairs(spark):
     assert [tuple(r) for r in state.paired(df, F.col("type") == "pending", F.col("type") == "ready").collect()] == [(7, 3, 4)]
 
 
+def test_a_closing_message_forgets_what_is_pending(spark):
+    rows = [(1, "pending"), (2, "closed"), (3, "ready"), (4, "pending"), (5, "ready")]
+    df = spark.createDataFrame([(7, i, i, k) for i, k in rows], "stream_id long, ts long, seq long, type string")
+    is_ = lambda k: F.col("type") == k
+    assert [tuple(r) for r in state.paired(df, is_("pending"), is_("ready"), is_("closed")).collect()] == [(7, 4, 5)]
+
+
 def test_old_timers_clear_new_errors(spark):
     df = spark.sql("SELECT 1 AS stream_id, id AS seq, TIMESTAMP_NTZ '2024-01-01' + make_dt_interval(0, 0, 0, s) AS ts FROM VALUES (1, 0), (2, 5), (3, 20) AS t(id, s)")
     got = {r["seq"]: r["shown_us"] for r in state.shown(df, F.lit(True)).collect()}
