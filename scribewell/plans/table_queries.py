@@ -201,10 +201,14 @@ def trailing_30s(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _actions(_messages(spark, sf_dir)).drop("ts")
+
+
+def _actions(messages: DataFrame) -> DataFrame:
     action = F.when(F.col("type") == START, "ADD").when(F.col("type") == TRANSCRIPT, "UPDATE").when(F.col("type") == STOP, "DISMISS").when(F.col("type") == STATUS, "REMOVE")
     k = _number() % 4
     named = F.when((action != "ADD") & (k == 3), F.lit(None)).otherwise(k.cast("string"))
-    return _messages(spark, sf_dir).where(F.col("type") != RECORDING).select("stream_id", "seq", action.alias("action"), named.alias("id"), F.concat(F.lit("t"), F.col("seq").cast("string")).alias("title"))
+    return messages.where(F.col("type") != RECORDING).select("stream_id", "ts", "seq", action.alias("action"), named.alias("id"), F.concat(F.lit("t"), F.col("seq").cast("string")).alias("title"))
 
 
 def toast_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,6 +328,37 @@ def stream_recorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.drained(streams.recorder(streams.message_stream(spark, sf_dir))).drop("batch_id")
 
 
+def stream_state_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshot of the 10th of January and the updates of the stream after it."""
+    cut = F.lit("2024-01-10")
+    numbered = lambda df: df.where(F.col("type") == RECORDING).select("stream_id", "ts", "seq", _number().alias("value"))
+    snapshot = numbered(_messages(spark, sf_dir)).where(F.col("ts") < cut.cast("timestamp_ntz")).groupBy("stream_id").agg(F.max_by("value", state.order()).alias("value"))
+    updates = numbered(streams.message_stream(spark, sf_dir)).where(F.col("ts") >= cut.cast("timestamp"))
+    found = streams.drained(streams.last_values(updates, snapshot), "update").groupBy("stream_id").agg(F.max_by("value", "at").alias("updated"))
+    return snapshot.join(found, "stream_id", "full").select("stream_id", F.coalesce("updated", "value").alias("value"))
+
+
+def stream_settings_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("type") == RECORDING, 0).otherwise(1)
+    both = streams.message_stream(spark, sf_dir).where(F.col("type").isin(RECORDING, TRANSCRIPT))
+    value = F.when(F.col("type") == RECORDING, _number())
+    found = streams.drained(streams.settings_at(both.select("stream_id", "ts", "seq", kind.alias("kind"), value.alias("value"))))
+    return found.select("stream_id", "seq", F.col("value").alias("setting"))
+
+
+def stream_error_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The errors whose showing has ended: the next one came, or the timer ran out before the last error less the allowed lateness."""
+    errors = streams.message_stream(spark, sf_dir).where(F.col("type") == STATUS)
+    return streams.drained(streams.errors_shown(errors)).drop("batch_id")
+
+
+def stream_toasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the batch fold gives, from keyed state."""
+    found = streams.drained(streams.notices_kept(_actions(streams.message_stream(spark, sf_dir))), "update")
+    last = found.groupBy("stream_id").agg(F.max_by(F.arrays_zip("ids", "titles", "opened"), "batch_id").alias("kept"))
+    return last.select("stream_id", F.explode("kept").alias("x")).select("stream_id", F.col("x.ids").alias("id"), F.col("x.titles").alias("title"), F.col("x.opened").alias("open"))
+
+
 def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The windows that are closed: those that ended before the last event less the allowed lateness."""
     return streams.drained(streams.sliding_counts(streams.message_stream(spark, sf_dir))).select(F.col("w_start").cast("timestamp_ntz").alias("w_start"), "type", "n")
@@ -335,7 +370,7 @@ def stream_audio_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [src_audio_chunks, src_messages, src_pages, src_first_page, url_capturable_antijoin, doc_article, doc_scored, doc_markdown, doc_titled, doc_prompt, doc_translate_prompt, doc_status, doc_head40, doc_summaries, doc_summarized, locale_default, doc_language_names, msg_route, msg_payload_field, state_recording_last, state_model_last, state_snapshot_plus_updates, chunk_sessions, pair_pending_ready, fsm_recording, error_visible_ttl, error_visible_ttl_hour, settings_as_of, shed_latest_window, sliding_30s_10s, trailing_30s, toast_top1, toast_ids, toast_update, toast_remove, toast_schedule_once, toast_fold, chunk_nonempty, audio_tail, audio_head, audio_concat, audio_mix, audio_channel0, audio_downmix, chunks_union_all, audio_transcribed, transcript_append, transcript_concat, stream_route, stream_handshake, pair_until_closed, stream_handshake_closed, stream_recorder, stream_sliding, stream_audio_tail]
+    own = [src_audio_chunks, src_messages, src_pages, src_first_page, url_capturable_antijoin, doc_article, doc_scored, doc_markdown, doc_titled, doc_prompt, doc_translate_prompt, doc_status, doc_head40, doc_summaries, doc_summarized, locale_default, doc_language_names, msg_route, msg_payload_field, state_recording_last, state_model_last, state_snapshot_plus_updates, chunk_sessions, pair_pending_ready, fsm_recording, error_visible_ttl, error_visible_ttl_hour, settings_as_of, shed_latest_window, sliding_30s_10s, trailing_30s, toast_top1, toast_ids, toast_update, toast_remove, toast_schedule_once, toast_fold, chunk_nonempty, audio_tail, audio_head, audio_concat, audio_mix, audio_channel0, audio_downmix, chunks_union_all, audio_transcribed, transcript_append, transcript_concat, stream_route, stream_handshake, pair_until_closed, stream_handshake_closed, stream_recorder, stream_state_last, stream_settings_as_of, stream_error_ttl, stream_toasts, stream_sliding, stream_audio_tail]
     return {f.__name__: f for f in own}
 
 
@@ -507,5 +542,9 @@ def oracle_sql() -> dict[str, str]:
     out["pair_until_closed"] = out["pair_pending_ready"].replace("IN ('start-transcription', 'recording-state')", "IN ('start-transcription', 'recording-state', 'stop-transcription')")
     out["stream_handshake_closed"] = out["pair_until_closed"]
     out["stream_recorder"] = out["fsm_recording"]
+    out["stream_state_last"] = out["state_snapshot_plus_updates"]
+    out["stream_settings_as_of"] = out["settings_as_of"]
+    out["stream_error_ttl"] = out["error_visible_ttl"] + " WHERE next_us IS NOT NULL OR (first_us + 8000000) // 1000 + 1 < (SELECT epoch_us(max(ts)) FROM m WHERE type = 'model-status') // 1000 - 60000"
+    out["stream_toasts"] = out["toast_fold"]
     out["stream_audio_tail"] = out["audio_tail"]
     return out

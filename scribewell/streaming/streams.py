@@ -1,4 +1,4 @@
-"""The same operations on streams: routing, sliding windows, pairing and trailing samples as Structured Streaming queries."""
+"""The same operations on streams: routing, sliding windows, pairing, last values, notices, errors and trailing samples as Structured Streaming queries."""
 
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from scribewell.functions.web import route
 from scribewell.operators.audio import HOP, SECONDS
+from scribewell.operators.notices import MOST
+from scribewell.operators.state import SHOWN_SECONDS, order
 from scribewell.sources.scratch import shared_folder
 from scribewell.sources.tables import messages
 
@@ -105,6 +107,131 @@ def recorder(stream: DataFrame, start: str = "start-transcription", stop: str =
     return wanted.groupBy("stream_id").applyInPandasWithState(step, "stream_id long, seq long, state string", "recording boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+def last_values(stream: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
+    """(stream_id, at, value): after each batch the last value of each stream that has a new one; ``snapshot`` has (stream_id, value) from before the stream.
+
+    The aggregate combines in each task before it shuffles, and keeps one row for each stream. A row of the snapshot
+    stands until its stream's first update, so rows of the snapshot alone are the caller's.
+    """
+    last = stream.groupBy("stream_id").agg(F.max_by("value", order()).alias("value"), F.max(order()).alias("at"))
+    if snapshot is None:
+        return last.select("stream_id", "at", "value")
+    # an update without a value leaves the snapshot's
+    before = snapshot.select("stream_id", F.col("value").alias("before"))
+    return last.join(before, "stream_id", "left").select("stream_id", "at", F.coalesce("value", "before").alias("value"))
+
+
+def settings_at(stream: DataFrame) -> DataFrame:
+    """(stream_id, seq, value): each chunk (kind 1) with its stream's latest setting (kind 0) at or before it; the state holds one setting."""
+    kind_of_value = stream.schema["value"].dataType.simpleString()
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        before = state.get[0] if state.exists else None
+        rows = pd.concat(list(frames)).sort_values(["ts", "kind", "seq"])
+        chunk = (rows["kind"] == 1).to_numpy()
+        known = (~chunk) & rows["value"].notna().to_numpy()
+        # of each row the last setting up to it; 0 is the one from before
+        place = np.maximum.accumulate(np.where(known, np.arange(1, len(rows) + 1), 0))
+        values = np.array([before, *rows["value"].tolist()], object)[place]
+        if values[-1] is not None:
+            state.update((values[-1],))
+        yield pd.DataFrame({"stream_id": key[0], "seq": rows["seq"].to_numpy()[chunk], "value": pd.Series(values[chunk], dtype=object)})
+
+    rows = stream.select("stream_id", "ts", "seq", "kind", "value")
+    return rows.groupBy("stream_id").applyInPandasWithState(step, f"stream_id long, seq long, value {kind_of_value}", f"value {kind_of_value}", "append", GroupStateTimeout.NoTimeout)
+
+
+def errors_shown(errors: DataFrame, seconds: int = SHOWN_SECONDS) -> DataFrame:
+    """(stream_id, seq, shown_us): for how long each error is shown, once the next one has come or a timer has run out in event time.
+
+    Timers of earlier errors aren't stopped, so the state holds the times of the last ``seconds`` beside the error that is shown.
+    """
+    span = seconds * 1_000_000
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seq, times = (state.get[0], list(state.get[1])) if state.exists else (None, [])
+        out = []
+        ended = lambda: times[0] + span  # noqa: E731  the first timer that runs out after the last error
+        if state.hasTimedOut:
+            if seq is not None:
+                out.append((key[0], seq, ended() - times[-1]))
+            seq = None
+        else:
+            rows = pd.concat(list(frames)).sort_values(["at", "seq"])
+            for at, number in zip(rows["at"].tolist(), rows["seq"].tolist(), strict=True):
+                if seq is not None:
+                    out.append((key[0], seq, min(ended(), at) - times[-1]))
+                seq, times = number, [*[t for t in times if t > at - span], at]
+        # a timer outlives its error, for the next one
+        due = (ended() if seq is not None else times[-1] + span) // 1000 + 1
+        if seq is None and state.hasTimedOut and due < state.getCurrentWatermarkMs():
+            state.remove()
+        else:
+            state.update((seq, times))
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["stream_id", "seq", "shown_us"])
+
+    rows = errors.withWatermark("ts", LATE).select("stream_id", "ts", F.unix_micros("ts").alias("at"), "seq")
+    return rows.groupBy("stream_id").applyInPandasWithState(step, "stream_id long, seq long, shown_us long", "seq long, times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+class Notices:
+    """A stream's notices, newest first, and the removals that their dismissal has scheduled."""
+
+    def __init__(self, most: int, after_ms: int | None, items: list[list], timers: dict[str, int]):
+        self.most, self.after_ms, self.items, self.timers = most, after_ms, items, timers
+
+    def expire(self, now: int) -> None:
+        for name in [k for k, due in self.timers.items() if due <= now]:
+            del self.timers[name]
+            self.items = [x for x in self.items if x[0] != name]
+
+    def take(self, action: str, name: str | None, title: str | None, now: int) -> None:
+        hit = lambda x: name is None or x[0] == name
+        if action == "ADD":
+            self.items = [[name, title, True], *self.items][: self.most]
+        elif action == "UPDATE":
+            self.items = [[x[0], x[1] if title is None else title, x[2]] if x[0] == name else x for x in self.items]
+        elif action == "DISMISS":
+            if self.after_ms is not None:
+                for k in [name] if name is not None else [x[0] for x in self.items]:
+                    self.timers.setdefault(k, now + self.after_ms)  # the first one counts
+            self.items = [[x[0], x[1], False] if hit(x) else x for x in self.items]
+        elif action == "REMOVE":
+            self.items = [x for x in self.items if not hit(x)]
+
+
+def notices_kept(log: DataFrame, most: int = MOST, remove_after_ms: int | None = None) -> DataFrame:
+    """(stream_id, ids, titles, opened): each stream's notices, newest first, after each batch that touches them.
+
+    ``log`` has stream_id, ts, seq, action, id and title. With ``remove_after_ms`` a dismissed notice goes by itself so long
+    after its first dismissal in event time, by the next action or by the watermark. The state holds ``most`` notices and the timers that wait.
+    """
+    timed = remove_after_ms is not None
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ids, titles, opened, names, dues = state.get if state.exists else ([], [], [], [], [])
+        kept = Notices(most, remove_after_ms, [list(x) for x in zip(ids, titles, opened, strict=True)], dict(zip(names, dues, strict=True)))
+        if state.hasTimedOut:
+            kept.expire(state.getCurrentWatermarkMs())
+        else:
+            rows = pd.concat(list(frames)).sort_values("seq")
+            rows = rows.astype(object).where(rows.notna(), None)
+            for now, action, name, title in zip(rows["at"], rows["action"], rows["id"], rows["title"], strict=True):
+                kept.expire(now)
+                kept.take(action, name, title, now)
+        now = [list(x) for x in zip(*kept.items, strict=True)] or [[], [], []]
+        state.update((*now, list(kept.timers), list(kept.timers.values())))
+        if kept.timers:
+            state.setTimeoutTimestamp(max(min(kept.timers.values()), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(key[0], *now)], columns=["stream_id", "ids", "titles", "opened"])
+
+    shape = "ids array<string>, titles array<string>, opened array<boolean>"
+    rows = (log.withWatermark("ts", LATE) if timed else log).select("stream_id", "ts", F.unix_millis("ts").alias("at"), "seq", "action", "id", "title")
+    timeout = GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout
+    return rows.groupBy("stream_id").applyInPandasWithState(step, f"stream_id long, {shape}", f"{shape}, names array<string>, dues array<long>", "update", timeout)
+
+
 def trailing_samples(stream: DataFrame, most: int) -> DataFrame:
     """Each stream's last ``most`` samples after each batch; the state holds no more than those."""
 

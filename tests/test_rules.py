@@ -193,3 +193,36 @@ def test_summaries_are_translated_and_failures_shown(spark):
     assert got == {1: ("# [T](https://a)\n\n[stub summary] [stub summary] # Head", "ok"), 2: ("# [T](https://b)\n\n[stub summary] # Head", "ok")}
     got = {r["page_id"]: r["text"] for r in distill.summarized(pages, [stub], [Broken]).collect()}
     assert got == {1: "Failed to summarize: error: no model", 2: "# [T](https://b)\n\n[stub summary] # Head"}
+
+
+def test_notices_go_by_themselves_in_a_stream(spark, tmp_path):
+    from scribewell.streaming import streams
+
+    # stream 1: dismissed, and the timer runs out by a later action; 2: by the watermark; 3: the second dismissal starts nothing; 4: not dismissed
+    rows = [(1, 1, 0, "ADD", "a", "A"), (1, 2, 10, "DISMISS", "a", None), (1, 3, 2000, "UPDATE", "a", "B")]
+    rows += [(2, 4, 0, "ADD", "b", "A"), (2, 5, 10, "DISMISS", None, None)]
+    rows += [(3, 6, 0, "ADD", "c", "A"), (3, 7, 1500, "DISMISS", "c", None), (3, 8, 2000, "DISMISS", "c", None), (3, 9, 2100, "UPDATE", "c", "B")]
+    rows += [(4, 10, 0, "ADD", "d", "A"), (4, 11, 5, "ADD", "e", "E"), (4, 12, 6, "REMOVE", "d", None)]
+    df = spark.createDataFrame(rows, "stream_id long, seq long, s long, action string, id string, title string").withColumn("ts", F.timestamp_seconds(F.col("s") + 86_400)).drop("s")
+    df.coalesce(1).write.parquet(str(tmp_path / "log"))
+    log = spark.readStream.schema(df.schema).parquet(str(tmp_path / "log"))
+    found = streams.drained(streams.notices_kept(log, 1, 1_000_000), "update")
+    last = found.groupBy("stream_id").agg(F.max_by(F.struct("ids", "titles", "opened"), "batch_id").alias("x"))
+    got = {r["stream_id"]: (r["x"]["ids"], r["x"]["titles"], r["x"]["opened"]) for r in last.collect()}
+    assert got == {1: ([], [], []), 2: ([], [], []), 3: (["c"], ["B"], [False]), 4: (["e"], ["E"], [True])}
+    log = spark.readStream.schema(df.schema).parquet(str(tmp_path / "log"))
+    found = streams.drained(streams.notices_kept(log, 1), "update").where("stream_id = 2").collect()
+    assert [(r["ids"], r["opened"]) for r in found] == [(["b"], [False])]
+
+
+def test_errors_in_a_stream_are_cleared_by_older_timers(spark, tmp_path):
+    from scribewell.streaming import streams
+
+    # the timer of 0 s clears what came at 5 s; that of 5 s, which no error waits for, clears what came at 10 s
+    times = [(1, 1, 0), (1, 2, 5), (1, 3, 10), (1, 4, 40), (2, 5, 300)]
+    df = spark.createDataFrame(times, "stream_id long, seq long, s long").withColumn("ts", F.timestamp_seconds(F.col("s") + 86_400)).drop("s")
+    for i, part in enumerate(("seq <= 2", "seq > 2")):
+        df.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "errors"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "errors"))
+    got = {r["seq"]: r["shown_us"] for r in streams.drained(streams.errors_shown(stream)).collect()}
+    assert got == {1: 5_000_000, 2: 3_000_000, 3: 3_000_000, 4: 8_000_000}
