@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, codes, html, langid, mixing, packing, secrets, sharding, simhash, tokens, topk
+from . import ann, codes, html, langid, mixing, packing, secrets, sharding, simhash, substrings, tokens, topk
 
 #: Place of the public tokenizers' files; the package public_tokenizers knows it.
 TOKENIZER = "byte_bpe_50k.json"
@@ -72,8 +72,13 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(_read(spark, sf_dir, "embeddings"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.cut_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_sharding, op2_html_extraction, op3_language_id, op4_exact_topk, op5_token_counts, op6_best_fit_packing, op7_secret_scan, op8_mixing, op9_nearest_neighbours, op10_simhash_near_dedup, op11_vector_codes]
+    own = [op1_sharding, op2_html_extraction, op3_language_id, op4_exact_topk, op5_token_counts, op6_best_fit_packing, op7_secret_scan, op8_mixing, op9_nearest_neighbours, op10_simhash_near_dedup, op11_vector_codes, op13_substring_dedup]
     return {f.__name__: f for f in own}
 
 
@@ -148,6 +153,29 @@ FROM coded JOIN kept USING (r)
 """
 
 
+_SUBSTRINGS_SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+), words AS (
+  SELECT r, doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM texts
+), windows AS (
+  SELECT r, doc_id, s, hash(array_to_string(w[s : s + 12], ' ')) AS h, md5(array_to_string(w[s : s + 12], ' ')) AS m
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM words WHERE len(w) >= 13)
+), repeats AS (
+  SELECT r, s FROM windows JOIN (SELECT h, m, min(doc_id) AS first FROM windows GROUP BY h, m) USING (h, m) WHERE doc_id > first
+), gone AS (
+  SELECT DISTINCT r, unnest(range(s, s + 13)) AS k FROM repeats
+), removed AS (
+  SELECT r, list(k) AS ks FROM gone GROUP BY r
+), kept AS (
+  SELECT words.r, string_agg(word, ' ' ORDER BY k) AS text
+  FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM words) AS words ANTI JOIN gone USING (r, k) GROUP BY words.r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ks), 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM words LEFT JOIN removed USING (r) LEFT JOIN kept USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """What is within SQL; the tests hold the other queries against brute force."""
-    return {"op8_mixing": _MIX_SQL, "op11_vector_codes": _CODES_SQL}
+    return {"op8_mixing": _MIX_SQL, "op11_vector_codes": _CODES_SQL, "op13_substring_dedup": _SUBSTRINGS_SQL}
