@@ -8,7 +8,7 @@ document with a smaller key are kept. Windows that follow each other make up the
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -154,24 +154,45 @@ def later(key: np.ndarray, check: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-#: What a bucket's rows hold: documents with their windows.
-_SHAPE = "bucket long, id long, version long, data binary"
+def _packed(doc: np.ndarray, word: np.ndarray, ids: np.ndarray, versions: np.ndarray, groups: int) -> Iterator[tuple[int, bytes]]:
+    """The windows that begin at ``word`` of ``doc``, by groups of documents: one row for each group."""
+    group = versions[doc] % groups
+    order = np.lexsort((word, doc, group))
+    cuts = np.searchsorted(group[order], np.arange(groups + 1))
+    for k in np.nonzero(np.diff(cuts))[0].tolist():
+        at = order[cuts[k] : cuts[k + 1]]
+        own, n = np.unique(doc[at], return_counts=True)
+        arrays = [np.array([len(own), len(at)], "<i8"), ids[own], versions[own], n.astype("<i4"), word[at].astype("<i4")]
+        yield k, b"".join(x.tobytes() for x in arrays)
+
+
+def _unpacked(blob: bytes, kinds: tuple[str, ...], of_doc: int) -> list[np.ndarray]:
+    """Arrays of ``kinds``: the first ``of_doc`` have one value for each document, the others one for each window."""
+    n = np.frombuffer(blob, "<i8", 2).tolist()
+    at, out = 16, []
+    for k, kind in enumerate(kinds):
+        out.append(np.frombuffer(blob, kind, n[k >= of_doc], at))
+        at += out[-1].nbytes
+    return out
 
 
-def _by_doc(bucket: Callable[[int], int], doc: np.ndarray, word: np.ndarray, ids: np.ndarray, versions: np.ndarray) -> Iterator[tuple]:
-    """A row for each document that has windows to be removed: the words at which they begin."""
-    order = np.lexsort((word, doc))
-    doc, word = doc[order], word[order].astype("<i4")
-    cuts = np.nonzero(doc[1:] != doc[:-1])[0] + 1
-    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(doc)], strict=True):
-        if b > a:
-            d = doc[a]
-            yield bucket(int(versions[d])), int(ids[d]), int(versions[d]), word[a:b].tobytes()
+def _rows(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "data"])
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["bucket", "id", "version", "data"])
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """Each bucket with all of its rows, which stand together."""
+    now, held = -1, []
+    for batch in batches:
+        for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("data"), strict=True):
+            if bucket != now and held:
+                yield now, held
+                held = []
+            now = bucket
+            held.append(blob.as_py())
+    if held:
+        yield now, held
+    pa.default_memory_pool().release_unused()
 
 
 def repeated(docs: DataFrame, window: int, seed: int) -> DataFrame:
@@ -196,7 +217,8 @@ def repeated(docs: DataFrame, window: int, seed: int) -> DataFrame:
             del w
             check = anchor.astype(np.uint32)
             gone = later(ids[doc], check, hashes)
-            rows = list(_by_doc(lambda v: buckets + v % buckets, doc[gone], word[gone], ids, versions))
+            # what is settled goes on to the documents, behind the buckets
+            rows = [(buckets + k, x) for k, x in _packed(doc[gone], word[gone], ids, versions, buckets)]
             doc, word, anchor, hashes, check = (x[~gone] for x in (doc, word, anchor, hashes, check))
             dealt = np.where(np.isin(anchor, hot), hashes, anchor) >> np.uint64(32)
             dealt = (dealt * np.uint64(buckets)) >> np.uint64(32)
@@ -207,50 +229,39 @@ def repeated(docs: DataFrame, window: int, seed: int) -> DataFrame:
                 own, place = np.unique(doc[at], return_inverse=True)
                 # differences are small, and so are packed well
                 arrays = [np.array([len(own), len(at)], "<i8"), ids[own], versions[own], hashes[at], np.diff(place, prepend=0).astype("<i4"), np.diff(word[at], prepend=0).astype("<i4"), check[at]]
-                rows.append((k, None, None, b"".join(x.tobytes() for x in arrays)))
-            for a in range(0, len(rows), 4096):
-                yield _rows(rows[a : a + 4096])
-
-    def settle(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        parts = []
-        base = 0
-        for blob in blobs:
-            m, k = np.frombuffer(blob, "<i8", 2).tolist()
-            at = 16
-            own = []
-            for kind, count in (("<i8", m), ("<i8", m), ("<u8", k), ("<i4", k), ("<i4", k), ("<u4", k)):
-                own.append(np.frombuffer(blob, kind, count, at))
-                at += own[-1].nbytes
-            parts.append([own[0], own[1], own[2], np.cumsum(own[3]) + base, np.cumsum(own[4]), own[5]])
-            base += m
-        ids, versions, hashes, doc, word, check = (np.concatenate(x) for x in zip(*parts, strict=True))
-        gone = later(ids[doc], check, hashes)
-        # a document stands in several chunks only if rows repeat it
-        rows = list(_by_doc(lambda v: 0, doc[gone], word[gone], ids, versions))
-        for a in range(0, len(rows), 4096):
-            yield _rows(rows[a : a + 4096])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = -1, []
-        for batch in batches:
-            bucket, data = batch.column("bucket").to_pylist(), batch.column("data")
-            ready = batch.filter(pa.array([b >= buckets for b in bucket]))
-            if ready.num_rows:
-                yield ready
-            for b, x in zip(bucket, data, strict=True):
-                if b < buckets:
-                    if b != now and held:
-                        yield from settle(held)
-                        held = []
-                    now = b
-                    held.append(x.as_py())
-        if held:
-            yield from settle(held)
-        pa.default_memory_pool().release_unused()
+                rows.append((k, b"".join(x.tobytes() for x in arrays)))
+            yield _rows(rows)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, blobs in _by_bucket(batches):
+            if bucket >= buckets:
+                yield _rows([(bucket - buckets, x) for x in blobs])
+                continue
+            parts, base = [], 0
+            for blob in blobs:
+                own = _unpacked(blob, ("<i8", "<i8", "<u8", "<i4", "<i4", "<u4"), 2)
+                parts.append([*own[:3], np.cumsum(own[3]) + base, np.cumsum(own[4]), own[5]])
+                base += len(own[0])
+            ids, versions, hashes, doc, word, check = (np.concatenate(x) for x in zip(*parts, strict=True))
+            gone = later(ids[doc], check, hashes)
+            yield _rows(list(_packed(doc[gone], word[gone], ids, versions, buckets)))
+
+    def collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each document."""
+        for _, blobs in _by_bucket(batches):
+            ids, versions, n, word = (np.concatenate(x) for x in zip(*[_unpacked(b, ("<i8", "<i8", "<i4", "<i4"), 3) for b in blobs], strict=True))
+            order = np.lexsort((word, np.repeat(versions, n), np.repeat(ids, n)))
+            ids, versions, word = np.repeat(ids, n)[order], np.repeat(versions, n)[order], word[order]
+            begin = np.nonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (versions[1:] != versions[:-1])]))[0]
+            end = [*begin[1:].tolist(), len(word)]
+            starts = [word[a:b].tobytes() for a, b in zip(begin.tolist(), end, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[begin]), pa.array(versions[begin]), pa.array(starts, pa.binary())], ["id", "version", "starts"])
 
     small_batches(spark)
-    dealt = docs.mapInArrow(meet, _SHAPE).repartition(max(tasks, min(buckets, 10_000)), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, _SHAPE).select("id", "version", F.col("data").alias("starts"))
+    shape, n_tasks = "bucket long, data binary", max(tasks, min(buckets, 10_000))
+    dealt = docs.mapInArrow(meet, shape).repartition(n_tasks, "bucket").sortWithinPartitions("bucket")
+    replies = dealt.mapInArrow(settle, shape).repartition(n_tasks, "bucket").sortWithinPartitions("bucket")
+    return replies.mapInArrow(collected, "id long, version long, starts binary")
 
 
 def cut_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, seed: int = SEED_WORDS) -> DataFrame:
@@ -266,7 +277,7 @@ def cut_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window:
     named = df.withColumn("__sw_id", F.coalesce(F.col(key).cast("long"), F.lit(LAST))).withColumn("__sw_version", F.xxhash64(text))
     docs = named.select(F.col("__sw_id").alias("id"), F.col("__sw_version").alias("version"), F.col(text).alias("text"))
     gone = repeated(docs, window, seed)
-    gone = gone.groupBy("id", "version").agg(F.collect_list("starts").alias("__sw_starts")).select(F.col("id").alias("__sw_id"), F.col("version").alias("__sw_version"), "__sw_starts")
+    gone = gone.select(F.col("id").alias("__sw_id"), F.col("version").alias("__sw_version"), F.col("starts").alias("__sw_starts"))
     new = {"n_words": "long", "n_removed": "long", "removed": "array<struct<start:long,end:long>>", "kept": "string"}
     names = [c for c in df.columns if c not in new]
     # the text may be a column that is replaced
@@ -276,13 +287,13 @@ def cut_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window:
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             n_words, n_removed, removed, kept = [], [], [], []
-            for x, blobs in zip(batch.column("__sw_text").cast(pa.binary()), batch.column("__sw_starts"), strict=True):
+            for x, starts in zip(batch.column("__sw_text").cast(pa.binary()), batch.column("__sw_starts"), strict=True):
                 words = words_of(x.as_py() or b"")
                 spans = []
-                if blobs.is_valid:
+                if starts.is_valid:
                     # where windows begin and end add up to how many cover a word
                     cover = np.zeros(len(words) + 1, np.int64)
-                    start = np.unique(np.concatenate([np.frombuffer(b, "<i4") for b in blobs.as_py()]))
+                    start = np.unique(np.frombuffer(starts.as_py(), "<i4"))
                     np.add.at(cover, start, 1)
                     np.add.at(cover, start + window, -1)
                     edge = np.diff((np.cumsum(cover) > 0).astype(np.int8), prepend=0)
