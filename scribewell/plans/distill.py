@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scribewell.functions.reading import Markdown, chosen, slices
+from scribewell.functions.tree import Tree
 from scribewell.functions.web import capturable
 from scribewell.operators.providers import TextModel, answered
 
@@ -14,154 +17,87 @@ from scribewell.operators.providers import TextModel, answered
 LINES = 40
 PROMPT = "Summarize the following text.:\n\n"
 TRANSLATE = "日本語に翻訳してください:\n\n"
-# Regular expressions of the markdown rules, in order. Both dialects that they run in read them alike; \1 and \2 are groups.
-DROPPED = (r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", "")
-#: White space of preformatted text is kept as two control characters until the other rules are done.
-BREAK, BLANK = "\x01", "\x02"
-MARKDOWN = (
-    (r"[\r\n\t ]+", " "),
-    (r"(?i)<h1(?: [^>]*)?>", "\n\n# "),
-    (r"(?i)<h2(?: [^>]*)?>", "\n\n## "),
-    (r"(?i)<h3(?: [^>]*)?>", "\n\n### "),
-    (r"(?i)<h4(?: [^>]*)?>", "\n\n#### "),
-    (r"(?i)<h5(?: [^>]*)?>", "\n\n##### "),
-    (r"(?i)<h6(?: [^>]*)?>", "\n\n###### "),
-    (r"(?i)<hr ?[^>]*>", "\n\n* * *\n\n"),
-    (r"(?i)<li(?: [^>]*)?>", "\n*   "),
-    (r"(?i)<blockquote(?: [^>]*)?>(?: *<p(?: [^>]*)?>)?", "\n\n> "),
-    (r"(?i)</?(?:b|strong)(?: [^>]*)?>", "**"),
-    (r"(?i)</?(?:i|em)(?: [^>]*)?>", "_"),
-    (r"(?i)</?(?:code|kbd|samp|tt)(?: [^>]*)?>", "`"),
-    (r"(?i)<img(?: [^>]*)? src=[\"']([^\"'>]*)[\"'](?: [^>]*)? alt=[\"']([^\"'>]*)[\"'][^>]*>", r"![\2](\1)"),
-    (r"(?i)<img(?: [^>]*)? alt=[\"']([^\"'>]*)[\"'](?: [^>]*)? src=[\"']([^\"'>]*)[\"'][^>]*>", r"![\1](\2)"),
-    (r"(?i)<img(?: [^>]*)? src=[\"']([^\"'>]*)[\"'][^>]*>", r"![](\1)"),
-    (r"(?i)<a(?: [^>]*)?> *</a>", ""),
-    (r"(?i)<a(?: [^>]*)? href=[\"']([^\"'>]*)[\"'][^>]*>(.*?)</a>", r"[\2](\1)"),
-    (r"(?i)<br ?/?>", "\n"),
-    (r"(?i)</?(?:p|div|ul|ol|h[1-6]|blockquote|section|main|table|thead|tbody|tfoot|tr|td|th|dl|dt|dd|figure|figcaption|pre)(?: [^>]*)?>", "\n\n"),
-    (r"<[^>]*>", ""),
-    (r" *\n *", "\n"),
-    (r"\n\n+", "\n\n"),
-    (r"^[\n ]+|[\n ]+$", ""),
-)
-# What is no article where no element says so, where one section ends, and where one paragraph ends.
-ASIDE = (
-    r"(?is)<head(?: [^>]*)?>.*?</head>|<nav(?: [^>]*)?>.*?</nav>|<header(?: [^>]*)?>.*?</header>|<footer(?: [^>]*)?>.*?</footer>"
-    r"|<aside(?: [^>]*)?>.*?</aside>|<form(?: [^>]*)?>.*?</form>|<noscript(?: [^>]*)?>.*?</noscript>"
-)
-SECTION = r"(?i)</?(?:html|body|main|section|article|div|table|tbody|tr|td|th)(?: [^>]*)?>"
-PARAGRAPH = r"(?i)</?(?:p|pre|li|ul|ol|blockquote|h[1-6])(?: [^>]*)?>"
-LINK_TEXT = r"(?is)<a(?: [^>]*)?>(.*?)</a>"
-#: A paragraph counts from this many characters on; a section stays from this share of the best one's score on.
-PARAGRAPH_LEAST, SECTION_SHARE = 25, 0.2
-# Character references, the ampersand last.
-REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&apos;", "'"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&amp;", "&"))
-
-
-ARTICLES = r"(?is)<article(?: [^>]*)?>(.*?)</article>"
-
-
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
-def _stripped(html: Column, pattern: str) -> Column:
-    return F.regexp_replace(html, pattern, "")
-
-
-def _best(scores: Column) -> Column:
-    return F.coalesce(F.array_max(scores), F.lit(0.0))
-
-
-def text_score(html: Column) -> Column:
-    """What a part of a page is worth as an article: for every paragraph of 25 characters or more a point, one for each comma and one for each
-    hundred characters up to three, in all less the share of characters that stand in links."""
-
-    def points(paragraph: Column) -> Column:
-        text = F.trim(_stripped(paragraph, "<[^>]*>"))
-        commas = F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))
-        return F.when(F.length(text) >= PARAGRAPH_LEAST, 1 + commas + F.least(F.floor(F.length(text) / 100), F.lit(3))).otherwise(0)
-
-    sum_ = F.aggregate(F.transform(F.split(html, PARAGRAPH), points), F.lit(0).cast("long"), lambda a, x: a + x)
-    linked = F.length(_stripped(F.array_join(F.regexp_extract_all(html, F.lit(LINK_TEXT), F.lit(1)), ""), "<[^>]*>"))
-    return sum_ * (1 - linked / F.greatest(F.length(_stripped(html, "<[^>]*>")), F.lit(1)))
+#: A node of a page: its number and its parent's (0 is the page), how deep it stands, the tags down to it, its own, and the text of text nodes.
+NODE = "node int, parent int, depth int, path string, tag string, text string"
+#: What a page is read for.
+PAGE = "title string, found boolean, markdown string"
 
 
-def scored(html: Column) -> Column:
-    """The sections of a page that read like an article: those of a fifth of the best score or more, in page order; empty if none scores.
+def _of_texts(column: pa.Array, value: Callable[[str], object], kind: pa.DataType) -> pa.Array:
+    return pa.array([None if x is None else value(x) for x in column.to_pylist()], kind)
 
-    A section is what stands between two tags of containers; heads, menus, headers, footers, sidebars and forms are no part of one.
-    """
-    sections = F.split(_stripped(_stripped(html, DROPPED[0]), ASIDE), SECTION)
-    with_scores = F.transform(sections, lambda x: F.struct(x.alias("html"), text_score(x).alias("score")))
 
-    def kept(every: Column) -> Column:
-        good = lambda t: F.filter(t["every"], lambda x: (x["score"] > 0) & (x["score"] >= t["best"] * SECTION_SHARE))
-        return _let(F.struct(every.alias("every"), _best(every["score"]).alias("best")), lambda t: F.array_join(good(t)["html"], "\n"))
+def _read(html: str) -> dict:
+    tree = Tree(html)
+    nodes = chosen(tree)
+    titles = [tree.text_of(k) for k, tag in enumerate(tree.tags) if tag == "title"]
+    return {"title": titles[0] if titles else "", "found": slices(tree, nodes) != "", "markdown": Markdown(tree).of(nodes)}
+
 
-    return _let(with_scores, kept)
+def _nodes(html: str) -> list[dict]:
+    return [dict(zip(("node", "parent", "depth", "path", "tag", "text"), row, strict=True)) for row in Tree(html).rows()]
+
+
+def _slices(html: str, elements: bool) -> str:
+    tree = Tree(html)
+    return slices(tree, chosen(tree, elements))
 
 
 def article(html: Column) -> Column:
-    """A page's main part: what stands in its article element, in the best of several, or else the sections that score; empty if there is none.
+    """A page's main part: what its article element holds, the best of several, or else the sections that score; empty if there is none.
 
-    An article element holds up to its first end tag; the first one wins among equals. Null stays null.
+    Articles in an article are part of it; the first one wins among equals. Null stays null.
     """
 
-    def best(every: Column) -> Column:
-        scores = F.transform(every, text_score)
-        return F.element_at(every, _let(scores, lambda s: F.array_position(s, F.array_max(s))).cast("int"))
+    @F.arrow_udf("string")
+    def run(column: pa.Array) -> pa.Array:
+        return _of_texts(column, lambda x: _slices(x, True), pa.string())
 
-    def choose(every: Column) -> Column:
-        return F.when(F.size(every) == 1, every[0]).when(F.size(every) > 1, best(every)).otherwise(scored(html))
+    return run(html)
 
-    return _let(F.regexp_extract_all(html, F.lit(ARTICLES), F.lit(1)), choose)
 
+def scored(html: Column) -> Column:
+    """The sections of a page that read like an article, whatever its article elements: a container that the paragraphs in it make worth most, and those beside it."""
 
-def title(html: Column) -> Column:
-    return decoded(F.regexp_extract(html, r"(?s)<title[^>]*>(.*?)</title>", 1))
+    @F.arrow_udf("string")
+    def run(column: pa.Array) -> pa.Array:
+        return _of_texts(column, lambda x: _slices(x, False), pa.string())
 
+    return run(html)
 
-def decoded(text: Column) -> Column:
-    for a, b in REFERENCES:
-        text = F.replace(text, F.lit(a), F.lit(b))
-    return text
 
+def markdown(html: Column) -> Column:
+    """Markdown of a part of a page: headings, lists in lists, emphasis, links, images, rules, quotes, code and tables; signs that markdown would read are escaped.
 
-def _numbered(html: Column) -> Column:
-    """Items of ordered lists get their numbers; an inner ordered list goes on with those of the outer one."""
+    A table is one if its first row has headings only; cells of others become paragraphs. Null stays null.
+    """
 
-    def piece(x: Column) -> Column:
-        items = F.split(F.regexp_extract(x, r"(?is)<ol(?: [^>]*)?>(.*)$", 1), r"(?i)<li(?: [^>]*)?>")
-        marked = F.transform(items, lambda y, i: F.when(i == 0, y).otherwise(F.concat(F.lit("<br>"), i.cast("string"), F.lit("." + BLANK + BLANK), y)))
-        before = _stripped(x, r"(?is)<ol(?: [^>]*)?>.*$")
-        return F.when(F.regexp_like(x, F.lit(r"(?i)<ol(?: [^>]*)?>")), F.concat(before, F.lit("<p>"), F.array_join(marked, ""), F.lit("<p>"))).otherwise(x)
+    @F.arrow_udf("string")
+    def run(column: pa.Array) -> pa.Array:
+        return _of_texts(column, lambda x: Markdown(Tree(x)).of([0]), pa.string())
 
-    return F.array_join(F.transform(F.split(html, r"(?i)</ol>"), piece), "")
+    return run(html)
 
 
-def _fenced(html: Column) -> Column:
-    """Preformatted parts as fences, whose line breaks and blanks are kept as control characters."""
+def read(html: Column) -> Column:
+    """A page's title, whether it has an article, and this as markdown, from one tree."""
 
-    def piece(x: Column) -> Column:
-        code = _stripped(_stripped(F.regexp_extract(x, r"(?is)<pre(?: [^>]*)?>(.*)$", 1), "<[^>]*>"), r"[\n ]+$")
-        code = F.translate(F.concat(F.lit("```\n"), code, F.lit("\n```")), "\n ", BREAK + BLANK)
-        before = _stripped(x, r"(?is)<pre(?: [^>]*)?>.*$")
-        return F.when(F.regexp_like(x, F.lit(r"(?i)<pre(?: [^>]*)?>")), F.concat(before, F.lit("<p>"), code, F.lit("<p>"))).otherwise(x)
+    @F.arrow_udf(f"struct<{PAGE.replace(' ', ':').replace(',:', ',')}>")
+    def run(column: pa.Array) -> pa.Array:
+        return _of_texts(column, _read, pa.struct([("title", pa.string()), ("found", pa.bool_()), ("markdown", pa.string())]))
 
-    return F.array_join(F.transform(F.split(html, r"(?i)</pre>"), piece), "")
+    return run(html)
 
 
-def markdown(html: Column) -> Column:
-    """Markdown of a part of a page: headings, lists, emphasis, links, images, rules, quotes, inline code and fences.
+def page_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """``key`` and the nodes of every page's tree, without blank text; pages without html have none."""
+    kind = pa.struct([("node", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()), ("path", pa.string()), ("tag", pa.string()), ("text", pa.string())])
 
-    Cells of tables become paragraphs. Signs of the text that markdown would read are not escaped. Null stays null.
-    """
-    html = _numbered(_fenced(_stripped(html, DROPPED[0])))
-    for pattern, by in MARKDOWN:
-        html = F.regexp_replace(html, pattern, by.replace("\\", "$"))
-    return F.translate(decoded(html), BREAK + BLANK, "\n ")
+    @F.arrow_udf(f"array<struct<{NODE.replace(' ', ':').replace(',:', ',')}>>")
+    def run(column: pa.Array) -> pa.Array:
+        return _of_texts(column, _nodes, pa.list_(kind))
+
+    return pages.select(key, F.explode(run(F.col(html))).alias("of")).select(key, "of.*")
 
 
 def head_lines(text: Column, most: int = LINES) -> Column:
@@ -195,13 +131,12 @@ def failure_text(state: Column) -> Column:
 def distilled(pages: DataFrame) -> DataFrame:
     """page_id, url, title and the capped markdown of every page that can be captured and has an article.
 
-    All of it is lazy, JVM-side and without a shuffle; the cap comes before any model is asked.
+    A page is read once, in Arrow batches and without a shuffle; the cap comes before any model is asked.
     """
-    kept = pages.where(capturable(F.col("url")) & F.col("html").isNotNull())
-    body = head_lines(markdown(article(F.col("html"))))
-    # a filter would be pushed below the projection and make the markdown twice
-    found = F.filter(F.array(body), lambda x: x != "")
-    return kept.select("page_id", "url", title(F.col("html")).alias("title"), F.explode(found).alias("body"))
+    kept = pages.where(capturable(F.col("url")) & F.col("html").isNotNull()).select("page_id", "url", read(F.col("html")).alias("page"))
+    # a filter would be pushed below the projection and read the page twice
+    found = F.filter(F.array(head_lines(F.col("page.markdown"))), lambda x: x != "")
+    return kept.select("page_id", "url", F.col("page.title").alias("title"), F.explode(found).alias("body"))
 
 
 def summarized(pages: DataFrame, summarizers: list[Callable[[], TextModel]], translators: list[Callable[[], TextModel]]) -> DataFrame:

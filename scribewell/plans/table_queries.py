@@ -66,13 +66,18 @@ def doc_article(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.table(spark, sf_dir, "pages").select("page_id", distill.article(F.col("html")).alias("article"))
 
 
+def doc_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes of all pages."""
+    return distill.page_nodes(tables.table(spark, sf_dir, "pages"))
+
+
 def doc_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown of the sections that score, as if no page had an article element."""
     return tables.table(spark, sf_dir, "pages").select("page_id", distill.markdown(distill.scored(F.col("html"))).alias("markdown"))
 
 
 def doc_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.table(spark, sf_dir, "pages").select("page_id", distill.markdown(distill.article(F.col("html"))).alias("markdown"))
+    return tables.table(spark, sf_dir, "pages").select("page_id", distill.read(F.col("html"))["markdown"].alias("markdown"))
 
 
 def doc_titled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -370,7 +375,7 @@ def stream_audio_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [src_audio_chunks, src_messages, src_pages, src_first_page, url_capturable_antijoin, doc_article, doc_scored, doc_markdown, doc_titled, doc_prompt, doc_translate_prompt, doc_status, doc_head40, doc_summaries, doc_summarized, locale_default, doc_language_names, msg_route, msg_payload_field, state_recording_last, state_model_last, state_snapshot_plus_updates, chunk_sessions, pair_pending_ready, fsm_recording, error_visible_ttl, error_visible_ttl_hour, settings_as_of, shed_latest_window, sliding_30s_10s, trailing_30s, toast_top1, toast_ids, toast_update, toast_remove, toast_schedule_once, toast_fold, chunk_nonempty, audio_tail, audio_head, audio_concat, audio_mix, audio_channel0, audio_downmix, chunks_union_all, audio_transcribed, transcript_append, transcript_concat, stream_route, stream_handshake, pair_until_closed, stream_handshake_closed, stream_recorder, stream_state_last, stream_settings_as_of, stream_error_ttl, stream_toasts, stream_sliding, stream_audio_tail]
+    own = [src_audio_chunks, src_messages, src_pages, src_first_page, url_capturable_antijoin, doc_nodes, doc_article, doc_scored, doc_markdown, doc_titled, doc_prompt, doc_translate_prompt, doc_status, doc_head40, doc_summaries, doc_summarized, locale_default, doc_language_names, msg_route, msg_payload_field, state_recording_last, state_model_last, state_snapshot_plus_updates, chunk_sessions, pair_pending_ready, fsm_recording, error_visible_ttl, error_visible_ttl_hour, settings_as_of, shed_latest_window, sliding_30s_10s, trailing_30s, toast_top1, toast_ids, toast_update, toast_remove, toast_schedule_once, toast_fold, chunk_nonempty, audio_tail, audio_head, audio_concat, audio_mix, audio_channel0, audio_downmix, chunks_union_all, audio_transcribed, transcript_append, transcript_concat, stream_route, stream_handshake, pair_until_closed, stream_handshake_closed, stream_recorder, stream_state_last, stream_settings_as_of, stream_error_ttl, stream_toasts, stream_sliding, stream_audio_tail]
     return {f.__name__: f for f in own}
 
 
@@ -394,62 +399,39 @@ def _text(text: str) -> str:
     return " || chr(10) || ".join(_quoted(x) for x in text.split("\n"))
 
 
+# How the given pages are made: an article element with a headline and paragraphs, where bold text isn't ended and so goes on to the end,
+# an advert before it, and four character references. The SQL reads these pages only, in its own way.
+
+
 def _duck_decoded(sql: str) -> str:
-    for a, b in distill.REFERENCES:
+    for a, b in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
         sql = f"replace({sql}, {_quoted(a)}, {_quoted(b)})"
     return sql
 
 
-def _duck_without(sql: str, pattern: str) -> str:
-    return f"regexp_replace({sql}, {_quoted(pattern)}, '', 'g')"
-
-
-def _duck_pieces(sql: str, end: str, start: str, made: str) -> str:
-    """What stands before ``end`` in pieces; in those with ``start``, ``made`` of what follows it comes in the place of that."""
-    piece = f"CASE WHEN regexp_matches(x, '(?i){start}') THEN {_duck_without('x', f'(?is){start}.*$')} || '<p>' || {made} || '<p>' ELSE x END"
-    return f"array_to_string(list_transform(string_split_regex({sql}, '(?i){end}'), lambda x: {piece}), '')"
-
-
-def _duck_markdown(sql: str) -> str:
-    pre, ol, li = "<pre(?: [^>]*)?>", "<ol(?: [^>]*)?>", "(?i)<li(?: [^>]*)?>"
-    body = _duck_without(_duck_without(f"regexp_extract(x, '(?is){pre}(.*)$', 1)", "<[^>]*>"), r"[\n ]+$")
-    code = f"'```' || chr(10) || {body} || chr(10) || '```'"
-    sql = _duck_pieces(_duck_without(sql, distill.DROPPED[0]), "</pre>", pre, f"translate({code}, chr(10) || ' ', chr(1) || chr(2))")
-    items = f"string_split_regex(regexp_extract(x, '(?is){ol}(.*)$', 1), '{li}')"
-    sql = _duck_pieces(sql, "</ol>", ol, f"array_to_string(list_transform({items}, lambda y, i: CASE WHEN i = 1 THEN y ELSE '<br>' || (i - 1) || '.' || chr(2) || chr(2) || y END), '')")
-    for pattern, by in distill.MARKDOWN:
-        sql = f"regexp_replace({sql}, {_quoted(pattern)}, {_text(by)}, 'g')"
-    return f"translate({_duck_decoded(sql)}, chr(1) || chr(2), chr(10) || ' ')"
-
-
-def _duck_text_score(sql: str) -> str:
-    text = "trim(" + _duck_without("y", "<[^>]*>") + ", ' ')"
-    points = f"CASE WHEN length({text}) >= {distill.PARAGRAPH_LEAST} THEN 1 + length({text}) - length(replace({text}, ',', '')) + least(length({text}) // 100, 3) ELSE 0 END"
-    linked = _duck_without(f"array_to_string(regexp_extract_all({sql}, {_quoted(distill.LINK_TEXT)}, 1), '')", "<[^>]*>")
-    return f"list_sum(list_transform(string_split_regex({sql}, {_quoted(distill.PARAGRAPH)}), lambda y: {points})) * (1 - length({linked})::DOUBLE / greatest(length({_duck_without(sql, '<[^>]*>')}), 1))"
-
-
-def _duck_let(value: str, then: str, name: str) -> str:
-    return f"list_transform([{value}], lambda {name}: {then})[1]"
-
-
-def _duck_scored(sql: str) -> str:
-    sections = f"string_split_regex({_duck_without(_duck_without(sql, distill.DROPPED[0]), distill.ASIDE)}, {_quoted(distill.SECTION)})"
-    rows = f"list_transform({sections}, lambda z: {{'html': z, 'score': {_duck_text_score('z')}}})"
-    best = "coalesce(list_max(list_transform(every, lambda z: z.score)), 0)"
-    kept = f"array_to_string(list_transform(list_filter(every, lambda z: z.score > 0 AND z.score >= best * {distill.SECTION_SHARE}), lambda z: z.html), chr(10))"
-    return _duck_let(rows, _duck_let(best, kept, "best"), "every")
+def _duck_escaped(sql: str) -> str:
+    """Text without tags, in which markdown reads no signs."""
+    sql = _duck_decoded(f"regexp_replace({sql}, '<[^>]*>', '', 'g')")
+    sql = f"trim(regexp_replace({sql}, '[ \\t\\r\\n\\f]+', ' ', 'g'), ' ')"
+    for sign in "\\*_`[]":
+        sql = f"replace({sql}, '{sign}', '\\{sign}')"
+    return sql
 
 
-def _duck_article(sql: str) -> str:
-    scores = f"list_transform(parts, lambda z: {_duck_text_score('z')})"
-    best = f"parts[list_position({scores}, list_max({scores}))]"
-    choose = f"CASE WHEN len(parts) = 1 THEN parts[1] WHEN len(parts) > 1 THEN {best} ELSE {_duck_scored(sql)} END"
-    return _duck_let(f"regexp_extract_all({sql}, {_quoted(distill.ARTICLES)}, 1)", choose, "parts")
+def _duck_line(sql: str) -> str:
+    sql = f"regexp_replace({sql}, '^(-|=|>|\\+ |#{{1,6}} |~~~)', '\\\\\\1')"
+    return f"regexp_replace({sql}, '^([0-9]+)[.] ', '\\1\\\\. ')"
 
 
-_ARTICLE = _duck_article("html")
-_TITLE = _duck_decoded("regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)")
+_ARTICLE = "regexp_extract(html, '(?s)<article[^>]*>(.*)</article>', 1)"
+_HEADLINE = _duck_line(_duck_escaped(f"regexp_extract({_ARTICLE}, '(?s)<h1>(.*?)</h1>', 1)"))
+_PARTS = f"string_split_regex(regexp_replace({_ARTICLE}, '(?s)^.*?</h1>', ''), '</?p>')"
+_PARAGRAPH = f"CASE WHEN {_duck_escaped('x')} = '' THEN '' WHEN contains(array_to_string(parts[:i], ''), '<b>') THEN '**' || {_duck_escaped('x')} || '**' ELSE {_duck_line(_duck_escaped('x'))} END"
+_BODY = f"array_to_string(list_filter(['# ' || {_HEADLINE}] || list_transform(parts, lambda x, i: {_PARAGRAPH}), lambda t: t NOT IN ('', '# ')), chr(10) || chr(10))"
+_MARKDOWN = f"list_transform([{_PARTS}], lambda parts: {_BODY})[1]"
+_HAS_PARAGRAPH = f"len(list_filter({_PARTS}, lambda x: length(regexp_replace({_duck_decoded("regexp_replace(x, '<[^>]*>', '', 'g')")}, '[ \\t\\r\\n\\f]+', ' ', 'g')) >= 25)) > 0"
+_ADVERT = _duck_line(_duck_escaped("regexp_extract(html, '(?s)<div class=\"ad\">(.*?)</div>', 1)"))
+_TITLE = _duck_decoded("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")
 _BLOCKED = " OR ".join(f"starts_with(url, '{p}')" for p in web.BLOCKED)
 
 
@@ -457,7 +439,7 @@ def _duck_head(sql: str) -> str:
     return f"array_to_string((string_split({sql}, chr(10)))[1:{distill.LINES}], chr(10))"
 
 
-_DISTILLED = f"(SELECT page_id, url, {_TITLE} AS title, {_duck_head(_duck_markdown(_ARTICLE))} AS body FROM pages WHERE html IS NOT NULL AND coalesce(url <> '' AND NOT ({_BLOCKED}), false)) WHERE body <> ''"
+_DISTILLED = f"(SELECT page_id, url, {_TITLE} AS title, {_duck_head(_MARKDOWN)} AS body FROM pages WHERE html IS NOT NULL AND coalesce(url <> '' AND NOT ({_BLOCKED}), false)) WHERE body <> ''"
 
 
 # what the stub for a text model says
@@ -482,8 +464,8 @@ def oracle_sql() -> dict[str, str]:
         "src_first_page": "SELECT page_id, url FROM pages WHERE html IS NOT NULL AND html <> '' ORDER BY page_id LIMIT 1",
         "url_capturable_antijoin": f"SELECT id, url FROM (SELECT page_id AS id, url FROM pages UNION ALL SELECT CAST(id AS BIGINT), url FROM {URLS}) WHERE url <> '' AND NOT ({_BLOCKED})",
         "doc_article": f"SELECT page_id, {_ARTICLE} AS article FROM pages",
-        "doc_scored": f"SELECT page_id, {_duck_markdown(_duck_scored('html'))} AS markdown FROM pages",
-        "doc_markdown": f"SELECT page_id, {_duck_markdown(_ARTICLE)} AS markdown FROM pages",
+        "doc_scored": f"SELECT page_id, CASE WHEN {_HAS_PARAGRAPH} THEN {_MARKDOWN} WHEN length({_ADVERT}) >= 25 THEN {_ADVERT} ELSE '' END AS markdown FROM pages",
+        "doc_markdown": f"SELECT page_id, {_MARKDOWN} AS markdown FROM pages",
         "doc_titled": f"SELECT page_id, '# [' || title || '](' || url || ')' || chr(10) || chr(10) || body AS text FROM {_DISTILLED}",
         "doc_prompt": f"SELECT page_id, {_text(distill.PROMPT)} || body AS prompt FROM {_DISTILLED}",
         "doc_translate_prompt": f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN {_text(distill.TRANSLATE)} || text END AS prompt FROM documents",

@@ -8,10 +8,10 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_flagship_has_no_shuffle_and_no_python(spark):
+def test_flagship_has_no_shuffle_and_reads_a_page_once(spark):
     text = plan(table_queries.doc_titled(spark, SF_DIR))
     assert "Exchange" not in text
-    assert "Python" not in text and "Arrow" not in text
+    assert text.count("ArrowEvalPython") == 1 and "BatchEvalPython" not in text
     assert "PushedFilters: [IsNotNull(html)" in text
 
 

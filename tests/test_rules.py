@@ -80,7 +80,8 @@ def test_rough_html(spark):
     df = spark.createDataFrame([(1, "https://a", html), (2, "chrome://a", html), (3, "https://b", "<p>x</p>"), (4, None, html), (5, "https://c", None)], "page_id long, url string, html string")
     (row,) = distill.distilled(df).collect()
     assert (row["page_id"], row["title"]) == (1, "T & U")
-    assert row["body"] == "# Head\n\n**one\n\ntwo & <three"
+    # bold text that isn't ended goes on in the paragraphs that follow
+    assert row["body"] == "# Head\n\n**one**\n\n**two & <three**"
 
 
 def markdown_of(spark, *pages, of=distill.markdown):
@@ -97,6 +98,15 @@ def test_markdown_marks(spark):
         "<h4>Four</h4><h6 id=a>Six</h6><hr/><blockquote><p>said</p></blockquote>": "#### Four\n\n###### Six\n\n* * *\n\n> said",
         "<table><tr><td>a</td><td>b</td></tr></table>": "a\n\nb",
         "&ldquo;x&rdquo; &mdash; &amp;lt;<!-- <b> --><bdi>y</bdi>": "“x” — &lt;y",
+        "<ol><li>a<ol><li>x<li>y</ol><li>b<ul><li>c<p>d</p></ul></ol>": "1.  a\n    1.  x\n    2.  y\n2.  b\n    *   c\n\n        d",
+        "<ol start=9><li>nine<li>ten</ol>": "9.  nine\n10. ten",
+        "<table><tr><th>a<th>b<tr><td>1|2<td>&#8217;<tr><td>z</table>": "| a | b |\n| --- | --- |\n| 1\\|2 | ’ |\n| z |  |",
+        "<p>a*b_c [x] &eacute; &#x2014;</p>": "a\\*b\\_c \\[x\\] é —",
+        "<p>- x<br>1. y<p># z<p>1.5": "\\- x  \n1\\. y\n\n\\# z\n\n1.5",
+        "<p><b> one <strong>two</strong> </b>three <i></i>.": "**one two** three .",
+        "<blockquote>a<blockquote>b</blockquote><ul><li>c</ul></blockquote>": "> a\n>\n> > b\n>\n> *   c",
+        '<pre class="language-py">a = "```"</pre><p><code>`x`</code>': '````py\na = "```"\n````\n\n`` `x` ``',
+        '<p><a href="u" title="say">x <img src=i> y</a>': '[x ![](i) y](u "say")',
         "": "",
         None: None,
     }
@@ -111,6 +121,12 @@ def test_articles_are_scored(spark):
         f"<div><p>{long}</p></div><div><p>x</p></div><div><p>{long}</p></div>": f"<p>{long}</p>\n<p>{long}</p>",
         f"<article><p>{long[:30]}</p></article><article class=x><p>{long}</p></article><article></article>": f"<p>{long}</p>",
         f"<article>t</article><p>{long}</p>": "t",
+        # what follows a nested article belongs to the outer one
+        f"<article>a<article>{long}</article>after</article><p>{long}</p>": f"a<article>{long}</article>after",
+        f"<body><p>{long}<p>x<p>{long}": f"<p>{long}\n<p>{long}",
+        # paragraphs make their container and the one around it worth something
+        f"<div id=a><div id=b><p>{long}</p><p>{long}</p></div><div><p>{long}</p></div><div><a href=x>{long}</a></div></div>": f"<p>{long}</p><p>{long}</p>\n<p>{long}</p>",
+        f"<div hidden><p>{long}{long}</p></div><div><p>{long}</p></div>": f"<p>{long}</p>",
         "<article></article>": "",
         "<p>x</p>": "",
         "": "",
