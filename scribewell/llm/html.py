@@ -2,7 +2,7 @@
 
 The standard library's parser reports tags and text as they come. Each block of a page is a line; its
 ratio is its characters of plain text to its tags, where text in links, and text in a part of the page whose element, role or
-class says that it is no content, counts for nothing. The ratios are smoothed, lines over a threshold form clusters,
+class says that it is no content, counts for nothing (but a class or a form says nothing of a part that holds most of the text). The ratios are smoothed, lines over a threshold form clusters,
 and the clusters select content regions: the articles that hold them and what they hold elsewhere, or else the innermost container around all.
 """
 
@@ -21,39 +21,60 @@ from .common import map_batches
 # HTML elements by what they mean.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 NO_TEXT = frozenset("script style noscript template svg math iframe object embed canvas audio video map head title select option datalist button textarea input".split())
-BOILERPLATE = frozenset("nav header footer aside form menu dialog".split())
+BOILERPLATE = frozenset("nav header footer aside menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert".split())
 CONTAINERS = frozenset("article main section div body td blockquote".split())
-# Words of class and id names that mark what is no content.
-MARKED = re.compile(
-    r"(?:^|[-_\s])(?:ad|ads|adv|advert|advertisement|advertising|adbox|adsense|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|disqus|replies|cookie|cookies|consent|gdpr|notice|disclaimer|"
-    r"footer|foot|masthead|topbar|header|menu|nav|navbar|navigation|newsletter|pager|pagination|popup|modal|overlay|promo|promotion|related|recommended|share|sharing|social|sidebar|side|rail|widget|signup|subscribe|sponsor|sponsored|toolbar|skip|hidden)(?:$|[-_\s\d])"
-)
+# Words of class and id names that mark what is no content: readers' comments by any word of a name, others as its first or last word.
+READERS = frozenset("comment comments commenter commentlist commenting disqus replies reply respond responses discussion discussions feedback guestbook talkback thread threads".split())
+FIRST = frozenset("ad ads adv advert adverts advertisement advertising adbox adsense breadcrumb breadcrumbs cookie cookies consent gdpr modal navbar newsletter overlay pagination popup promo promotion recommended related sidebar signup skip social sponsor sponsored subscribe".split())
+LAST = FIRST | frozenset("banner disclaimer footer header masthead menu nav navigation notice pager rail share sharing toolbar topbar widget hidden".split())
+#: Words before which a name says that something isn't there, and words of an article's own header.
+NOT, OWN_HEADER = frozenset("no has with without not is hide".split()), frozenset("article content entry main page post story title".split())
+#: A part of a page that its name or a form marks counts as content all the same if it holds this share of all text (readers' comments: nearly all), and every article.
+MARKED_HALF, MARKED_ALL = 0.5, 0.95
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: Lines of the Gaussian, and the share of the ratios' standard deviation that a cluster's lines are over.
 SIGMA, THRESHOLD = 1.0, 0.5
 
 
+def marked(names: str) -> str:
+    """What class and id names say of a part of a page: "readers" (their comments), "aside", or nothing. Each name is taken as a whole."""
+    said = ""
+    for name in names.split():
+        parts = [x.lower() for x in _PARTS.findall(name)]
+        if not parts or parts[0] in NOT:
+            continue
+        if READERS.intersection(parts):
+            return "readers"
+        own = parts[-1] in ("header", "banner") and OWN_HEADER.intersection(parts)
+        if (parts[0] in FIRST or parts[-1] in LAST) and not own:
+            said = "aside"
+    return said
+
+
 class Page(HTMLParser):
     """Lines of a page as the parser's events come: text, characters out of links, tags, and the containers around."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, tuple[int, bool, bool, bool]]] = []  # element, and what ``at`` was before it
+        self.stack: list[tuple[str, tuple[int, bool, bool, bool, int]]] = []  # element, and what ``at`` was before it
         self.places: dict[str, list[int]] = {}  # of each element's open tags in the stack
         self.bounds: list[int] = []  # places of open containers, and with lists and tables
         self.borders: list[int] = []
         self.parents = [-1]  # of each container; a parent comes before its children
         self.kinds = ["html"]
-        self.lines: list[tuple[str, int, int, int, bool]] = []
+        self.marks = [(-1, "")]  # parts that a name or a form marks: the one around, and how; the first is the page
+        self.mains = [0]  # articles and main elements in each of these
+        self.lines: list[tuple[str, int, int, int, bool, int]] = []
         self.text: list[str] = []
         self.plain = self.tags = 0
-        self.at = (0, False, False, False)  # container, whether it is boilerplate, whether it has no text, whether an article is around
+        self.at = (0, False, False, False, 0)  # container, whether it is boilerplate, whether it has no text, whether an article is around, mark
 
     def line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.plain, self.tags, self.at[0], self.at[1]))
+            self.lines.append((text, self.plain, self.tags, self.at[0], self.at[1], self.at[4]))
         self.text, self.plain, self.tags = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -68,15 +89,24 @@ class Page(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        container, no_content, no_text, in_article = self.at
+        container, no_content, no_text, in_article, mark = self.at
         # an article's own header holds its headline; the page's header does not
         headline = tag == "header" and in_article
         bad = tag in BOILERPLATE and not headline
         if attrs and not bad:
             names = dict(attrs)
-            said = f"{names.get('class') or ''} {names.get('id') or ''}".lower()
+            said = f"{names.get('class') or ''} {names.get('id') or ''}"
             bad = (names.get("role") or "").lower() in ROLES or "hidden" in names or names.get("aria-hidden") == "true" or re.search(r"display:\s*none", names.get("style") or "") is not None
-            bad |= tag not in ("article", "main", "body", "html") and not headline and MARKED.search(said) is not None
+            if tag not in ("article", "main", "body", "html") and not headline and said != " " and (kind := marked(said)):
+                self.marks.append((mark, kind))
+                self.mains.append(0)
+                mark = len(self.marks) - 1
+        if tag == "form":
+            self.marks.append((mark, "aside"))
+            self.mains.append(0)
+            mark = len(self.marks) - 1
+        if tag in ("article", "main"):
+            self.mains[mark] += 1
         place = len(self.stack)
         self.places.setdefault(tag, []).append(place)
         if tag in CONTAINERS:
@@ -87,7 +117,7 @@ class Page(HTMLParser):
         if tag in CONTAINERS or tag in ("table", "ul", "ol", "dl"):
             self.borders.append(place)
         self.stack.append((tag, self.at))
-        self.at = (container, no_content or bad, no_text or tag in NO_TEXT, in_article or tag == "article")
+        self.at = (container, no_content or bad, no_text or tag in NO_TEXT, in_article or tag == "article", mark)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -123,13 +153,28 @@ class Page(HTMLParser):
             if not self.places.get("a") and not self.at[1]:
                 self.plain += len(data.strip())
 
-    def read(self, html: str) -> list[tuple[str, int, int, int, bool]]:
+    def read(self, html: str) -> list[tuple[str, int, int, int, bool, int]]:
         for a in range(0, len(html), 1 << 16):
             self.feed(html[a : a + (1 << 16)])
         self.close()
         self.line()
         return self.lines
 
+    def left_out(self) -> list[bool]:
+        """Of each mark whether its text is no content."""
+        parents = [p for p, _ in self.marks]
+        sizes, mains = [0] * len(parents), list(self.mains)
+        for line in self.lines:
+            if not line[4]:
+                sizes[line[5]] += line[1]
+        summed(sizes, parents)
+        summed(mains, parents)
+        out = [False] * len(parents)
+        for k in range(1, len(parents)):
+            most = sizes[k] >= (MARKED_ALL if self.marks[k][1] == "readers" else MARKED_HALF) * sizes[0]
+            out[k] = out[parents[k]] or not (most and mains[k] == mains[0])
+        return out
+
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     """Convolved with a Gaussian of so many lines."""
@@ -156,6 +201,9 @@ def main_text(html: str | None) -> str:
     lines = page.read(html)
     if not lines:
         return ""
+    # the text of what is marked counts for nothing, unless it is most of the page's
+    out = page.left_out()
+    lines = [(*x[:4], x[4] or out[x[5]]) for x in lines]
     plain = np.array([0 if x[4] else x[1] for x in lines], np.float64)
     ratios = plain / np.array([max(1, x[2]) for x in lines])
     found = clusters(ratios)
