@@ -145,13 +145,14 @@ def entered(base: DataFrame, ways: dict[int, int], most: float, slots: int) -> D
 def mapped(base: DataFrame, shards: int, slots: int = SLOTS, old: SlotMap | None = None) -> SlotMap:
     """The map for the rows ``base``: a first one, or ``old`` in a new version, with more shards if there are to be more, and rebalanced.
 
-    What ``old`` has split stays so. Fewer shards than ``old`` has are an error.
+    What ``old`` has split stays so, and slots that have grown get more parts. Fewer shards than ``old`` has are an error.
     """
     if old and (old.slots != slots or old.shards > shards):
         raise ValueError("the stored map has other slots, or more shards")
     sums = slot_bytes(base, "virtual_slot", "size")
     most = part_most(sums, shards)
-    ways = {slot: int(-(-2 * n // most)) for slot, n in sums.items() if n > most} | (old.ways if old else {})
+    ways = {slot: wanted(int(-(-2 * n // most)), old.ways.get(slot, 1) if old else 1) for slot, n in sums.items() if n > most}
+    ways = (old.ways if old else {}) | ways
     sums = slot_bytes(entered(base, ways, most / 2, slots), "entry", "size")
     if old is None:
         return SlotMap.of(sums, shards, ways=ways, slots=slots)
@@ -161,6 +162,15 @@ def mapped(base: DataFrame, shards: int, slots: int = SLOTS, old: SlotMap | None
     return replace(grown.rebalanced(sums, ways=ways), version=old.version + 1)
 
 
+def wanted(ways: int, before: int) -> int:
+    """``ways`` or more: so many times those ``before``, by doubling, that a row's part is its old one or a new one, and no other rows move."""
+    if before == 1:
+        return ways
+    while before < ways:
+        before *= 2
+    return before
+
+
 def part_most(sums: dict[int, int], shards: int) -> float:
     """Bytes from which on a slot is split."""
     return max(1.0, sum(sums.values()) / shards / SPLIT)

@@ -99,6 +99,31 @@ def test_an_edited_map_moves_the_rows_of_its_moved_slots(spark, tmp_path):
     assert {(r["key"], r["text_crc32"], r["size"]): r["shard"] for r in again} == before
 
 
+def test_a_stored_map_follows_a_hot_slot_that_grows(spark, tmp_path):
+    path = str(tmp_path / "map")
+    rows = [(i + 10, f"text {i} " * 10) for i in range(4000)]
+    hot = [(7, f"hot {i} " * 10) for i in range(6000)]
+    shape = "doc_id long, text string"
+    first = sharding.shard(spark.createDataFrame(rows + hot[:60], shape), 8, map_path=path).collect()
+    second = sharding.shard(spark.createDataFrame(rows + hot, shape), 8, map_path=path).collect()
+    one, two = (sharding.SlotMap.load(spark, path, version=v) for v in (1, 2))
+    assert max(two.ways.values()) > 8 * max(one.ways.values(), default=1)
+    loads = check_shards(second, None, 8)
+    assert max(loads.values()) <= 1.05 * sum(loads.values()) / 8
+    # and again, where the slot is split already: old parts stay parts
+    third = sharding.shard(spark.createDataFrame(rows + hot + [(7, f"more {i} " * 10) for i in range(12_000)], shape), 8, map_path=path).collect()
+    three = sharding.SlotMap.load(spark, path, version=3)
+    slot = max(two.ways, key=two.ways.get)
+    assert three.ways[slot] % two.ways[slot] == 0 and three.ways[slot] > two.ways[slot]
+    loads = check_shards(third, None, 8)
+    assert max(loads.values()) <= 1.05 * sum(loads.values()) / 8
+    # rows of entries that didn't move stay
+    assert sum(one.shard_of[e] == two.shard_of.get(e) for e in one.shard_of) > 0.4 * len(one.shard_of)
+    where = lambda rows: {(r["doc_id"], r["text_crc32"]): r["shard"] for r in rows}
+    a, b = where(first), where(second)
+    assert sum(a[k] == b[k] for k in a) > 0.4 * len(a)
+
+
 # --- mixing
 
 
@@ -583,7 +608,7 @@ def test_pipeline_is_its_stages_by_brute_force(spark, documents):
     kept = [d for d in kept if d[0] in after]
     texts = {}
     for i, t, _, _ in kept:
-        spans = secrets.joined(secrets.base_spans(t) + secrets.added_spans(t))
+        spans = secrets.joined(secrets.base_spans(t) + secrets.RULES.spans(t))
         texts[i] = secrets.masked(t, spans, "[SECRET]") if spans else t
     docs = raw
     frames = []
