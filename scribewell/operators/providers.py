@@ -79,9 +79,10 @@ def _with_fallback(open_: list[Callable[[], object]], call: Callable[[object], o
             at[1] = open_[at[0]]()
 
 
-def transcribed(windows: DataFrame, backends: list[Callable[[], Transcriber]]) -> DataFrame:
-    """(stream_id, samples, language, task) to (stream_id, outputs, backend, status): one row for each window."""
-    kind = windows.schema["stream_id"].dataType.simpleString()
+def transcribed(windows: DataFrame, backends: list[Callable[[], Transcriber]], also: tuple[str, ...] = ()) -> DataFrame:
+    """(stream_id, ``also``, samples, language, task) to (stream_id, ``also``, outputs, backend, status): one row for each window, in batch or stream."""
+    keys = ("stream_id", *also)
+    kinds = ", ".join(f"{k} {windows.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = [0, backends[0]()]
@@ -89,11 +90,11 @@ def transcribed(windows: DataFrame, backends: list[Callable[[], Transcriber]]) -
             for batch in batches:
                 rows = [_with_fallback(backends, lambda m, r=r: m.transcribe(r["samples"] or [], r["language"], r["task"]), at) for r in batch.select(["samples", "language", "task"]).to_pylist()]
                 columns = [pa.array([r[0] for r in rows], pa.list_(pa.string())), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
-                yield pa.RecordBatch.from_arrays([batch.column("stream_id"), *columns], ["stream_id", "outputs", "backend", "status"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], *columns], [*keys, "outputs", "backend", "status"])
         finally:
             at[1].close()
 
-    return windows.select("stream_id", "samples", "language", "task").mapInArrow(run, f"stream_id {kind}, outputs array<string>, backend string, status string")
+    return windows.select(*keys, "samples", "language", "task").mapInArrow(run, f"{kinds}, outputs array<string>, backend string, status string")
 
 
 def answered(prompts: DataFrame, backends: list[Callable[[], TextModel]], key: str = "page_id") -> DataFrame:

@@ -80,3 +80,30 @@ def as_of(chunks: DataFrame, settings: DataFrame, value: str) -> DataFrame:
 def newest_by_batch(windows: DataFrame, batch: Column) -> DataFrame:
     """Load shedding: of the windows that a stream has ready in a batch only the newest is worked on."""
     return windows.withColumn("batch", batch).groupBy("stream_id", "batch").agg(F.max(order()).alias("at"), F.count("*").alias("n_waiting")).select("stream_id", "batch", F.col("at.seq").alias("seq"), "n_waiting")
+
+
+#: The kinds of a recorder's events, in the order in which those of one time come.
+EVENT_KINDS = ("setting", "start", "chunk", "stop")
+
+
+def recorded_windows(events: DataFrame, most: int) -> DataFrame:
+    """(stream_id, seq, cause, session, setting, n_samples, oldest) of events (stream_id, ts, seq, kind, value, n).
+
+    Chunks have ``n`` samples, which count while the recorder runs; a start when it is idle begins a session. Each chunk with samples and each setting
+    in a session that has any looks at the last ``most`` samples: how many there are, the chunk of the oldest one, and the setting as of then.
+    """
+    ranked = events.withColumn("rank", F.array_position(F.lit(list(EVENT_KINDS)), F.col("kind")) - 1)
+    by = Window.partitionBy("stream_id").orderBy("ts", "rank", "seq")
+    so_far, before = by.rowsBetween(Window.unboundedPreceding, Window.currentRow), by.rowsBetween(Window.unboundedPreceding, -1)
+    switch = F.when(F.col("kind").isin("start", "stop"), F.col("kind"))
+    marked = ranked.withColumn("state", F.last(switch, ignorenulls=True).over(so_far)).withColumn("was", F.coalesce(F.last(switch, ignorenulls=True).over(before), F.lit("stop")))
+    marked = marked.withColumn("setting", F.last(F.when(F.col("kind") == "setting", F.col("value")), ignorenulls=True).over(so_far))
+    begun = marked.withColumn("session", F.sum(F.when((F.col("kind") == "start") & (F.col("was") == "stop"), 1).otherwise(0)).over(so_far))
+    heard = begun.where("state = 'start'").withColumn("n", F.when(F.col("kind") == "chunk", F.coalesce("n", F.lit(0))).otherwise(0).cast("long"))
+    in_session = Window.partitionBy("stream_id", "session").orderBy("ts", "rank", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = heard.withColumn("sum", F.sum("n").over(in_session))
+    trail = Window.partitionBy("stream_id", "session").orderBy("sum").rangeBetween(1 - most, Window.currentRow)
+    oldest = F.min(F.when(F.col("n") > 0, F.struct("sum", "seq"))).over(trail)["seq"]
+    looks = (F.col("sum") > 0) & ((F.col("kind") == "setting") | (F.col("n") > 0))
+    out = summed.withColumn("oldest", oldest).where(looks)
+    return out.select("stream_id", "seq", F.col("kind").alias("cause"), "session", "setting", F.least("sum", F.lit(most)).alias("n_samples"), "oldest")

@@ -12,7 +12,7 @@ from scribewell.operators import audio, notices, providers, state, transcripts
 from scribewell.plans import distill
 from scribewell.plans.rules import URLS, rows
 from scribewell.sources import tables
-from scribewell.streaming import streams
+from scribewell.streaming import processors, streams
 
 #: Samples of a window on the stand-in table, whose chunks have 64 samples.
 N = 100
@@ -333,21 +333,64 @@ def stream_recorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.drained(streams.recorder(streams.message_stream(spark, sf_dir))).drop("batch_id")
 
 
+def _recorder_events(messages: DataFrame) -> DataFrame:
+    """Messages as a recorder's events: a transcript stands for a chunk of k samples, a recording state for a setting k."""
+    kind = F.when(F.col("type") == START, "start").when(F.col("type") == STOP, "stop").when(F.col("type") == TRANSCRIPT, "chunk").when(F.col("type") == RECORDING, "setting")
+    n = F.when(F.col("type") == TRANSCRIPT, F.coalesce(_number(), F.lit(0)))
+    rows = messages.withColumn("kind", kind).where(F.col("kind").isNotNull())
+    return rows.select("stream_id", "ts", "seq", "kind", F.when(F.col("type") == RECORDING, _number()).alias("value"), n.alias("n"), F.array_repeat(F.col("seq").cast("float"), n.cast("int")).alias("samples"))
+
+
+def recorded_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows of recorder sessions, after every chunk and every change of settings."""
+    return state.recorded_windows(_recorder_events(_messages(spark, sf_dir)), N)
+
+
+def _replayed_messages(spark: SparkSession, sf_dir: str, batches: int = 6) -> DataFrame:
+    stream = streams.replayed(tables.table(spark, sf_dir, "events"), "ts", batches=batches)
+    return tables.messages(stream).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def stream_recorded_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from keyed state, over several micro-batches."""
+    found = streams.drained(processors.recorded_windows(_recorder_events(_replayed_messages(spark, sf_dir)), N))
+    return found.select("stream_id", "seq", "cause", "session", "setting", F.size("samples").cast("long").alias("n_samples"), "oldest")
+
+
+def stream_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From events to transcripts: sessions and windows in keyed state, a stub for the model, and its answers by stream in order."""
+    windows = processors.recorded_windows(_recorder_events(_replayed_messages(spark, sf_dir)), N)
+    asked = windows.withColumn("language", languages.language(F.lit(None).cast("string"))).withColumn("task", languages.task(F.lit("transcribe")))
+    done = streams.drained(providers.transcribed(asked, [lambda: providers.StubTranscriber("webgpu", "WebGPU lost"), providers.StubTranscriber], also=("seq", "session")))
+    pieces = done.where(F.col("outputs").isNotNull()).select("stream_id", "session", "seq", "batch_id", transcripts.emitted(F.col("outputs")).alias("piece"))
+    return pieces.groupBy("stream_id", "session").agg(F.count("*").alias("n"), F.concat_ws("\n", F.array_sort(F.collect_list("piece"))).alias("transcript"))
+
+
+def stream_shed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch for each day: of the windows that a stream has ready in one only the newest is worked on."""
+    day = F.unix_date(F.col("ts").cast("date")).cast("long")
+    events = tables.table(spark, sf_dir, "events")
+    daily = events.withColumn("day", F.date_trunc("week", "ts"))
+    stream = tables.messages(streams.replayed(daily, "day", batches=8)).withColumn("ts", F.col("ts").cast("timestamp"))
+    found = streams.drained(processors.recorded_windows(_recorder_events(stream), N, newest_only=True))
+    return found.select("stream_id", "seq", "session", "setting", "n_waiting")
+
+
 def stream_state_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The snapshot of the 10th of January and the updates of the stream after it."""
+    """The snapshot of the 10th of January as the state to begin with, and the updates after it."""
     cut = F.lit("2024-01-10")
     numbered = lambda df: df.where(F.col("type") == RECORDING).select("stream_id", "ts", "seq", _number().alias("value"))
     snapshot = numbered(_messages(spark, sf_dir)).where(F.col("ts") < cut.cast("timestamp_ntz")).groupBy("stream_id").agg(F.max_by("value", state.order()).alias("value"))
-    updates = numbered(streams.message_stream(spark, sf_dir)).where(F.col("ts") >= cut.cast("timestamp"))
-    found = streams.drained(streams.last_values(updates, snapshot), "update").groupBy("stream_id").agg(F.max_by("value", "at").alias("updated"))
-    return snapshot.join(found, "stream_id", "full").select("stream_id", F.coalesce("updated", "value").alias("value"))
+    updates = numbered(_replayed_messages(spark, sf_dir)).where(F.col("ts") >= cut.cast("timestamp"))
+    found = streams.drained(processors.last_values(updates, snapshot))
+    return found.groupBy("stream_id").agg(F.max_by("value", F.struct("at", "seq")).alias("value"))
 
 
 def stream_settings_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("type") == RECORDING, 0).otherwise(1)
     both = streams.message_stream(spark, sf_dir).where(F.col("type").isin(RECORDING, TRANSCRIPT))
     value = F.when(F.col("type") == RECORDING, _number())
-    found = streams.drained(streams.settings_at(both.select("stream_id", "ts", "seq", kind.alias("kind"), value.alias("value"))))
+    found = streams.drained(processors.settings_at(both.select("stream_id", "ts", "seq", kind.alias("kind"), value.alias("value"))))
     return found.select("stream_id", "seq", F.col("value").alias("setting"))
 
 
@@ -370,12 +413,13 @@ def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_audio_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = streams.drained(streams.trailing_samples(tables.chunks(streams.event_stream(spark, sf_dir, "embeddings")), N), "update")
+    chunks = tables.chunks(streams.event_stream(spark, sf_dir, "embeddings")).withColumn("ts", F.timestamp_seconds("seq"))
+    found = streams.drained(processors.trailing_samples(chunks, N))
     return found.groupBy("stream_id").agg(F.max_by("samples", F.struct("batch_id", "seq")).alias("samples"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [src_audio_chunks, src_messages, src_pages, src_first_page, url_capturable_antijoin, doc_nodes, doc_article, doc_scored, doc_markdown, doc_titled, doc_prompt, doc_translate_prompt, doc_status, doc_head40, doc_summaries, doc_summarized, locale_default, doc_language_names, msg_route, msg_payload_field, state_recording_last, state_model_last, state_snapshot_plus_updates, chunk_sessions, pair_pending_ready, fsm_recording, error_visible_ttl, error_visible_ttl_hour, settings_as_of, shed_latest_window, sliding_30s_10s, trailing_30s, toast_top1, toast_ids, toast_update, toast_remove, toast_schedule_once, toast_fold, chunk_nonempty, audio_tail, audio_head, audio_concat, audio_mix, audio_channel0, audio_downmix, chunks_union_all, audio_transcribed, transcript_append, transcript_concat, stream_route, stream_handshake, pair_until_closed, stream_handshake_closed, stream_recorder, stream_state_last, stream_settings_as_of, stream_error_ttl, stream_toasts, stream_sliding, stream_audio_tail]
+    own = [src_audio_chunks, src_messages, src_pages, src_first_page, url_capturable_antijoin, doc_nodes, doc_article, doc_scored, doc_markdown, doc_titled, doc_prompt, doc_translate_prompt, doc_status, doc_head40, doc_summaries, doc_summarized, locale_default, doc_language_names, msg_route, msg_payload_field, state_recording_last, state_model_last, state_snapshot_plus_updates, chunk_sessions, pair_pending_ready, fsm_recording, error_visible_ttl, error_visible_ttl_hour, settings_as_of, shed_latest_window, sliding_30s_10s, trailing_30s, toast_top1, toast_ids, toast_update, toast_remove, toast_schedule_once, toast_fold, chunk_nonempty, audio_tail, audio_head, audio_concat, audio_mix, audio_channel0, audio_downmix, chunks_union_all, audio_transcribed, transcript_append, transcript_concat, stream_route, stream_handshake, pair_until_closed, stream_handshake_closed, stream_recorder, recorded_windows, stream_recorded_windows, stream_transcripts, stream_shed_windows, stream_state_last, stream_settings_as_of, stream_error_ttl, stream_toasts, stream_sliding, stream_audio_tail]
     return {f.__name__: f for f in own}
 
 
@@ -456,6 +500,21 @@ def _shown(seconds: int) -> str:
     )
 
 
+_WINDOWS = (
+    _M
+    + f""", e AS (SELECT stream_id, ts, seq, k, CASE type WHEN 'recording-state' THEN 0 WHEN 'start-transcription' THEN 1 WHEN 'transcript' THEN 2 ELSE 3 END AS rank FROM m WHERE type <> 'model-status'),
+    r AS (SELECT *, last_value(CASE WHEN rank IN (1, 3) THEN rank END IGNORE NULLS) OVER now AS state, last_value(CASE WHEN rank IN (1, 3) THEN rank END IGNORE NULLS) OVER before AS was,
+        last_value(CASE WHEN rank = 0 THEN k END IGNORE NULLS) OVER now AS setting FROM e
+        WINDOW now AS (PARTITION BY stream_id ORDER BY ts, rank, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), before AS (PARTITION BY stream_id ORDER BY ts, rank, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    s AS (SELECT *, (sum(CASE WHEN rank = 1 AND coalesce(was, 3) = 3 THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY ts, rank, seq ROWS UNBOUNDED PRECEDING))::BIGINT AS session,
+        CASE WHEN rank = 2 AND state = 1 THEN coalesce(k, 0) ELSE 0 END AS n FROM r),
+    c AS (SELECT *, (sum(n) OVER (PARTITION BY stream_id, session ORDER BY ts, rank, seq ROWS UNBOUNDED PRECEDING))::BIGINT AS total FROM s),
+    windows AS (SELECT stream_id, ts, rank, seq, CASE rank WHEN 0 THEN 'setting' ELSE 'chunk' END AS cause, session, setting, least(total, {N}) AS n_samples,
+        (SELECT arg_min(d.seq, d.total) FROM c d WHERE d.stream_id = c.stream_id AND d.session = c.session AND d.n > 0 AND d.total <= c.total AND d.total > c.total - {N}) AS oldest
+        FROM c WHERE state = 1 AND total > 0 AND (rank = 0 OR n > 0))"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
         "src_audio_chunks": "SELECT label AS stream_id, vec_id AS seq, len(embedding) AS n_samples FROM embeddings",
@@ -524,6 +583,12 @@ def oracle_sql() -> dict[str, str]:
     out["pair_until_closed"] = out["pair_pending_ready"].replace("IN ('start-transcription', 'recording-state')", "IN ('start-transcription', 'recording-state', 'stop-transcription')")
     out["stream_handshake_closed"] = out["pair_until_closed"]
     out["stream_recorder"] = out["fsm_recording"]
+    out["recorded_windows"] = _WINDOWS + " SELECT stream_id, seq, cause, session, setting, n_samples, oldest FROM windows"
+    out["stream_recorded_windows"] = out["recorded_windows"]
+    out["stream_transcripts"] = _WINDOWS + """, p AS (SELECT stream_id, session, '[stub transcribe ru: ' || n_samples || ' samples]' AS piece FROM windows)
+            SELECT stream_id, session, count(*) AS n, string_agg(piece, chr(10) ORDER BY piece) AS transcript FROM p GROUP BY stream_id, session"""
+    out["stream_shed_windows"] = _WINDOWS + """ SELECT stream_id, arg_max(seq, row(ts, rank, seq)) AS seq, arg_max(session, row(ts, rank, seq)) AS session, arg_max(setting, row(ts, rank, seq)) AS setting, count(*) AS n_waiting
+            FROM windows GROUP BY stream_id, date_trunc('week', ts)"""
     out["stream_state_last"] = out["state_snapshot_plus_updates"]
     out["stream_settings_as_of"] = out["settings_as_of"]
     out["stream_error_ttl"] = out["error_visible_ttl"] + " WHERE next_us IS NOT NULL OR (first_us + 8000000) // 1000 + 1 < (SELECT epoch_us(max(ts)) FROM m WHERE type = 'model-status') // 1000 - 60000"

@@ -1,4 +1,8 @@
-"""The same operations on streams: routing, sliding windows, pairing, last values, notices, errors and trailing samples as Structured Streaming queries."""
+"""The same operations on streams: routing, sliding windows, pairing, recorder states, errors and notices as Structured Streaming queries.
+
+State ends with what it stands for: a pairing that is done, a recorder that is idle, notices that are gone, errors whose timers have run
+out. State that has no such end is in :mod:`scribewell.streaming.processors`.
+"""
 
 from __future__ import annotations
 
@@ -14,18 +18,36 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from scribewell.functions.web import route
 from scribewell.operators.audio import HOP, SECONDS
 from scribewell.operators.notices import MOST
-from scribewell.operators.state import SHOWN_SECONDS, order
+from scribewell.operators.state import SHOWN_SECONDS
 from scribewell.sources.scratch import shared_folder
 from scribewell.sources.tables import messages
+from scribewell.streaming.processors import LATE
+
+
 
-#: How late an event may come.
-LATE = "1 minute"
+#: Files of a micro-batch.
+FILES = 4
 
 
 def event_stream(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
-    """A table's files as a stream."""
+    """A table's files as a stream, the oldest first."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/{name}*.parquet")
+    # a pattern that no other table's name meets: a stream doesn't take a file's own name
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(f"{sf_dir}/{name}[.]parquet")
+
+
+def replayed(table: DataFrame, *by: str, batches: int = 8) -> DataFrame:
+    """A table as a stream of about ``batches`` micro-batches in the order of ``by``: one file of the shared folder for each."""
+    spark = table.sparkSession
+    path = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
+    table.repartitionByRange(batches, *by).write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    # files are read by their times, and ranges are numbered in order
+    parts = sorted((f.getPath() for f in files.listStatus(place) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    for k, part in enumerate(parts):
+        files.setTimes(part, (1_700_000_000 + 60 * k) * 1000, -1)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def message_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,47 +122,17 @@ def recorder(stream: DataFrame, start: str = "start-transcription", stop: str =
         rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
         now = (rows["type"] == start).to_numpy()
         changed = now != np.concatenate([[recording], now[:-1]])
-        state.update((bool(now[-1]),))
+        # no state is the same as an idle recorder's
+        if now[-1]:
+            state.update((True,))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame({"stream_id": key[0], "seq": rows["seq"].to_numpy()[changed], "state": np.where(now, "recording", "idle")[changed]})
 
     wanted = stream.where(F.col("type").isin(start, stop)).select("stream_id", "ts", "seq", "type")
     return wanted.groupBy("stream_id").applyInPandasWithState(step, "stream_id long, seq long, state string", "recording boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def last_values(stream: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
-    """(stream_id, at, value): after each batch the last value of each stream that has a new one; ``snapshot`` has (stream_id, value) from before the stream.
-
-    The aggregate combines in each task before it shuffles, and keeps one row for each stream. A row of the snapshot
-    stands until its stream's first update, so rows of the snapshot alone are the caller's.
-    """
-    last = stream.groupBy("stream_id").agg(F.max_by("value", order()).alias("value"), F.max(order()).alias("at"))
-    if snapshot is None:
-        return last.select("stream_id", "at", "value")
-    # an update without a value leaves the snapshot's
-    before = snapshot.select("stream_id", F.col("value").alias("before"))
-    return last.join(before, "stream_id", "left").select("stream_id", "at", F.coalesce("value", "before").alias("value"))
-
-
-def settings_at(stream: DataFrame) -> DataFrame:
-    """(stream_id, seq, value): each chunk (kind 1) with its stream's latest setting (kind 0) at or before it; the state holds one setting."""
-    kind_of_value = stream.schema["value"].dataType.simpleString()
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["ts", "kind", "seq"])
-        chunk = (rows["kind"] == 1).to_numpy()
-        known = (~chunk) & rows["value"].notna().to_numpy()
-        # of each row the last setting up to it; 0 is the one from before
-        place = np.maximum.accumulate(np.where(known, np.arange(1, len(rows) + 1), 0))
-        values = np.array([before, *rows["value"].tolist()], object)[place]
-        if values[-1] is not None:
-            state.update((values[-1],))
-        yield pd.DataFrame({"stream_id": key[0], "seq": rows["seq"].to_numpy()[chunk], "value": pd.Series(values[chunk], dtype=object)})
-
-    rows = stream.select("stream_id", "ts", "seq", "kind", "value")
-    return rows.groupBy("stream_id").applyInPandasWithState(step, f"stream_id long, seq long, value {kind_of_value}", f"value {kind_of_value}", "append", GroupStateTimeout.NoTimeout)
-
-
 def errors_shown(errors: DataFrame, seconds: int = SHOWN_SECONDS) -> DataFrame:
     """(stream_id, seq, shown_us): for how long each error is shown, once the next one has come or a timer has run out in event time.
 
@@ -221,7 +213,10 @@ def notices_kept(log: DataFrame, most: int = MOST, remove_after_ms: int | None =
                 kept.expire(now)
                 kept.take(action, name, title, now)
         now = [list(x) for x in zip(*kept.items, strict=True)] or [[], [], []]
-        state.update((*now, list(kept.timers), list(kept.timers.values())))
+        if kept.items or kept.timers:
+            state.update((*now, list(kept.timers), list(kept.timers.values())))
+        elif state.exists:
+            state.remove()
         if kept.timers:
             state.setTimeoutTimestamp(max(min(kept.timers.values()), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([(key[0], *now)], columns=["stream_id", "ids", "titles", "opened"])
@@ -230,25 +225,3 @@ def notices_kept(log: DataFrame, most: int = MOST, remove_after_ms: int | None =
     rows = (log.withWatermark("ts", LATE) if timed else log).select("stream_id", "ts", F.unix_millis("ts").alias("at"), "seq", "action", "id", "title")
     timeout = GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout
     return rows.groupBy("stream_id").applyInPandasWithState(step, f"stream_id long, {shape}", f"{shape}, names array<string>, dues array<long>", "update", timeout)
-
-
-def trailing_samples(stream: DataFrame, most: int) -> DataFrame:
-    """Each stream's last ``most`` samples after each batch; the state holds no more than those."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("seq")
-        held = list(state.get[0]) if state.exists else []
-        # from the end, and no further than the window
-        kept, n = [], 0
-        for samples in reversed(rows["samples"].tolist()):
-            if n >= most:
-                break
-            kept.append(np.asarray(samples, np.float32))
-            n += len(samples)
-        held = np.concatenate([np.asarray(held, np.float32), *reversed(kept)])[-most:].tolist()
-        last = int(rows["seq"].iloc[-1])
-        state.update((held,))
-        yield pd.DataFrame([(key[0], last, held)], columns=["stream_id", "seq", "samples"])
-
-    kept = stream.where(F.size("samples") > 0)
-    return kept.groupBy("stream_id").applyInPandasWithState(step, "stream_id int, seq long, samples array<float>", "samples array<float>", "update", GroupStateTimeout.NoTimeout)
