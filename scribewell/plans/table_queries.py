@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scribewell.functions import languages, web
-from scribewell.operators import audio, notices, providers, state, transcripts
+from scribewell.operators import audio, notices, providers, segments, state, transcripts
 from scribewell.plans import distill
 from scribewell.plans.rules import URLS, rows
 from scribewell.sources import tables
@@ -202,6 +202,38 @@ def trailing_30s(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.trailing(tables.table(spark, sf_dir, "events"), "user_id").select("event_id", "n_trailing")
 
 
+# --- the same for streams of any length
+
+
+def hot_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = segments.sessions(_messages(spark, sf_dir), F.col("type") == START)
+    return marked.where(F.col("type") == TRANSCRIPT).groupBy("stream_id", "session").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+
+
+def hot_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("type")
+    return segments.paired(_messages(spark, sf_dir), kind == START, kind == RECORDING, kind == STOP)
+
+
+def hot_recorder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.recorder(_messages(spark, sf_dir), F.col("type") == START, F.col("type") == STOP).select("stream_id", "seq", "state")
+
+
+def hot_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = _messages(spark, sf_dir)
+    chosen = messages.where(F.col("type") == RECORDING).select("stream_id", "ts", "seq", _number().alias("setting"))
+    return segments.as_of(messages.where(F.col("type") == TRANSCRIPT), chosen, "setting").select("stream_id", "seq", "setting")
+
+
+def hot_trailing_30s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.trailing(_messages(spark, sf_dir), audio.SECONDS).select(F.col("seq").alias("event_id"), "n_trailing")
+
+
+def hot_audio_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = audio.concatenated(segments.trailing_chunks(_chunks(spark, sf_dir), N))
+    return held.withColumn("samples", audio.tail(F.col("samples"), N))
+
+
 # --- notices: the messages of a stream as its log of actions
 
 
@@ -419,7 +451,7 @@ def stream_audio_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [src_audio_chunks, src_messages, src_pages, src_first_page, url_capturable_antijoin, doc_nodes, doc_article, doc_scored, doc_markdown, doc_titled, doc_prompt, doc_translate_prompt, doc_status, doc_head40, doc_summaries, doc_summarized, locale_default, doc_language_names, msg_route, msg_payload_field, state_recording_last, state_model_last, state_snapshot_plus_updates, chunk_sessions, pair_pending_ready, fsm_recording, error_visible_ttl, error_visible_ttl_hour, settings_as_of, shed_latest_window, sliding_30s_10s, trailing_30s, toast_top1, toast_ids, toast_update, toast_remove, toast_schedule_once, toast_fold, chunk_nonempty, audio_tail, audio_head, audio_concat, audio_mix, audio_channel0, audio_downmix, chunks_union_all, audio_transcribed, transcript_append, transcript_concat, stream_route, stream_handshake, pair_until_closed, stream_handshake_closed, stream_recorder, recorded_windows, stream_recorded_windows, stream_transcripts, stream_shed_windows, stream_state_last, stream_settings_as_of, stream_error_ttl, stream_toasts, stream_sliding, stream_audio_tail]
+    own = [src_audio_chunks, src_messages, src_pages, src_first_page, url_capturable_antijoin, doc_nodes, doc_article, doc_scored, doc_markdown, doc_titled, doc_prompt, doc_translate_prompt, doc_status, doc_head40, doc_summaries, doc_summarized, locale_default, doc_language_names, msg_route, msg_payload_field, state_recording_last, state_model_last, state_snapshot_plus_updates, chunk_sessions, pair_pending_ready, fsm_recording, error_visible_ttl, error_visible_ttl_hour, settings_as_of, shed_latest_window, sliding_30s_10s, trailing_30s, hot_sessions, hot_pairs, hot_recorder, hot_settings, hot_trailing_30s, hot_audio_tail, toast_top1, toast_ids, toast_update, toast_remove, toast_schedule_once, toast_fold, chunk_nonempty, audio_tail, audio_head, audio_concat, audio_mix, audio_channel0, audio_downmix, chunks_union_all, audio_transcribed, transcript_append, transcript_concat, stream_route, stream_handshake, pair_until_closed, stream_handshake_closed, stream_recorder, recorded_windows, stream_recorded_windows, stream_transcripts, stream_shed_windows, stream_state_last, stream_settings_as_of, stream_error_ttl, stream_toasts, stream_sliding, stream_audio_tail]
     return {f.__name__: f for f in own}
 
 
@@ -583,6 +615,7 @@ def oracle_sql() -> dict[str, str]:
     out["pair_until_closed"] = out["pair_pending_ready"].replace("IN ('start-transcription', 'recording-state')", "IN ('start-transcription', 'recording-state', 'stop-transcription')")
     out["stream_handshake_closed"] = out["pair_until_closed"]
     out["stream_recorder"] = out["fsm_recording"]
+    out |= {"hot_sessions": out["chunk_sessions"], "hot_pairs": out["pair_until_closed"], "hot_recorder": out["fsm_recording"], "hot_settings": out["settings_as_of"], "hot_trailing_30s": out["trailing_30s"], "hot_audio_tail": out["audio_tail"]}
     out["recorded_windows"] = _WINDOWS + " SELECT stream_id, seq, cause, session, setting, n_samples, oldest FROM windows"
     out["stream_recorded_windows"] = out["recorded_windows"]
     out["stream_transcripts"] = _WINDOWS + """, p AS (SELECT stream_id, session, '[stub transcribe ru: ' || n_samples || ' samples]' AS piece FROM windows)
