@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scribewell.functions import languages, web
-from scribewell.operators import audio, notices, providers, segments, state, transcripts
+from scribewell.operators import audio, notices, pcm, providers, segments, state, transcripts
 from scribewell.plans import distill
 from scribewell.plans.rules import URLS, rows
 from scribewell.sources import tables
@@ -120,6 +121,15 @@ def doc_summarized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distill.summarized(pages, [providers.StubTextModel], [providers.StubTextModel])
 
 
+def doc_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by readers whose browsers have a text model, get one after a download, have none, or have one that can't be had and another."""
+    pages = tables.table(spark, sf_dir, "pages").select("page_id")
+    stub = providers.StubTextModel
+    readers = {"readily": [stub], "after-download": [lambda: stub("after-download")], "no": [lambda: stub("no")], "second": [lambda: stub("no"), stub], "none": []}
+    each = [providers.capabilities(pages, backends).withColumn("reader", F.lit(reader)) for reader, backends in readers.items()]
+    return reduce(DataFrame.unionByName, each)
+
+
 def locale_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.table(spark, sf_dir, "documents").select("doc_id", languages.locale_default(F.col("lang")).alias("language"))
 
@@ -329,6 +339,17 @@ def audio_transcribed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.where(F.col("outputs").isNotNull()).select("stream_id", transcripts.emitted(F.col("outputs")).alias("transcript"), "backend", "status")
 
 
+def audio_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stream as chunks of a WAV file of 16 bits, and its samples again."""
+    found = pcm.samples_of(pcm.wav_chunks(_chunks(spark, sf_dir), audio.RATE))
+    return audio.concatenated(found)
+
+
+def audio_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a rate of 48,000."""
+    return audio.concatenated(pcm.samples_of(pcm.wav_chunks(_chunks(spark, sf_dir), 48_000)))
+
+
 # --- transcripts
 
 
@@ -451,7 +472,7 @@ def stream_audio_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [src_audio_chunks, src_messages, src_pages, src_first_page, url_capturable_antijoin, doc_nodes, doc_article, doc_scored, doc_markdown, doc_titled, doc_prompt, doc_translate_prompt, doc_status, doc_head40, doc_summaries, doc_summarized, locale_default, doc_language_names, msg_route, msg_payload_field, state_recording_last, state_model_last, state_snapshot_plus_updates, chunk_sessions, pair_pending_ready, fsm_recording, error_visible_ttl, error_visible_ttl_hour, settings_as_of, shed_latest_window, sliding_30s_10s, trailing_30s, hot_sessions, hot_pairs, hot_recorder, hot_settings, hot_trailing_30s, hot_audio_tail, toast_top1, toast_ids, toast_update, toast_remove, toast_schedule_once, toast_fold, chunk_nonempty, audio_tail, audio_head, audio_concat, audio_mix, audio_channel0, audio_downmix, chunks_union_all, audio_transcribed, transcript_append, transcript_concat, stream_route, stream_handshake, pair_until_closed, stream_handshake_closed, stream_recorder, recorded_windows, stream_recorded_windows, stream_transcripts, stream_shed_windows, stream_state_last, stream_settings_as_of, stream_error_ttl, stream_toasts, stream_sliding, stream_audio_tail]
+    own = [src_audio_chunks, src_messages, src_pages, src_first_page, url_capturable_antijoin, doc_nodes, doc_article, doc_scored, doc_markdown, doc_titled, doc_prompt, doc_translate_prompt, doc_status, doc_head40, doc_summaries, doc_summarized, doc_capabilities, locale_default, doc_language_names, msg_route, msg_payload_field, state_recording_last, state_model_last, state_snapshot_plus_updates, chunk_sessions, pair_pending_ready, fsm_recording, error_visible_ttl, error_visible_ttl_hour, settings_as_of, shed_latest_window, sliding_30s_10s, trailing_30s, hot_sessions, hot_pairs, hot_recorder, hot_settings, hot_trailing_30s, hot_audio_tail, toast_top1, toast_ids, toast_update, toast_remove, toast_schedule_once, toast_fold, chunk_nonempty, audio_tail, audio_head, audio_concat, audio_mix, audio_channel0, audio_downmix, chunks_union_all, audio_transcribed, audio_decoded, audio_resampled, transcript_append, transcript_concat, stream_route, stream_handshake, pair_until_closed, stream_handshake_closed, stream_recorder, recorded_windows, stream_recorded_windows, stream_transcripts, stream_shed_windows, stream_state_last, stream_settings_as_of, stream_error_ttl, stream_toasts, stream_sliding, stream_audio_tail]
     return {f.__name__: f for f in own}
 
 
@@ -567,6 +588,8 @@ def oracle_sql() -> dict[str, str]:
         "doc_summaries": f"SELECT page_id, {_SUMMARY} AS answer, 'stub' AS backend, 'ok' AS status FROM {_DISTILLED}",
         # the stub that translates answers with the first line of the summary that it is given
         "doc_summarized": f"SELECT page_id, '# [' || title || '](' || url || ')' || chr(10) || chr(10) || CASE WHEN page_id % 3 = 0 THEN '[stub summary] ' || left({_SUMMARY}, 80) ELSE {_SUMMARY} END AS text, 'ok' AS status FROM {_DISTILLED}",
+        "doc_capabilities": "SELECT page_id, reader, available, backend FROM pages, (VALUES ('readily', 'readily', 'stub'), ('after-download', 'after-download', 'stub'), ('no', 'no', NULL), ('second', 'readily', 'stub'), ('none', 'no', NULL)) AS r(reader, available, backend)",
+        "audio_decoded": "SELECT label AS stream_id, list_transform(flatten(list(embedding ORDER BY vec_id)), lambda x: (round_even(x::DOUBLE * 32768, 0) / 32768)::FLOAT) AS samples FROM embeddings GROUP BY label",
         "locale_default": "SELECT doc_id, CASE WHEN starts_with(lang, 'ja') THEN 'japanese' ELSE 'english' END AS language FROM documents",
         "doc_language_names": "SELECT d.lang, array_to_string(list_transform(string_split(l.name, '/'), lambda p: upper(p[1]) || p[2:]), '/') AS display, count(*) AS n FROM documents d LEFT JOIN (VALUES "
         + ", ".join(f"('{a}', '{b}')" for a, b in languages.LANGUAGES.items())

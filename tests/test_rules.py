@@ -242,3 +242,21 @@ def test_errors_in_a_stream_are_cleared_by_older_timers(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "errors"))
     got = {r["seq"]: r["shown_us"] for r in streams.drained(streams.errors_shown(stream)).collect()}
     assert got == {1: 5_000_000, 2: 3_000_000, 3: 3_000_000, 4: 8_000_000}
+
+
+def test_capabilities_and_warm_up(spark):
+    from scribewell.operators.providers import StubTranscriber, capabilities
+
+    keys = spark.createDataFrame([(1,), (2,)], "page_id long").coalesce(1)
+    of = lambda *backends: {(r["available"], r["backend"]) for r in capabilities(keys, list(backends)).collect()}
+    assert of(lambda: StubTranscriber("webgpu", starts_with="JSEP not there"), StubTranscriber) == {("readily", "wasm")}
+    # an error that no other backend mends ends the search
+    assert of(lambda: StubTranscriber("webgpu", starts_with="out of memory"), StubTranscriber) == {("error: out of memory", None)}
+    assert of(lambda: StubTranscriber("wasm", starts_with="WebGPU"), StubTranscriber) == {("error: WebGPU", None)}
+    assert of() == {("no", None)}
+    windows = spark.createDataFrame([(1, [0.5], "ru", "transcribe")], "stream_id int, samples array<float>, language string, task string")
+    from scribewell.operators.providers import transcribed
+
+    row = transcribed(windows, [lambda: StubTranscriber("webgpu", starts_with="WebGPU")]).first()
+    assert (row["outputs"], row["backend"], row["status"]) == (None, None, "error: WebGPU")
+    assert transcribed(windows, []).first()["status"] == "no_provider"
