@@ -86,22 +86,24 @@ def defaults() -> Column:
 def migrated(text: Column) -> Column:
     """The record that stored text stands for.
 
-    Null, empty and malformed text and values that are no object are the defaults. The old layout with a
-    language that is truthy and no string can't be read and is the defaults too; an old language
-    other than English means translation.
+    Null, empty and malformed text and values that are no object are the defaults. In the old layout a
+    language is text, null or a list (which is its JSON text here, and no language); any other value, and a list that has "/", can't be read and is the defaults too. What
+    stands before a slash counts without the blanks around it, a language without a slash as it is; one other than English means translation.
     """
     language, kind = field(text, "language"), field_type(text, "language")
-    base = F.regexp_replace(F.split_part(language, F.lit("/"), F.lit(1)), r"^\s+|\s+$", "")
+    base = F.when(F.contains(language, F.lit("/")), F.regexp_replace(F.split_part(language, F.lit("/"), F.lit(1)), r"^\s+|\s+$", "")).otherwise(language)
+    is_list = kind.startswith("ARRAY")
     english = (kind == "STRING") & (base == "english")
     old = F.struct(
         F.when(english, "transcribe").otherwise("translate").alias("mode"),
         F.when(english, language).alias("transcribeLanguage"),
         F.lit("english").alias("translateTargetLanguage"),
         truthy(text, "includeMicrophone").alias("includeMicrophone"),
-        F.when(kind == "STRING", language).otherwise("english").alias("summarizationLanguage"),
+        F.when((kind == "STRING") | is_list, language).otherwise("english").alias("summarizationLanguage"),
         F.lit("auto").alias("whisperModel"),
     )
-    unreadable = (kind != "STRING") & truthy(text, "language")
+    slash = F.exists(F.coalesce(F.from_json(F.get_json_object(text, "$.language"), "array<variant>"), F.array().cast("array<variant>")), lambda x: F.coalesce(F.to_json(x) == '"/"', F.lit(False)))
+    unreadable = ~((kind == "STRING") | (kind == "VOID") | is_list) | (is_list & slash)
     return F.when(F.coalesce(json_type(text), F.lit("")) != "object", defaults()).when(is_legacy(text), F.when(unreadable, defaults()).otherwise(old)).otherwise(merged(text))
 
 

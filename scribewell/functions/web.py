@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,3 +73,54 @@ def start_outcome(url: Column, has_context: Column, context_made: Column, handle
     yes = lambda c: F.coalesce(c, F.lit(False))
     waits = F.when(yes(context_made), "wait").otherwise("capture-error")
     return F.when(~yes(has_context), waits).when(capturable(url) & yes(handle != ""), "start").otherwise("capture-error")
+
+
+#: The largest whole number that a reader's double holds with all below it; ids count up to it and begin again.
+SAFE = (1 << 53) - 1
+
+
+def pretty(value: object, indent: str = "") -> str:
+    """A JSON value by lines with two blanks for each level, as readers' browsers write it: keys that are whole numbers first, and whole doubles without a point."""
+    inner = indent + "  "
+    if isinstance(value, dict):
+        numbers = sorted((k for k in value if k.isdecimal() and k == str(int(k)) and int(k) < (1 << 32) - 1), key=int)
+        items = [f"{json.dumps(k, ensure_ascii=False)}: {pretty(value[k], inner)}" for k in [*numbers, *[k for k in value if k not in set(numbers)]]]
+    elif isinstance(value, list):
+        items = [pretty(x, inner) for x in value]
+    elif isinstance(value, (int, float)) and not isinstance(value, bool):
+        return number_text(float(value))
+    else:
+        return json.dumps(value, ensure_ascii=False)
+    begin, end = "{}" if isinstance(value, dict) else "[]"
+    return f"{begin}\n{inner}" + f",\n{inner}".join(items) + f"\n{indent}{end}" if items else begin + end
+
+
+def number_text(x: float) -> str:
+    """A double in its shortest form: digits up to 10^21, else with an exponent."""
+    if x in (float("inf"), float("-inf")):
+        return "null"
+    if x == int(x) and abs(x) < 1e21:
+        return str(int(x))
+    digits, _, exponent = repr(x).partition("e")
+    if not exponent:
+        return digits
+    if -7 < int(exponent) < 0:
+        return f"{x:.{len(digits.replace('.', '').replace('-', '')) - 1 - int(exponent)}f}"
+    return f"{digits.removesuffix('.0')}e{'+' if int(exponent) > 0 else '-'}{abs(int(exponent))}"
+
+
+def rendered(text: Column) -> Column:
+    """What is shown for a JSON value: text as it is, objects and lists by lines, other values in short; null and what is no JSON are empty."""
+
+    @F.arrow_udf("string")
+    def run(column: pa.Array) -> pa.Array:
+        out = []
+        for x in column.to_pylist():
+            try:
+                value = None if x is None else json.loads(x)
+            except (ValueError, RecursionError):
+                value = None
+            out.append("" if value is None else value if isinstance(value, str) else pretty(value))
+        return pa.array(out, pa.string())
+
+    return run(text)

@@ -15,7 +15,8 @@ URLS = "(VALUES (1, 'https://a'), (2, 'chrome://x'), (3, 'chrome-extension://x')
 SETTINGS = """(VALUES (1, NULL), (2, ''), (3, '{bad'), (4, 'null'), (5, '5'), (6, '"x"'), (7, '{"language":"english"}'), (8, '{"language":"english/x"}'), (9, '{"language":"spanish/castilian","includeMicrophone":"false"}'),
  (10, '{"language":""}'), (11, '{"language":null}'), (12, '{"language":5}'), (13, '{"language":"x","includeMicrophone":0}'), (14, '{"language":"x","includeMicrophone":{}}'), (15, '{"mode":null}'),
  (16, '{"mode":"translate","language":"english"}'), (17, '{}'), (18, '[]'), (19, '{"mode":"translate","transcribeLanguage":"korean","includeMicrophone":true,"summarizationLanguage":"japanese","whisperModel":"small"}'),
- (20, '{"language":" english /y","includeMicrophone":true}'), (21, '{"language":0}'), (22, '{"language":"x","includeMicrophone":[]}'), (23, '{"language":"x","includeMicrophone":""}'), (24, '{"language":"x","includeMicrophone":null}')) AS t(id, json)"""
+ (20, '{"language":" english /y","includeMicrophone":true}'), (21, '{"language":0}'), (22, '{"language":"x","includeMicrophone":[]}'), (23, '{"language":"x","includeMicrophone":""}'), (24, '{"language":"x","includeMicrophone":null}'),
+ (25, '{"language":false}'), (26, '{"language":" english"}'), (27, '{"language":["x"]}'), (28, '{"language":["a","/"]}'), (29, '{"language":{}}'), (30, '{"language":"a/english"}')) AS t(id, json)"""
 RESOLVE = "(VALUES (1, 'transcribe', NULL), (2, 'transcribe', ''), (3, 'transcribe', 'korean'), (4, 'translate', NULL), (5, 'translate', 'korean'), (6, NULL, NULL)) AS t(id, mode, chosen)"
 NAMES = "(VALUES (1, 'english'), (2, 'spanish/castilian'), (3, 'haitian creole/haitian'), (4, ''), (5, ' Greek / x'), (6, NULL)) AS t(id, name)"
 STATUS = "(VALUES (1, 'loading'), (2, 'ready'), (3, 'error'), (4, NULL), (5, 'done'), (6, 'unknown')) AS t(id, status)"
@@ -223,8 +224,8 @@ _MERGE = _TYPED + " SELECT id, " + ", ".join(f"{_stored(n)} AS {n}" for n in set
 _MIGRATE = (
     _TYPED
     + """, sorted AS (
-  SELECT *, has_language AND NOT has_mode AS old, has_language AND NOT has_mode AND language_type <> 'VARCHAR' AND language_truthy AS unreadable,
-    language_type = 'VARCHAR' AND regexp_replace(split_part(language, '/', 1), '^\\s+|\\s+$', '', 'g') = 'english' AS english FROM keyed
+  SELECT *, has_language AND NOT has_mode AS old, has_language AND NOT has_mode AND (language_type NOT IN ('VARCHAR', 'NULL', 'ARRAY') OR language_type = 'ARRAY' AND list_contains(json_extract_string(o, '$.language[*]'), '/')) AS unreadable,
+    language_type = 'VARCHAR' AND CASE WHEN contains(language, '/') THEN trim(split_part(language, '/', 1)) ELSE language END = 'english' AS english FROM keyed
 ), migrated AS (SELECT id, """
     + ", ".join(
         f"CASE WHEN kind IS NULL OR kind <> 'object' OR unreadable THEN {'NULL' if settings.DEFAULTS[n] is None else 'false' if settings.DEFAULTS[n] is False else repr(settings.DEFAULTS[n])} WHEN old THEN {old} ELSE {_stored(n)} END AS {n}"
@@ -233,7 +234,7 @@ _MIGRATE = (
             "transcribeLanguage": "CASE WHEN english THEN language END",
             "translateTargetLanguage": "'english'",
             "includeMicrophone": "microphone",
-            "summarizationLanguage": "CASE WHEN language_type = 'VARCHAR' THEN language ELSE 'english' END",
+            "summarizationLanguage": "CASE WHEN language_type IN ('VARCHAR', 'ARRAY') THEN language ELSE 'english' END",
             "whisperModel": "'auto'",
         }.items()
     )

@@ -152,6 +152,11 @@ def msg_payload_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _messages(spark, sf_dir).select("seq", web.payload_field(F.col("payload"), "$.k", "0").alias("k"), web.payload_field(F.col("payload"), "$.missing", "none").alias("missing"))
 
 
+def msg_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads as they are shown."""
+    return _messages(spark, sf_dir).select("seq", web.rendered(F.col("payload")).alias("shown"))
+
+
 def state_recording_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each stream was recording last: its payload's number is even."""
     return state.last_value(_messages(spark, sf_dir), _number() % 2 == 0, F.col("type") == RECORDING, F.lit(False)).withColumnRenamed("value", "recording")
@@ -263,8 +268,8 @@ def toast_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toast_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids that count up in each stream."""
-    return _log(spark, sf_dir).where("action = 'ADD'").selectExpr("stream_id", "seq", "CAST(row_number() OVER (PARTITION BY stream_id ORDER BY seq) AS STRING) AS id")
+    """Ids that count up in each stream, and begin again where numbers aren't safe any more."""
+    return _log(spark, sf_dir).where("action = 'ADD'").selectExpr("stream_id", "seq", f"CAST(row_number() OVER (PARTITION BY stream_id ORDER BY seq) % {web.SAFE} AS STRING) AS id")
 
 
 def _latest_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -472,7 +477,7 @@ def stream_audio_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [src_audio_chunks, src_messages, src_pages, src_first_page, url_capturable_antijoin, doc_nodes, doc_article, doc_scored, doc_markdown, doc_titled, doc_prompt, doc_translate_prompt, doc_status, doc_head40, doc_summaries, doc_summarized, doc_capabilities, locale_default, doc_language_names, msg_route, msg_payload_field, state_recording_last, state_model_last, state_snapshot_plus_updates, chunk_sessions, pair_pending_ready, fsm_recording, error_visible_ttl, error_visible_ttl_hour, settings_as_of, shed_latest_window, sliding_30s_10s, trailing_30s, hot_sessions, hot_pairs, hot_recorder, hot_settings, hot_trailing_30s, hot_audio_tail, toast_top1, toast_ids, toast_update, toast_remove, toast_schedule_once, toast_fold, chunk_nonempty, audio_tail, audio_head, audio_concat, audio_mix, audio_channel0, audio_downmix, chunks_union_all, audio_transcribed, audio_decoded, audio_resampled, transcript_append, transcript_concat, stream_route, stream_handshake, pair_until_closed, stream_handshake_closed, stream_recorder, recorded_windows, stream_recorded_windows, stream_transcripts, stream_shed_windows, stream_state_last, stream_settings_as_of, stream_error_ttl, stream_toasts, stream_sliding, stream_audio_tail]
+    own = [src_audio_chunks, src_messages, src_pages, src_first_page, url_capturable_antijoin, doc_nodes, doc_article, doc_scored, doc_markdown, doc_titled, doc_prompt, doc_translate_prompt, doc_status, doc_head40, doc_summaries, doc_summarized, doc_capabilities, locale_default, doc_language_names, msg_route, msg_payload_field, msg_rendered, state_recording_last, state_model_last, state_snapshot_plus_updates, chunk_sessions, pair_pending_ready, fsm_recording, error_visible_ttl, error_visible_ttl_hour, settings_as_of, shed_latest_window, sliding_30s_10s, trailing_30s, hot_sessions, hot_pairs, hot_recorder, hot_settings, hot_trailing_30s, hot_audio_tail, toast_top1, toast_ids, toast_update, toast_remove, toast_schedule_once, toast_fold, chunk_nonempty, audio_tail, audio_head, audio_concat, audio_mix, audio_channel0, audio_downmix, chunks_union_all, audio_transcribed, audio_decoded, audio_resampled, transcript_append, transcript_concat, stream_route, stream_handshake, pair_until_closed, stream_handshake_closed, stream_recorder, recorded_windows, stream_recorded_windows, stream_transcripts, stream_shed_windows, stream_state_last, stream_settings_as_of, stream_error_ttl, stream_toasts, stream_sliding, stream_audio_tail]
     return {f.__name__: f for f in own}
 
 
@@ -596,6 +601,7 @@ def oracle_sql() -> dict[str, str]:
         + ") AS l(code, name) ON d.lang = l.code GROUP BY 1, 2",
         "msg_route": _M + f" SELECT seq, type, {_ROUTE} AS route FROM m",
         "msg_payload_field": _M + " SELECT seq, coalesce(json_extract_string(payload, '$.k'), '0') AS k, coalesce(json_extract_string(payload, '$.missing'), 'none') AS missing FROM m",
+        "msg_rendered": _M + """ SELECT seq, '{' || chr(10) || '  "k": ' || k || chr(10) || '}' AS shown FROM m""",
         "state_recording_last": _M + " SELECT stream_id, arg_max(coalesce(k % 2 = 0, false), row(ts, seq)) AS recording FROM m WHERE type = 'recording-state' GROUP BY stream_id",
         "state_model_last": _M + " SELECT stream_id, arg_max(CASE k % 3 WHEN 0 THEN 'loading' WHEN 1 THEN 'ready' ELSE 'unknown' END, row(ts, seq)) AS status FROM m WHERE type = 'model-status' GROUP BY stream_id",
         "state_snapshot_plus_updates": _M + " SELECT stream_id, arg_max(k, row(ts, seq)) AS value FROM m WHERE type = 'recording-state' GROUP BY stream_id",

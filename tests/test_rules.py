@@ -260,3 +260,46 @@ def test_capabilities_and_warm_up(spark):
     row = transcribed(windows, [lambda: StubTranscriber("webgpu", starts_with="WebGPU")]).first()
     assert (row["outputs"], row["backend"], row["status"]) == (None, None, "error: WebGPU")
     assert transcribed(windows, []).first()["status"] == "no_provider"
+
+
+def test_migration_by_literal_rows(spark):
+    """mode, language, microphone, language of summaries; by reading the rules, not from either engine."""
+    default = ("transcribe", None, False, "english")
+    cases = {
+        '{"language":0}': default,  # no text has no "includes", and the error gives the initial value
+        '{"language":false}': default,
+        '{"language":5}': default,
+        '{"language":{}}': default,
+        '{"language":["a","/"]}': default,
+        '{"language":["x"]}': ("translate", None, False, '["x"]'),
+        '{"language":null}': ("translate", None, False, "english"),
+        '{"language":""}': ("translate", None, False, ""),
+        '{"language":" english"}': ("translate", None, False, " english"),  # only what stands before a slash is trimmed
+        '{"language":" english /x"}': ("transcribe", " english /x", False, " english /x"),
+        '{"language":"english"}': ("transcribe", "english", False, "english"),
+        '{"language":"english/x","includeMicrophone":"false"}': ("transcribe", "english/x", True, "english/x"),
+        '{"language":"a/english"}': ("translate", None, False, "a/english"),
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "json string").select("json", records.migrated(F.col("json")).alias("r")).select("json", "r.*").collect()
+    assert {r["json"]: (r["mode"], r["transcribeLanguage"], r["includeMicrophone"], r["summarizationLanguage"]) for r in rows} == cases
+
+
+def test_values_as_they_are_shown(spark):
+    cases = {
+        '{"b":[1,2.0,{"c":null}],"a":"x\\u00e9\\n"}': '{\n  "b": [\n    1,\n    2,\n    {\n      "c": null\n    }\n  ],\n  "a": "xé\\n"\n}',
+        '{"b":1,"10":2,"9":3,"01":4}': '{\n  "9": 3,\n  "10": 2,\n  "b": 1,\n  "01": 4\n}',
+        "[]": "[]",
+        '{"a":{}}': '{\n  "a": {}\n}',
+        '"text"': "text",
+        "1.50": "1.5",
+        "1e21": "1e+21",
+        "1e-7": "1e-7",
+        "0.000001": "0.000001",
+        "1.5e-5": "0.000015",
+        "true": "true",
+        "null": "",
+        "{bad": "",
+        None: "",
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "json string").select("json", web.rendered(F.col("json")).alias("shown")).collect()
+    assert {r["json"]: r["shown"] for r in rows} == cases
