@@ -1,4 +1,4 @@
-"""Queries over rule tables: literal rows, the same in Spark and DuckDB, through the library's functions."""
+"""Queries of the rules: literal rows and whole given tables, the same in Spark and DuckDB, through the library's functions."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scribewell.functions import languages, settings, web
 from scribewell.operators import transcripts
+from scribewell.sources import tables
 
 # Rows of the rule tables, as SQL that both engines read.
 URLS = "(VALUES (1, 'https://a'), (2, 'chrome://x'), (3, 'chrome-extension://x'), (4, 'about:blank'), (5, 'edge://x'), (6, 'brave://x'), (7, NULL), (8, ''), (9, 'CHROME://x'), (10, 'moz-extension://x')) AS t(id, url)"
@@ -33,28 +34,52 @@ STARTS = "(VALUES (1, 'https://a', true, false, 'h'), (2, 'chrome://a', true, fa
 EXTRAS = """(VALUES (1, '{"mode":"translate","extra":5}'), (2, '{"a":"x","b":null,"whisperModel":"small"}'), (3, '{"mode":"transcribe"}'), (4, '{bad'), (5, '{"language":"english","extra":1}'), (6, '[]'), (7, NULL), (8, '{"deep":{"k":[1,2]},"flag":true}')) AS t(id, json)"""
 
 
-def rows(spark: SparkSession, values: str) -> DataFrame:
-    return spark.sql(f"SELECT * FROM {values.replace('array[', 'array(').replace('])', '))') if 'array[' in values else values}")
+#: Rows of the given tables that follow the literal ones, in expressions that both engines read.
+FROM_TABLES = {
+    URLS: ("pages", ["page_id + 1000", "url"]),
+    SETTINGS: ("documents", ["doc_id + 1000", """'{"language":"' || lang || '","includeMicrophone":' || (n_chars % 2) || ',"source":"' || source || '"}'"""]),
+    RESOLVE: ("documents", ["doc_id + 1000", "CASE WHEN n_chars % 2 = 0 THEN 'translate' ELSE 'transcribe' END", "lang"]),
+    NAMES: ("documents", ["doc_id + 1000", "source || '/' || lang"]),
+    STATUS: ("events", ["event_id + 1000", "event_type"]),
+    ERRORS: ("events", ["event_id + 1000", "CASE WHEN value < 50 THEN 'webgpu' ELSE 'wasm' END", "event_type || CASE WHEN event_type = 'click' THEN ' Conv' WHEN event_type = 'view' THEN ' JSEP' ELSE '' END"]),
+    PAYLOADS: ("events", ["event_id + 1000", "props"]),
+    OUTPUTS: ("conversations", ["conv_id * 1000 + turn + 1000", "split(text, ' ')"]),
+    TARGETS: ("events", ["event_id + 1000", "CASE WHEN event_type = 'view' THEN 'offscreen' END", "event_type"]),
+    PIECES: ("conversations", ["conv_id + 1000", "turn", "text"]),
+    CONTEXTS: ("events", ["user_id + 1000", "CASE WHEN event_type = 'click' THEN 'OFFSCREEN_DOCUMENT' ELSE 'POPUP' END"]),
+    MODELS: ("documents", ["doc_id + 1000", "CASE n_chars % 3 WHEN 0 THEN 'auto' WHEN 1 THEN 'small' ELSE 'large' END", "n_chars % 2 = 0"]),
+    STARTS: ("pages", ["page_id + 1000", "url", "page_id % 2 = 0", "page_id % 3 = 0", "url"]),
+    EXTRAS: ("events", ["event_id + 1000", "props"]),
+}
+
+
+def rows(spark: SparkSession, values: str, sf_dir: str | None = None) -> DataFrame:
+    """The literal rows; with ``sf_dir`` those of the given table after them."""
+    literal = spark.sql(f"SELECT * FROM {values.replace('array[', 'array(').replace('])', '))') if 'array[' in values else values}")
+    if sf_dir is None or values not in FROM_TABLES:
+        return literal
+    name, columns = FROM_TABLES[values]
+    return literal.unionByName(tables.table(spark, sf_dir, name).selectExpr(*[f"{e} AS {c}" for e, c in zip(columns, literal.columns, strict=True)]))
 
 
 def url_capturable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, URLS).select("id", web.capturable(F.col("url")).alias("capturable"))
+    return rows(spark, URLS, sf_dir).select("id", web.capturable(F.col("url")).alias("capturable"))
 
 
 def url_capturable_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, URLS).select("id", web.capturable(F.col("url"), web.BLOCKED_EXTENDED).alias("capturable"))
+    return rows(spark, URLS, sf_dir).select("id", web.capturable(F.col("url"), web.BLOCKED_EXTENDED).alias("capturable"))
 
 
 def settings_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, SETTINGS).select("id", settings.json_type(F.col("json")).alias("json_type"))
+    return rows(spark, SETTINGS, sf_dir).select("id", settings.json_type(F.col("json")).alias("json_type"))
 
 
 def settings_is_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, SETTINGS).select("id", settings.is_legacy(F.col("json")).alias("legacy"))
+    return rows(spark, SETTINGS, sf_dir).select("id", settings.is_legacy(F.col("json")).alias("legacy"))
 
 
 def settings_truthy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, SETTINGS).select("id", settings.truthy(F.col("json"), "includeMicrophone").alias("truthy"))
+    return rows(spark, SETTINGS, sf_dir).select("id", settings.truthy(F.col("json"), "includeMicrophone").alias("truthy"))
 
 
 def _flat(record: str) -> list:
@@ -62,48 +87,48 @@ def _flat(record: str) -> list:
 
 
 def settings_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, SETTINGS).select("id", settings.merged(F.col("json")).alias("r")).select("id", *_flat("r"))
+    return rows(spark, SETTINGS, sf_dir).select("id", settings.merged(F.col("json")).alias("r")).select("id", *_flat("r"))
 
 
 def settings_migrate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, SETTINGS).select("id", settings.migrated(F.col("json")).alias("r")).select("id", *_flat("r"))
+    return rows(spark, SETTINGS, sf_dir).select("id", settings.migrated(F.col("json")).alias("r")).select("id", *_flat("r"))
 
 
 def settings_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = settings.updated(settings.migrated(F.col("json")), whisperModel="small", includeMicrophone=True)
-    return rows(spark, SETTINGS).select("id", record.alias("r")).select("id", *_flat("r"))
+    return rows(spark, SETTINGS, sf_dir).select("id", record.alias("r")).select("id", *_flat("r"))
 
 
 def settings_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is stored is read back as the same record."""
-    once = rows(spark, SETTINGS).select("id", settings.stored(settings.migrated(F.col("json"))).alias("json"))
+    once = rows(spark, SETTINGS, sf_dir).select("id", settings.stored(settings.migrated(F.col("json"))).alias("json"))
     return once.select("id", settings.migrated(F.col("json")).alias("r")).select("id", *_flat("r"))
 
 
 def safe_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A field as text whatever its type; the empty text if it is missing."""
-    return rows(spark, PAYLOADS).select("id", web.payload_field(F.col("payload"), "$.error", "").alias("shown"))
+    return rows(spark, PAYLOADS, sf_dir).select("id", web.payload_field(F.col("payload"), "$.error", "").alias("shown"))
 
 
 def msg_error_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, PAYLOADS).select("id", web.text_or(F.col("payload"), "error", "unknown error").alias("shown"))
+    return rows(spark, PAYLOADS, sf_dir).select("id", web.text_or(F.col("payload"), "error", "unknown error").alias("shown"))
 
 
 def falsy_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, STATUS).unionByName(rows(spark, "(VALUES (7, '')) AS t(id, status)")).select("id", web.falsy_default(F.col("status"), "none").alias("status"))
+    return rows(spark, STATUS, sf_dir).unionByName(rows(spark, "(VALUES (7, '')) AS t(id, status)")).select("id", web.falsy_default(F.col("status"), "none").alias("status"))
 
 
 def status_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, STATUS).select("id", web.known_status(F.col("status")).alias("status"))
+    return rows(spark, STATUS, sf_dir).select("id", web.known_status(F.col("status")).alias("status"))
 
 
 def error_fallback_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, m = F.col("device"), F.col("message")
-    return rows(spark, ERRORS).select("id", web.retries_elsewhere(d, m, web.RUN_WORDS).alias("run"), web.retries_elsewhere(d, m, web.START_WORDS).alias("start"))
+    return rows(spark, ERRORS, sf_dir).select("id", web.retries_elsewhere(d, m, web.RUN_WORDS).alias("run"), web.retries_elsewhere(d, m, web.START_WORDS).alias("start"))
 
 
 def resolve_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, RESOLVE).select("id", languages.task(F.col("mode")).alias("task"), languages.language(F.col("chosen")).alias("language"))
+    return rows(spark, RESOLVE, sf_dir).select("id", languages.task(F.col("mode")).alias("task"), languages.language(F.col("chosen")).alias("language"))
 
 
 def lang_display(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +136,7 @@ def lang_display(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lang_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, NAMES).select("id", languages.primary(F.col("name")).alias("primary_name"))
+    return rows(spark, NAMES, sf_dir).select("id", languages.primary(F.col("name")).alias("primary_name"))
 
 
 def dim_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,63 +148,63 @@ def dim_models_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_label_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return languages.with_labels(rows(spark, MODELS), languages.dim_models(spark)).select("id", "model", "label")
+    return languages.with_labels(rows(spark, MODELS, sf_dir), languages.dim_models(spark)).select("id", "model", "label")
 
 
 def model_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, MODELS).select("id", languages.recommended_model(F.col("model"), F.col("gpu")).alias("model"))
+    return rows(spark, MODELS, sf_dir).select("id", languages.recommended_model(F.col("model"), F.col("gpu")).alias("model"))
 
 
 def msg_target_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, TARGETS).where(F.col("target") == web.TARGET).select("id", "type")
+    return rows(spark, TARGETS, sf_dir).where(F.col("target") == web.TARGET).select("id", "type")
 
 
 def msg_route_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, TARGETS).select("id", web.route(F.col("type"), F.col("target")).alias("route"))
+    return rows(spark, TARGETS, sf_dir).select("id", web.route(F.col("type"), F.col("target")).alias("route"))
 
 
 def transcript_emit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, OUTPUTS).where(F.col("outputs").isNotNull()).select("id", transcripts.emitted(F.col("outputs")).alias("transcript"))
+    return rows(spark, OUTPUTS, sf_dir).where(F.col("outputs").isNotNull()).select("id", transcripts.emitted(F.col("outputs")).alias("transcript"))
 
 
 def transcript_append_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transcripts.appended(rows(spark, PIECES))
+    return transcripts.appended(rows(spark, PIECES, sf_dir))
 
 
 def transcript_concat_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transcripts.joined(rows(spark, PIECES))
+    return transcripts.joined(rows(spark, PIECES, sf_dir))
 
 
 def ctx_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows that have an offscreen document already."""
-    contexts = rows(spark, CONTEXTS)
+    contexts = rows(spark, CONTEXTS, sf_dir)
     return contexts.select("window_id").distinct().join(contexts.where("context_type = 'OFFSCREEN_DOCUMENT'"), "window_id", "left_semi")
 
 
 def settings_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys that the record doesn't have are kept beside it."""
-    return rows(spark, EXTRAS).select("id", settings.unknown(F.col("json")).alias("rest"))
+    return rows(spark, EXTRAS, sf_dir).select("id", settings.unknown(F.col("json")).alias("rest"))
 
 
 def settings_stored_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is written back has the record's fields and the unknown keys; both are read from it again."""
     text = F.col("json")
-    whole = rows(spark, EXTRAS).select("id", settings.stored_with(settings.migrated(text), settings.unknown(text)).alias("json"))
+    whole = rows(spark, EXTRAS, sf_dir).select("id", settings.stored_with(settings.migrated(text), settings.unknown(text)).alias("json"))
     return whole.select("id", settings.unknown(text).alias("rest"), settings.migrated(text)["mode"].alias("mode"))
 
 
 def settings_put(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table of settings after one key is overwritten twice, one deleted and one added."""
-    table = rows(spark, SETTINGS).where("json IS NOT NULL").select(F.col("id").cast("string").alias("key"), "json")
+    table = rows(spark, SETTINGS, sf_dir).where("json IS NOT NULL").select(F.col("id").cast("string").alias("key"), "json")
     return settings.put(table, rows(spark, "(VALUES (1, '9', '{}'), (2, '9', '{\"mode\":\"translate\"}'), (3, '10', NULL), (4, 'new', '[]'), (5, 'none', NULL)) AS t(seq, key, json)"))
 
 
 def start_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, STARTS).select("id", web.start_outcome(F.col("url"), F.col("has_context"), F.col("context_made"), F.col("handle")).alias("outcome"))
+    return rows(spark, STARTS, sf_dir).select("id", web.start_outcome(F.col("url"), F.col("has_context"), F.col("context_made"), F.col("handle")).alias("outcome"))
 
 
 def model_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, MODELS).join(F.broadcast(languages.dim_model_ids(spark)), "model", "left").select("id", "model", "model_id")
+    return rows(spark, MODELS, sf_dir).join(F.broadcast(languages.dim_model_ids(spark)), "model", "left").select("id", "model", "model_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -249,6 +274,15 @@ _REST = f"""WITH typed AS (SELECT id, json, CASE WHEN json IS NOT NULL AND json_
 
 
 def oracle_sql() -> dict[str, str]:
+    out = _literal_sql()
+    for values, (name, columns) in FROM_TABLES.items():
+        alias = values[values.rindex(" AS t(") :]
+        whole = f"(SELECT * FROM {values} UNION ALL SELECT {', '.join(columns)} FROM {name}){alias}"
+        out = {k: sql.replace(values, whole) for k, sql in out.items()}
+    return out
+
+
+def _literal_sql() -> dict[str, str]:
     return {
         "settings_unknown": _REST + " SELECT id, rest FROM rest",
         "settings_stored_whole": _REST + " SELECT id, rest, coalesce(o->>'$.mode', 'transcribe') AS mode FROM rest",
