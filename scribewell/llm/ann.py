@@ -129,7 +129,7 @@ def search(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vec
     packed = index(base, n, dims, hashes)
     asked = base.where(is_query)
     visits = written(visited(asked, n, k, dims, hashes, goal, sample_of(base, n, dims)), "visits")
-    return ranked(answers(packed, asks(asked, visits, places(packed)), dims, k).distinct(), k)
+    return ranked(answers(packed, asks(asked, visits, places(packed)), asked.count(), dims, k).distinct(), k)
 
 
 def sample_of(base: DataFrame, n: int, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -230,7 +230,7 @@ def asks(asked: DataFrame, visits: DataFrame, where: DataFrame) -> DataFrame:
     return each.select("part", "query_id", "v", F.transform(F.filter("stops", lambda x: x["part"] == F.col("part")), lambda x: x["place"]).alias("visited"))
 
 
-def answers(packed: DataFrame, asked: DataFrame, dims: int, k: int) -> DataFrame:
+def answers(packed: DataFrame, asked: DataFrame, n_queries: int, dims: int, k: int) -> DataFrame:
     """A written table (query_id, vec_id, score): the ``k`` nearest to each query of each part that it asks."""
 
     def answer(index: dict, batch: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -260,4 +260,4 @@ def answers(packed: DataFrame, asked: DataFrame, dims: int, k: int) -> DataFrame
         cuts = np.concatenate([[0], np.nonzero(keys[1:] != keys[:-1])[0] + 1, [len(keys)]])
         return {"ids": ids, "x": x, "units": unit(x), "runs": {int(keys[a]): (a, b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)}}
 
-    return meet(packed, asked, dims, load, answer, "double")
+    return meet(packed, asked, n_queries, dims, load, answer, "double")

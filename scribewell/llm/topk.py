@@ -19,7 +19,7 @@ from .common import map_batches, written
 from .vectors import blocks, clean, matrix, meet, ranked, top
 
 #: Documents in a block, and in a part of the index.
-BLOCK, GROUP = 64, 4096
+BLOCK, GROUP = 64, 8192
 #: Parts whose maxima stand in one row, and queries that do.
 SUMMARIES, ASK_BLOCK = 2048, 1024
 #: The floor of a query that has none yet: no long is smaller.
@@ -112,7 +112,7 @@ def homes(documents: DataFrame) -> DataFrame:
     return map_batches(documents.select("part", "ids"), make, "id long, part long")
 
 
-def promising(asked: DataFrame, documents: DataFrame, dims: int, scale: float) -> DataFrame:
+def promising(asked: DataFrame, n_asked: int, documents: DataFrame, dims: int, scale: float) -> DataFrame:
     """(part, query_id, v, floor): for each query (query_id, home, v, floor) the parts but its home whose summed term maxima reach its floor.
 
     Queries in rows of ASK_BLOCK meet the maxima of SUMMARIES parts at a time.
@@ -130,7 +130,7 @@ def promising(asked: DataFrame, documents: DataFrame, dims: int, scale: float) -
     chunks = max(1, -(-summaries.count() // SUMMARIES))
     chunk = F.pmod(F.xxhash64("part"), F.lit(chunks)).cast("int")
     held = summaries.groupBy(chunk.alias("chunk")).agg(F.collect_list("part").alias("parts"), F.flatten(F.collect_list("high")).alias("high"), F.flatten(F.collect_list("low")).alias("low"))
-    some = max(1, -(-asked.count() // ASK_BLOCK))
+    some = max(1, -(-n_asked // ASK_BLOCK))
     block = F.pmod(F.xxhash64("query_id"), F.lit(some)).cast("int")
     rows = asked.groupBy(block.alias("block")).agg(F.collect_list("query_id").alias("ids"), F.collect_list("home").alias("homes"), F.collect_list("floor").alias("floors"), F.collect_list("v").alias("vs"))
     both = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).join(held, "chunk")
@@ -178,8 +178,10 @@ def search(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vec
     def answer(index: dict, batch: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return search_blocks(scaled(batch["v"], scale), batch["query_id"], index["x"], index["ids"], k, floors=np.array(batch["floor"], np.int64))[:3]
 
-    near = meet(documents, asked.select(F.col("home").alias("part"), "query_id", "v", F.lit(NO_FLOOR).alias("floor")), dims, load, answer, "long")
+    # a part is home to no more queries than it has vectors
+    near = meet(documents, asked.select(F.col("home").alias("part"), "query_id", "v", F.lit(NO_FLOOR).alias("floor")), GROUP, dims, load, answer, "long")
     floors = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
     asked = written(asked.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(NO_FLOOR))), "queries")
-    far = meet(documents, promising(asked, documents, dims, scale), dims, load, answer, "long")
+    n_asked = asked.count()
+    far = meet(documents, promising(asked, n_asked, documents, dims, scale), n_asked, dims, load, answer, "long")
     return ranked(near.unionByName(far), k)

@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checked, small_batches, written
+from .common import small_batches, written
 
 #: Queries that one copy of a part answers.
-ASK_ROWS = 4096
+ASK_ROWS = 8192
 #: Tasks of the step in which queries meet parts, at most.
 MOST_TASKS = 10_000
 
@@ -54,22 +54,19 @@ def top(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def meet(parts: DataFrame, asked: DataFrame, dims: int, load: Callable[[dict], dict], answer: Callable[[dict, dict], tuple[np.ndarray, np.ndarray, np.ndarray]], score: str) -> DataFrame:
+def meet(parts: DataFrame, asked: DataFrame, n_queries: int, dims: int, load: Callable[[dict], dict], answer: Callable[[dict, dict], tuple[np.ndarray, np.ndarray, np.ndarray]], score: str) -> DataFrame:
     """A written table of the (query_id, vec_id, score) arrays that ``answer`` gives for what ``load`` makes of a part and for a batch of the queries that ask it.
 
-    ``parts`` has a row for each part, ``asked`` one for each query of a part: part, query_id, v and a further column. Queries come to the
-    parts, which are shuffled once. A part that over ASK_ROWS queries ask is repeated for each so many of them, so that no task has all of them; a
-    task holds one part at a time, and its queries pass by in batches.
+    ``parts`` is a written table with a row for each part, ``asked`` has one for each query of a part: part, query_id, v and a further column. Queries come to the
+    parts. No part has over ``n_queries`` of them; parts are repeated for each ASK_ROWS of these, so that a
+    task has no more, whatever queries like; it holds one part at a time, and its queries pass by in batches.
     """
     spark = parts.sparkSession
     further = next(c for c in asked.columns if c not in ("part", "query_id", "v"))
     blobs = [c for c in parts.columns if c != "part"]
-    asked = written(asked, "asks")
-    counts = asked.groupBy("part").agg(F.count("*").alias("n")).withColumn("ways", F.ceil(F.col("n") / ASK_ROWS).cast("int"))
-    wanted = written(counts.select("part", "ways"), "ways")
-    dealt = parts.join(wanted, "part").withColumn("way", F.explode(F.sequence(F.lit(0), F.col("ways") - 1))).drop("ways")
-    busy = checked(written(wanted.where("ways > 1"), "busy"))
-    asking = asked.join(busy, "part", "left").withColumn("way", F.coalesce(F.pmod(F.xxhash64("query_id"), F.col("ways")), F.lit(0)).cast("int")).drop("ways")
+    ways = max(1, -(-n_queries // ASK_ROWS))
+    dealt = parts.withColumn("way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
+    asking = asked.withColumn("way", F.pmod(F.xxhash64("query_id"), F.lit(ways)).cast("int"))
     kinds = {f.name: f.dataType for f in (*parts.schema.fields, *asked.schema.fields)}
     columns = [*blobs, "query_id", "v", further]
     side = lambda df, first: df.select("part", "way", F.lit(first).alias("kind"), *[F.col(c) if c in df.columns else F.lit(None).cast(kinds[c]).alias(c) for c in columns])
@@ -97,8 +94,8 @@ def meet(parts: DataFrame, asked: DataFrame, dims: int, load: Callable[[dict], d
 
     small_batches(spark)
     # as many tasks as parts: a task's work is not in proportion to its bytes
-    tasks = min(MOST_TASKS, wanted.agg(F.coalesce(F.sum("ways"), F.lit(1))).first()[0])
-    ordered = both.repartition(int(tasks), "part", "way").sortWithinPartitions("part", "way", "kind")
+    tasks = max(1, min(MOST_TASKS, ways * parts.count()))
+    ordered = both.repartition(tasks, "part", "way").sortWithinPartitions("part", "way", "kind")
     return written(ordered.mapInArrow(run, f"query_id long, vec_id long, score {score}"), "scores")
 
 
