@@ -7,14 +7,15 @@ summed up within the source, and rows are only put in order within one key range
 
 from __future__ import annotations
 
-import math
 import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, written
+from scribewell.operators.segments import running_sum, segmented
+
+from .common import checked, map_batches, written
 
 #: Rows in a key range, about: a window sorts one range at a time.
 RANGE_ROWS = 4096
@@ -24,21 +25,27 @@ WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def targets(sizes: list[int], weights: list[float], total: float, most: float = MOST) -> list[float]:
-    """Budgets by weight that add up to ``total``; none is over ``most`` times its size, the excess goes to the others by weight."""
-    out, open_, left = [0.0] * len(sizes), set(range(len(sizes))), float(total)
+def budgets(sources: DataFrame, weights: tuple, share: float, most: float) -> DataFrame:
+    """``sources`` (source, s, n; a written table) with target: budgets by weight that add up to ``share`` of all sizes, none over ``most`` times its size, the excess going to the others by weight.
+
+    Sources in code point order, null last, take ``weights`` in turn; they are numbered by ranges, so no task has them all. Each round
+    finds which are full at what a weight of one is worth so far, and what is left for the others; the driver gets sums only.
+    """
+    numbered = running_sum(segmented(sources.select("*", F.lit(0).alias("stream_id"), F.isnull("source").alias("last"), F.lit(1).alias("one")), "last", "source"), "one", "number", "last", "source")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("number") - 1) % len(weights) + 1).cast("int"))
+    weighed = written(numbered.select("source", "s", "n", weight.cast("double").alias("w")), "weighed")
+    every = weighed.agg(F.coalesce(F.sum("s"), F.lit(0)).alias("s"), F.coalesce(F.sum("w"), F.lit(0.0)).alias("w")).first()
+    total, open_, n_full = share * every["s"], every["w"], -1
+    per, limit = total / open_ if open_ else 0.0, F.col("s") * most
     while open_:
-        per = left / sum(weights[i] for i in open_)
-        full = [i for i in open_ if per * weights[i] > most * sizes[i]]
-        if not full:
-            for i in open_:
-                out[i] = per * weights[i]
+        full = F.lit(per) * F.col("w") > limit
+        now = weighed.agg(F.count(F.when(full, 1)).alias("n"), F.coalesce(F.sum(F.when(full, limit)), F.lit(0.0)).alias("given"), F.coalesce(F.sum(F.when(~full, F.col("w"))), F.lit(0.0)).alias("open")).first()
+        if now["n"] == n_full:
             break
-        for i in full:
-            out[i] = most * sizes[i]
-            left -= out[i]
-            open_.remove(i)
-    return out
+        n_full, open_ = now["n"], now["open"]
+        if open_:
+            per = (total - now["given"]) / open_
+    return weighed.select("source", "s", "n", F.when((F.lit(per) * F.col("w") > limit) | F.lit(not open_), limit).otherwise(F.lit(per) * F.col("w")).alias("target"))
 
 
 def size_of(text: str) -> Column:
@@ -64,15 +71,13 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     name = F.col(source).cast("string")
     rows = df.select(F.col(key).alias("key"), name.alias("source"), size_of(text).alias("size")).withColumn("digest", digest_of(F.col("key"), F.col("size"), seed))
     rows = written(rows, "sizes")
-    # one row for each source
-    totals = sorted(rows.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-    budget = targets([r["s"] for r in totals], [weights[i % len(weights)] for i in range(len(totals))], share * sum(r["s"] for r in totals), most)
-    spark = df.sparkSession
-    plan = spark.createDataFrame([(r["source"], r["s"], b, max(0, math.ceil(math.log2(max(1, r["n"] / RANGE_ROWS))))) for r, b in zip(totals, budget, strict=True)], "source string, source_size long, target double, bits int")
+    sources = written(rows.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")), "sources")
+    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("n") / RANGE_ROWS)))).cast("int")
+    plan = written(budgets(sources, weights, share, most).select(F.col("source").alias("p_source"), F.col("s").alias("source_size"), "target", bits.alias("bits")), "budgets")
     # key ranges: the first bits of the digest, more of them for a source with more rows
     lead = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long")
     same = F.col("source").eqNullSafe(F.col("p_source"))
-    placed = rows.join(F.broadcast(plan.withColumnRenamed("source", "p_source")), same).drop("p_source").withColumn("lead", lead).withColumn("part", F.expr("shiftrightunsigned(lead, 32 - bits)"))
+    placed = rows.join(checked(plan), same).drop("p_source").withColumn("lead", lead).withColumn("part", F.expr("shiftrightunsigned(lead, 32 - bits)"))
     parts = placed.groupBy("source", "part").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(F.col("source").alias("q_source"), F.col("part").alias("q_part"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("begin"))
@@ -97,12 +102,12 @@ def take(df: DataFrame, mixed: DataFrame, key: str = "doc_id", text: str = "text
     size, epochs = F.col("size"), F.floor(F.floor(F.col("target") + F.lit(1e-6)) / F.col("source_size"))
     each = mixed.where(size > 0).select(F.col(source).cast("string").alias("__sw_source"), digest_of(F.col(key), size, seed).alias("digest"), epochs.alias("__sw_epochs"), (F.col("taken") - epochs * size).alias("extra"))
     ends = written(each.groupBy("__sw_source").agg(F.max("__sw_epochs").alias("__sw_epochs"), F.max(F.when(F.col("extra") > 0, F.col("digest"))).alias("__sw_end")), "ends")
-    at_end = each.drop("__sw_epochs").join(F.broadcast(ends.select(F.col("__sw_source").alias("s"), "__sw_end")), F.col("__sw_source").eqNullSafe(F.col("s")) & (F.col("digest") == F.col("__sw_end")))
+    at_end = each.drop("__sw_epochs").join(checked(ends).select(F.col("__sw_source").alias("s"), "__sw_end"), F.col("__sw_source").eqNullSafe(F.col("s")) & (F.col("digest") == F.col("__sw_end")))
     shares = at_end.groupBy("s").agg(F.floor(F.avg("extra")).alias("__sw_share"))
-    plan = written(ends.join(F.broadcast(shares), F.col("__sw_source").eqNullSafe(F.col("s")), "left").drop("s"), "plan")
+    plan = written(ends.join(checked(written(shares, "shares")), F.col("__sw_source").eqNullSafe(F.col("s")), "left").drop("s"), "plan")
     # words are counted once more: that is less than to shuffle the texts
     counted = df.withColumn("__sw_size", size_of(text)).withColumn("__sw_digest", digest_of(F.col(key), F.col("__sw_size"), seed))
-    both = counted.join(F.broadcast(plan), F.col(source).cast("string").eqNullSafe(F.col("__sw_source")), "left")
+    both = counted.join(checked(plan), F.col(source).cast("string").eqNullSafe(F.col("__sw_source")), "left")
     end, full = F.col("__sw_end"), F.coalesce(F.col("__sw_epochs"), F.lit(0))
     part = F.when(F.col("__sw_digest") == end, F.col("__sw_share"))
     times = F.when(F.col("__sw_size") == 0, 1).otherwise(full + F.when(F.col("__sw_digest") < end, 1).when(part > 0, 1).otherwise(0)).cast("int")
@@ -112,7 +117,10 @@ def take(df: DataFrame, mixed: DataFrame, key: str = "doc_id", text: str = "text
 
 
 def cut_words(df: DataFrame, text: str, words: str) -> DataFrame:
-    """``df`` without the column ``words``: where that isn't null, ``text`` ends after so many words."""
+    """``df`` without the column ``words``: where that isn't null, ``text`` ends after so many words.
+
+    Null texts stay null, repeated rows are each cut, texts of fewer words stay whole, and an empty table gives an empty one.
+    """
     names = [c for c in df.columns if c != words]
 
     def make():

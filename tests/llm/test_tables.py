@@ -131,10 +131,55 @@ def test_mix_is_the_sql(spark):
     assert difference(spark, queries.op8_mixing, queries.oracle_sql()["op8_mixing"]) == ""
 
 
-def test_targets():
-    assert mixing.targets([100, 100, 100], [3, 1, 2], 450) == [200, 250 / 3, 500 / 3]
-    assert mixing.targets([0, 10], [1, 1], 15) == [0.0, 15.0]
-    assert mixing.targets([], [], 0) == []
+def targets(sizes, weights, total, most=2.0):
+    """Budgets one source after the other: those that would be over their limit get it, and the others share what is left."""
+    out, open_, left = [0.0] * len(sizes), set(range(len(sizes))), float(total)
+    while open_:
+        per = left / sum(weights[i] for i in open_)
+        full = [i for i in open_ if per * weights[i] > most * sizes[i]]
+        if not full:
+            for i in open_:
+                out[i] = per * weights[i]
+            break
+        for i in full:
+            out[i] = most * sizes[i]
+            left -= out[i]
+            open_.remove(i)
+    return out
+
+
+@pytest.mark.parametrize(("sizes", "weights", "share"), [([100, 100, 100], (3, 1, 2), 1.5), ([0, 10], (1, 1), 1.5), ([], (3, 1, 2), 1.5), ([5, 1, 1, 1], (1, 9), 1.9), ([10, 20, 30], (1,), 3.0), ([7], (2,), 0.5)])
+def test_budgets(spark, sizes, weights, share):
+    rows = [(None if i == 1 else f"s{i}", n, 1) for i, n in enumerate(sizes)]
+    order = sorted(range(len(sizes)), key=lambda i: (i == 1, i))
+    sources = mixing.written(spark.createDataFrame(rows, "source string, s long, n long"), "sources")
+    got = {r["source"]: r["target"] for r in mixing.budgets(sources, weights, share, 2.0).collect()}
+    want = targets([sizes[i] for i in order], [weights[k % len(weights)] for k in range(len(order))], share * sum(sizes))
+    assert got == {rows[i][0]: pytest.approx(want[k]) for k, i in enumerate(order)}
+
+
+def test_many_sources_are_not_broadcast(spark, monkeypatch):
+    from scribewell.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 100)
+    rows = [(i, "w " * (1 + i * i % 50), f"source {i % 700}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix(df)
+    found = mixed.collect()
+    sizes = {}
+    for r in found:
+        sizes[r["source"]] = sizes.get(r["source"], 0) + r["size"]
+    names = sorted(sizes)
+    want = dict(zip(names, targets([sizes[s] for s in names], [(3, 1, 2)[k % 3] for k in range(len(names))], 1.5 * sum(sizes.values())), strict=True))
+    assert {r["source"]: r["target"] for r in found} == {k: pytest.approx(v) for k, v in want.items()}
+    taken = Counter()
+    for r in found:
+        taken[r["source"]] += r["taken"]
+    assert all(taken[s] == math.floor(want[s] + 1e-6) for s in names)
+    got = Counter()
+    for r in mixing.take(df, mixed).collect():
+        got[r["source"]] += len(r["text"].split())
+    assert got == taken
 
 
 def test_mix_of_the_table(spark, documents):
@@ -156,7 +201,7 @@ def test_mix_of_odd_rows(odd_documents, no_documents):
     assert {r["size"] for r in rows if r["doc_id"] in (3, 4, 5)} == {0}
     # the empty name comes first and weighs 3, then s0, s1, s2 and null
     sizes = {r["source"]: r["source_size"] for r in rows}
-    want = mixing.targets([sizes[s] for s in ("", "s0", "s1", "s2", None)], [3, 1, 2, 3, 1], 1.5 * sum(r["size"] for r in rows))
+    want = targets([sizes[s] for s in ("", "s0", "s1", "s2", None)], [3, 1, 2, 3, 1], 1.5 * sum(r["size"] for r in rows))
     got = {r["source"]: r["target"] for r in rows}
     assert [got[s] for s in ("", "s0", "s1", "s2", None)] == pytest.approx(want)
     assert mixing.mix(no_documents).count() == 0
@@ -631,3 +676,19 @@ def test_pipeline_is_its_stages_by_brute_force(spark, documents):
     assert got == want
     run = corpus_pipeline.run(spark, SF_DIR)
     assert run.columns == frames[4].columns and run.count() == frames[4].count()
+
+
+def test_stages_on_empty_tables_and_odd_rows(spark, odd_documents, no_documents):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, no_documents, SF_DIR)
+        assert none.count() == 0, name
+        some = stage(spark, odd_documents, SF_DIR)
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert some.columns == none.columns == corpus_pipeline.COLUMNS, name
+    kept = {name: [r["doc_id"] for r in stage(spark, odd_documents, SF_DIR).collect()] for name, stage in corpus_pipeline.STAGES}
+    # without a letter there is no language; texts without words are copies; all rows go through the scan
+    assert not {3, 4, 5, 7} & set(kept["language_id"])
+    assert sorted(kept["simhash_near_dedup"], key=str) == sorted([1, 3, 6, 7, 8, 9, None], key=str)
+    assert len(kept["secret_scan"]) == 11 and set(kept["best_fit_packing"]) == {1, 2, 3, 4, 5, 6, 7, 8, 9, None}
