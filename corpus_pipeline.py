@@ -13,7 +13,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is determined; those without letters and with narrow margins go."""
+    """Documents whose language is determined; those without letters and with narrow margins go, so null and blank texts too.
+
+    Of repeated rows all go or stay; without labelled rows there is no language to find, and all go; an empty table gives an empty one; columns beside COLUMNS go.
+    """
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
     return langid.identify(docs.select(*COLUMNS), model).where(~F.col("rejected")).select(*COLUMNS)
 
@@ -21,25 +24,29 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near copies.
 
-    Groups are linked by fingerprints of two differing bits or fewer, and by five-word shingles of similarity 0.8 or more.
+    Groups are linked by fingerprints of two differing bits or fewer, and by five-word shingles of similarity 0.8 or more. Texts without words are
+    copies of each other; of repeated rows one stays; an empty table gives an empty one; columns beside COLUMNS go.
     """
     return simhash.keep_one(docs.select(*COLUMNS), similar=(5, 0.8))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with what was found in their texts masked."""
+    """All documents, with what was found in their texts masked. Null texts stay null, repeated rows are masked each, and an empty table gives an empty one; columns beside COLUMNS go."""
     found = secrets.update(docs, secrets.new_ledger(spark))
     return secrets.mask(docs.select(*COLUMNS), found).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's budget takes them; the one in which a budget ends is cut."""
+    """Documents as often as their source's budget takes them; the one in which a budget ends is cut.
+
+    Rows without words, null texts among them, stay once; null is a source of its own; repeated rows share a budget that ends in them; an empty table gives an empty one; columns beside COLUMNS go.
+    """
     mixed = written(mixing.mix(docs), "mixed")
     return mixing.take(docs.select(*COLUMNS), mixed).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequence and place."""
+    """Pieces of documents with their sequence and place. A null text is the empty one, whose piece is the end id alone; repeated rows are packed each; an empty table gives an empty one."""
     return packing.pack_documents(docs, tokenizer_path())
 
 
