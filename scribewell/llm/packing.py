@@ -94,7 +94,8 @@ def pack(pieces: DataFrame, n: int, capacity: int, most_documents: int, attentio
     """``pieces`` (columns of :func:`token_pieces`, ``n`` rows) with sequence_id and offset.
 
     Rows are dealt round robin into groups of about ``group`` pieces, each packed by one task; hot
-    keys don't matter, as no key deals the rows.
+    keys don't matter, as no key deals the rows. Null and repeated keys are pieces like any other; no pieces give an empty table; further columns go through,
+    but none called sequence_id or offset.
     """
     parts = max(1, -(-n // group))
     schema = pieces.schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", sequence_id long, offset long"

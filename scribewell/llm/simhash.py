@@ -541,6 +541,7 @@ def copies(rows: DataFrame, df: DataFrame, key: str, text: str, words: int, simi
     Texts are dealt to tasks by anchors, and a group is joined by the binary trie with the budget of bits that
     the similarity asks for; sketches make candidates of the pairs within it. Of each group the pairs of a spanning forest are held to
     their exact similarity. Where one fails, others may still connect its texts: such groups are gone through once more, now by their texts' whole sets.
+    Null, empty and blank texts have no shingles and are one class; repeated rows are too; empty tables give no links; further columns of ``df``, whatever their names, are not read.
     """
     angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     budget = int(BITS * angle + SLACK * np.sqrt(BITS * angle * (1 - angle)))
