@@ -104,13 +104,14 @@ class Order:
             from_, held = at, held + n
         #: Whether all frequent words are listed, so that others aren't frequent.
         self.complete = len(sizes) == 0 or (from_ is not None and from_ == sizes[-1][0])
-        rows = frequent.where(step >= from_).collect() if from_ is not None else []
-        rows.sort(key=lambda r: (-r["n"], r["lang"], r["word"]))
+        top = frequent.where(step >= from_) if from_ is not None else frequent.limit(0)
+        # columns, not rows: the list is all that the driver holds of the words
+        rows = top.select("lang", "word", "n").toArrow().sort_by([("n", "descending"), ("lang", "ascending"), ("word", "ascending")])
         self.ids: dict[str, dict[bytes, int]] = {}
-        for k, r in enumerate(rows):
-            self.ids.setdefault(r["lang"], {})[r["word"].encode()] = k
+        for k, (lang, word) in enumerate(zip(rows["lang"].to_pylist(), rows["word"].cast(pa.binary()).to_pylist(), strict=True)):
+            self.ids.setdefault(lang, {})[word] = k
         #: How often the listed words are there.
-        self.counts = np.array([r["n"] for r in rows], np.int64)
+        self.counts = rows["n"].to_numpy().astype(np.int64)
         if not self.complete:
             hashed = words.withColumn("id", tail_column())
             clash = written(hashed.groupBy("id").agg(F.count("*").alias("k"), F.max("n").alias("m")).where((F.col("k") > 1) & (F.col("m") >= least)).select("id"), "clashes")
