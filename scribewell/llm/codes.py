@@ -122,7 +122,7 @@ def compress(df: DataFrame, key: str = "vec_id", vector: str = "embedding", labe
     width = max(1, -(-longest // parts))
     filled = F.concat("ints", F.array_repeat(F.lit(0), F.lit(parts * width) - F.size("ints")))
     cut = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda p: F.slice("filled", p * width + 1, width))).alias("pos", "part")
-    exploded = rows.withColumn("filled", filled).select("row", "key", "label", cut)
+    exploded = rows.withColumn("filled", filled).select("row", cut)
     # copies are added up in each task before they are shuffled
     distinct = written(exploded.groupBy("pos", "part").agg(F.count("*").alias("n")), "distinct_parts")
     first = rows.withColumn("filled", filled).orderBy(F.asc_nulls_last("key"), "filled").limit(entries).select("filled").collect()
@@ -133,11 +133,12 @@ def compress(df: DataFrame, key: str = "vec_id", vector: str = "embedding", labe
     is_hot = F.col("n") >= max(2, int(total * HOT_SHARE))
     hot = F.broadcast(coded.where(is_hot).drop("n"))
     cold = coded.where(~is_hot).drop("n")
-    names = ["row", "key", "label", "pos", "code", "apart"]
+    names = ["row", "pos", "code", "apart"]
     looked = exploded.join(hot, ["pos", "part"], "left")
     back = looked.where(F.col("code").isNotNull()).select(*names).unionByName(exploded.join(hot, ["pos", "part"], "left_anti").join(cold, ["pos", "part"]).select(*names))
     digits = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "code"))), lambda x: F.lpad(F.lower(F.hex(x["code"])), 2, "0")), "")
-    done = written(back.groupBy("row", "key", "label").agg(digits.alias("code"), F.sum("apart").alias("error")), "codes")
+    by_row = back.groupBy("row").agg(digits.alias("code"), F.sum("apart").alias("error"))
+    done = written(by_row.join(rows.select("row", "key", "label"), "row"), "codes")
     by_label = written(done.groupBy("label").agg(F.sum("error").alias("label_error")).withColumnRenamed("label", "of"), "label_errors")
     both = done.join(checked(by_label), F.col("label").eqNullSafe(F.col("of")))
     return both.select(F.col("key").alias(key), "code", "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256"))
