@@ -97,12 +97,16 @@ def doc_translate_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.table(spark, sf_dir, "documents").select("doc_id", distill.translate_prompt(chosen, F.col("text")).alias("prompt"))
 
 
+#: Pages without content and without an article, after the given ones.
+_BARE = "(VALUES (-1, NULL), (-2, ''), (-3, '<p>x</p>')) AS t(page_id, html)"
+
+
 def doc_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages, with some whose content is missing, and a provider for two of three."""
-    pages = tables.table(spark, sf_dir, "pages")
-    html = F.when(F.col("page_id") % 7 == 0, F.lit(None)).when(F.col("page_id") % 7 == 1, "").when(F.col("page_id") % 7 == 2, "<p>x</p>").otherwise(F.col("html"))
-    at = distill.status(html, F.col("page_id") % 3 != 0)
-    return pages.select("page_id", at.alias("status"), distill.failure_text(at).alias("shown"))
+    """All pages and three bare ones, for readers with a provider and without one."""
+    pages = tables.table(spark, sf_dir, "pages").select("page_id", "html").unionByName(rows(spark, _BARE))
+    read = pages.select("page_id", distill.status(F.col("html"), F.lit(True)).alias("with_provider"), distill.status(F.col("html"), F.lit(False)).alias("without"))
+    each = read.select("page_id", F.explode(F.array(F.struct(F.lit(True).alias("provider"), F.col("with_provider").alias("status")), F.struct(F.lit(False).alias("provider"), F.col("without").alias("status")))).alias("x"))
+    return each.select("page_id", "x.provider", "x.status", distill.failure_text(F.col("x.status")).alias("shown"))
 
 
 def doc_head40(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -586,14 +590,16 @@ def oracle_sql() -> dict[str, str]:
         "doc_titled": f"SELECT page_id, '# [' || title || '](' || url || ')' || chr(10) || chr(10) || body AS text FROM {_DISTILLED}",
         "doc_prompt": f"SELECT page_id, {_text(distill.PROMPT)} || body AS prompt FROM {_DISTILLED}",
         "doc_translate_prompt": f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN {_text(distill.TRANSLATE)} || text END AS prompt FROM documents",
-        "doc_status": f"""WITH p AS (SELECT page_id, CASE page_id % 7 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '<p>x</p>' ELSE html END AS html FROM pages),
-            s AS (SELECT page_id, CASE WHEN html IS NULL OR html = '' THEN 'no_content' WHEN {_ARTICLE} = '' THEN 'no_article' WHEN page_id % 3 = 0 THEN 'no_provider' ELSE 'ok' END AS status FROM p)
-            SELECT page_id, status, CASE WHEN status <> 'ok' THEN 'Failed to summarize: ' || status END AS shown FROM s""",
+        "doc_status": f"""WITH p AS (SELECT page_id, html FROM pages UNION ALL SELECT * FROM {_BARE}),
+            s AS (SELECT page_id, provider, CASE WHEN coalesce(html, '') = '' THEN 'no_content' WHEN {_ARTICLE} = '' THEN 'no_article' WHEN NOT provider THEN 'no_provider' ELSE 'ok' END AS status FROM p, (VALUES (true), (false)) AS r(provider))
+            SELECT page_id, provider, status, CASE WHEN status <> 'ok' THEN 'Failed to summarize: ' || status END AS shown FROM s""",
         "doc_head40": f"SELECT doc_id, {_duck_head('text')} AS head FROM documents",
         "doc_summaries": f"SELECT page_id, {_SUMMARY} AS answer, 'stub' AS backend, 'ok' AS status FROM {_DISTILLED}",
         # the stub that translates answers with the first line of the summary that it is given
         "doc_summarized": f"SELECT page_id, '# [' || title || '](' || url || ')' || chr(10) || chr(10) || CASE WHEN page_id % 3 = 0 THEN '[stub summary] ' || left({_SUMMARY}, 80) ELSE {_SUMMARY} END AS text, 'ok' AS status FROM {_DISTILLED}",
         "doc_capabilities": "SELECT page_id, reader, available, backend FROM pages, (VALUES ('readily', 'readily', 'stub'), ('after-download', 'after-download', 'stub'), ('no', 'no', NULL), ('second', 'readily', 'stub'), ('none', 'no', NULL)) AS r(reader, available, backend)",
+        # the stub says how many samples it was given, and only the second backend answers
+        "audio_transcribed": f"SELECT label AS stream_id, '[stub transcribe ru: ' || least({N}, sum(len(embedding))) || ' samples]' AS transcript, 'wasm' AS backend, 'ok' AS status FROM embeddings GROUP BY label",
         "audio_decoded": "SELECT label AS stream_id, list_transform(flatten(list(embedding ORDER BY vec_id)), lambda x: (round_even(x::DOUBLE * 32768, 0) / 32768)::FLOAT) AS samples FROM embeddings GROUP BY label",
         "locale_default": "SELECT doc_id, CASE WHEN starts_with(lang, 'ja') THEN 'japanese' ELSE 'english' END AS language FROM documents",
         "doc_language_names": "SELECT d.lang, array_to_string(list_transform(string_split(l.name, '/'), lambda p: upper(p[1]) || p[2:]), '/') AS display, count(*) AS n FROM documents d LEFT JOIN (VALUES "

@@ -55,8 +55,12 @@ def message_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages(event_stream(spark, sf_dir)).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there now; what it gave, with the number of the batch, as a table in the shared folder."""
+#: Partitions of keyed state, each a state store and a worker: fixed for a stream's life, so chosen for it and not by the session.
+PARTITIONS = 8
+
+
+def drained(stream: DataFrame, mode: str = "append", partitions: int = PARTITIONS) -> DataFrame:
+    """Runs a stream over all that is there now, with its keyed state in ``partitions``; what it gave, with the number of the batch, as a table in the shared folder."""
     spark = stream.sparkSession
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     out = f"{base}/rows"
@@ -65,7 +69,14 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
         # a folder for each batch, so that a batch that is done again replaces itself
         rows.withColumn("batch_id", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{out}/b={batch}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(put).start()
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(partitions))
+    try:
+        # the stream takes the session's settings as they are when it starts
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(put).start()
+    finally:
+        spark.conf.set(name, before)
     query.awaitTermination()
     schema = stream.withColumn("batch_id", F.lit(0).cast("long")).schema
     # no batch ran where nothing was there; a failure to read is an error
