@@ -166,3 +166,18 @@ def test_own_batches(spark):
     for name in ("stream_recorded_windows", "stream_shed_windows"):
         n = con.execute(f"SELECT count(*) FROM ({SQL[name]})").fetchone()[0]
         assert plain(n) > 20
+
+
+def test_recorders_of_a_bucket_keep_apart(spark):
+    """Streams that share a bucket's state, null and large ones too, give what each gives by itself; what is idle leaves the state."""
+    streams_, shape = [1, 2, None, 2**60 + 1, 0], "seq long, kind string, value struct<a:bigint>, samples array<float>"
+    rows = []
+    for n, s in enumerate(streams_):
+        rows += [(0, s, 0, 10 * n, "start", None, None), (0, s, 1, 10 * n + 1, "setting", (n,), None), (1, s, 2, 10 * n + 2, "chunk", None, [float(n)] * 3), (2, s, 3, 10 * n + 3, "chunk", None, [0.5] * 2)]
+    rows += [(3, 1, 60, 90, "start", None, None), (4, 1, 120, 91, "chunk", None, [7.0])]
+    want = {(s, 10 * n + 2, 1, (n,), 10 * n + 2, (float(n),) * 3) for n, s in enumerate(streams_)} | {(s, 10 * n + 3, 1, (n,), 10 * n + 2, (float(n),) * 2 + (0.5,) * 2) for n, s in enumerate(streams_)}
+    for buckets in (1, 4096):
+        found, held = run(processors.recorded_windows(stream_of(spark, rows, shape, 5), 4, idle_ms=24 * 3_600_000, buckets=buckets))
+        assert {(r["stream_id"], r["seq"], r["session"], tuple(r["setting"]), r["oldest"], tuple(r["samples"])) for r in found} == want
+        # the bucket of null streams stands by itself; what came back after the pause had been forgotten, so it doesn't record
+        assert held[0] == (2 if buckets == 1 else 5) and held[-1] <= 1
