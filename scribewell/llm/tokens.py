@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,8 @@ BYTE_LEVEL = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not
 CALL_BYTES = 1 << 16
 #: A worker remembers words of up to so many characters, and so many of them.
 WORD_CHARS, REMEMBERED = 40, 300_000
+#: And so many runs of letters, which come with various punctuation.
+RUNS = 500_000
 #: UTF-8 bytes of the texts whose words are handled together.
 GROUP_BYTES = 1 << 22
 
@@ -85,7 +87,8 @@ class TextEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[str, int] = {}
-        self.marks: dict[str, list[int]] = {}
+        self.marks: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
         self.ids, self.ends = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
 
     def whole(self, text: str) -> np.ndarray:
@@ -101,18 +104,20 @@ class TextEncoder:
         """
         found: list = [None] * len(words)
         others = []
-        bpe, marks = self.tokenizer.model.tokenize, self.marks
+        bpe, marks, runs, latin = self.tokenizer.model.tokenize, self.marks, self.runs, LATIN.fullmatch
         for i, word in enumerate(words):
-            if m := LATIN.fullmatch(word):
+            if m := latin(word):
                 letters, mark = m.groups()
-                if not letters.isascii():
-                    letters = letters.encode().decode("latin-1").translate(BYTE_LEVEL)
-                ids = [t.id for t in bpe("\u0120" + letters)]
+                if (ids := runs.get(letters)) is None:
+                    plain = letters if letters.isascii() else letters.encode().decode("latin-1").translate(BYTE_LEVEL)
+                    ids = array("I", [t.id for t in bpe("\u0120" + plain)]).tobytes()
+                    if len(letters) <= WORD_CHARS and len(runs) < RUNS:
+                        runs[letters] = ids
                 if mark:
                     if mark not in marks:
                         if len(marks) > 4096:
                             marks.clear()
-                        marks[mark] = [t.id for t in bpe(mark)]
+                        marks[mark] = array("I", [t.id for t in bpe(mark)]).tobytes()
                     ids += marks[mark]
                 found[i] = ids
             else:
@@ -120,13 +125,13 @@ class TextEncoder:
         at = 0
         for group in balanced([words[i] for i in others]):
             e = self.tokenizer.encode(" " + " ".join(group), add_special_tokens=False)
-            ids, starts = e.ids, np.fromiter((a for a, _ in e.offsets), np.int64, len(e))
+            ids, starts = array("I", e.ids).tobytes(), np.fromiter((a for a, _ in e.offsets), np.int64, len(e))
             cuts = np.searchsorted(starts, np.cumsum(np.fromiter(map(len, group), np.int64, len(group)) + 1)).tolist()
             for a, b in zip([0, *cuts], cuts, strict=False):
-                found[others[at]] = ids[a:b]
+                found[others[at]] = ids[4 * a : 4 * b]
                 at += 1
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), np.cumsum(sizes)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        return np.frombuffer(b"".join(found), np.uint32), np.cumsum(sizes)
 
     def _table(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of known and of new words in one array, and where those of each of ``words`` start and how many they are."""
@@ -159,7 +164,7 @@ class TextEncoder:
         offsets = split.offsets.to_numpy().astype(np.int64)
         offsets -= offsets[0]
         coded = split.flatten().dictionary_encode()
-        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        words, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         first = np.zeros(len(index), bool)
         first[offsets[:-1]] = True
         # a space beside other white space, or at an end of the text, is no safe boundary

@@ -370,3 +370,12 @@ def test_smoothing_and_clusters():
     ratios = np.array([0, 0, 0, 40, 0, 50, 60, 0, 0, 0, 0, 0], float)
     assert html.clusters(ratios) == [(3, 8)]
     assert abs(html.smoothed(np.ones(9))[4] - 1) < 1e-12
+
+
+def test_letters_with_other_punctuation_are_encoded_once():
+    encoder = tokens.TextEncoder(PATH)
+    texts = ["x alpha alpha, alpha; «alpha» übergroß übergroß!! alpha", "y alpha? übergroß.", None, ""]
+    got = encoder.encode(pa.array(texts))
+    assert set(encoder.runs) == {"alpha", "übergroß"}
+    assert [x.tolist() for x in got] == [encoder.tokenizer.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert encoder.encode(pa.array(texts), ids=False) == [len(x) for x in got]
