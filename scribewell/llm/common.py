@@ -9,10 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scribewell.sources.scratch import shared_folder
+from scribewell.sources.scratch import shared_folder, small_batches
 
-#: Rows and bytes of an Arrow batch that goes to Python; a text that is longer than that comes alone.
-BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 #: A key is hot from this share of all rows on, so that there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 1 / 400
 #: Ways that a hot key is dealt out.
@@ -43,19 +41,6 @@ def forget(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
-    """Bounds the rows and bytes of the Arrow batches that this session sends to Python.
-
-    Plans read these settings when they run, which is after an operator has returned, so they stay; smaller ones are left alone.
-    """
-    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
-        name = f"spark.sql.execution.arrow.{name}"
-        # the default has a unit: "256MB"
-        now = spark.conf.get(name)
-        if not now.isdigit() or not 0 < int(now) <= most:
-            spark.conf.set(name, str(most))
-
-
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
     """``mapInArrow`` with a function of one batch; ``make`` runs once in each task and holds its state.
 

@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 
 from scribewell.operators.audio import RATE
 from scribewell.operators.segments import running_sum, segmented
+from scribewell.sources.scratch import small_batches
 
 #: Frames of a block, and zero crossings of the filter to each side.
 BLOCK, CROSSINGS = 1 << 16, 16
+#: Samples that are filtered at once: each needs some 100 taps in several arrays.
+AT_ONCE = 2048
 #: Sample formats of a WAV file's header; the last says that the format stands further on.
 INTEGER, FLOAT, EXTENDED = 1, 3, 0xFFFE
 HEADER = "offset int, format int, channels int, rate int, bits int"
@@ -80,18 +83,23 @@ def resampled(samples: np.ndarray, first: int, begin: int, end: int, rate: int,
     """
     if rate == to:
         return samples[begin - first : end - first]
-    out = np.arange(-(-begin * to // rate), -(-end * to // rate))
+    low, high = -(-begin * to // rate), -(-end * to // rate)
     cut, side = min(1.0, to / rate), reach(rate, to)
-    # exact in integers, so that every block places a sample at the same time
-    whole, rest = out * rate // to, (out * rate % to) / to
     offsets = np.arange(1 - side, side + 1)
-    padded = np.pad(samples, (max(0, first - begin + 2 * side), 2 * side))
-    at = whole[:, None] + offsets[None] - first + max(0, first - begin + 2 * side)
-    time = offsets[None] - rest[:, None]
-    window = np.cos(np.pi / 2 * np.clip(time / side, -1, 1)) ** 2
-    taps = cut * np.sinc(cut * time) * window
-    taps /= taps.sum(axis=1, keepdims=True)
-    return (padded[np.clip(at, 0, len(padded) - 1)] * taps).sum(axis=1)
+    before = max(0, first - begin + 2 * side)
+    padded = np.pad(samples, (before, 2 * side))
+    parts = [np.zeros(0)]
+    for a in range(low, high, AT_ONCE):
+        out = np.arange(a, min(a + AT_ONCE, high))
+        # exact in integers, so that every block places a sample at the same time
+        whole, rest = out * rate // to, (out * rate % to) / to
+        at = whole[:, None] + offsets[None] - first + before
+        time = offsets[None] - rest[:, None]
+        window = np.cos(np.pi / 2 * np.clip(time / side, -1, 1)) ** 2
+        taps = cut * np.sinc(cut * time) * window
+        taps /= taps.sum(axis=1, keepdims=True)
+        parts.append((padded[np.clip(at, 0, len(padded) - 1)] * taps).sum(axis=1))
+    return np.concatenate(parts)
 
 
 def samples_of(chunks: DataFrame, to: int = RATE, block: int = BLOCK) -> DataFrame:
@@ -120,14 +128,18 @@ def samples_of(chunks: DataFrame, to: int = RATE, block: int = BLOCK) -> DataFra
 
     @F.arrow_udf("array<float>")
     def run(number: pa.Array, kind: pa.Array, channels: pa.Array, rate: pa.Array, bits: pa.Array, parts: pa.Array) -> pa.Array:
-        out = []
-        for k, f, c, r, b, own in zip(*[x.to_pylist() for x in (number, kind, channels, rate, bits, parts)], strict=True):
+        out = [np.zeros(0, np.float32)]
+        # a block's bytes leave Arrow when it is its turn
+        for k, f, c, r, b, one in zip(*[x.to_pylist() for x in (number, kind, channels, rate, bits)], parts, strict=True):
+            own = one.as_py()
             samples = decoded(b"".join(p["bytes"] for p in own), f, c, b)
             start = own[0]["low"] // (c * b // 8)
             stop = min((k + 1) * block, start + len(samples))
-            out.append(resampled(samples, start, k * block, stop, r, to).astype(np.float32) if stop > k * block else [])
-        return pa.array(out, pa.list_(pa.float32()))
+            out.append(resampled(samples, start, k * block, stop, r, to).astype(np.float32) if stop > k * block else out[0])
+        ends = np.cumsum([len(x) for x in out], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out)))
 
+    small_batches(chunks.sparkSession)
     samples = run(F.col("block"), F.col("format"), F.col("channels"), F.col("rate"), F.col("bits"), F.col("parts"))
     return whole.select("stream_id", F.col("block").alias("seq"), samples.alias("samples")).where(F.size("samples") > 0)
 
@@ -138,7 +150,7 @@ def wav_chunks(chunks: DataFrame, rate: int) -> DataFrame:
 
     @F.arrow_udf("binary")
     def run(samples: pa.Array, begins: pa.Array) -> pa.Array:
-        encoded = [None if x is None else (np.clip(np.asarray(x, np.float64), -1, 32767 / 32768) * 32768).round().astype("<i2").tobytes() for x in samples.to_pylist()]
+        encoded = [(np.clip(np.asarray(x.values, np.float64), -1, 32767 / 32768) * 32768).round().astype("<i2").tobytes() if x.is_valid else None for x in samples]
         return pa.array([x if x is None or not b else head + x for x, b in zip(encoded, begins.to_pylist(), strict=True)], pa.binary())
 
     first = chunks.where(F.size("samples") > 0).groupBy("stream_id").agg(F.min("seq").alias("first"))

@@ -1,6 +1,7 @@
 """WAV chunks to samples of one rate: sines, all formats, and any chunk borders."""
 
 import io
+import tracemalloc
 import wave
 
 import numpy as np
@@ -97,3 +98,16 @@ def test_odd_chunks(spark):
     own = {r["stream_id"]: [round(x, 3) for x in r["samples"]] for r in pcm.samples_of(df).collect()}
     assert own == {2: [0.5, 0.25]}
     assert pcm.samples_of(df.where("false")).count() == 0
+
+
+def test_a_block_needs_little_memory_beside_its_samples():
+    samples = np.random.default_rng(1).uniform(-1, 1, pcm.BLOCK)
+    tracemalloc.start()
+    out = pcm.resampled(samples, 0, 0, pcm.BLOCK, 48_000, 16_000)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(out) == 21_846 and most < 24 << 20
+    # slices begin anywhere and change nothing
+    halves = [pcm.resampled(samples, 0, a, b, 48_000, 16_000) for a, b in ((0, 3 * 5001), (3 * 5001, pcm.BLOCK))]
+    assert (np.concatenate(halves) == out).all()
+    assert len(pcm.resampled(samples, 0, 1, 2, 48_000, 16_000)) == 0
