@@ -303,3 +303,8 @@ def test_values_as_they_are_shown(spark):
     }
     rows = spark.createDataFrame([(k,) for k in cases], "json string").select("json", web.rendered(F.col("json")).alias("shown")).collect()
     assert {r["json"]: r["shown"] for r in rows} == cases
+
+
+def test_references_need_no_semicolon(spark):
+    """As HTML has it: a headline that is cut off inside an escaped sign."""
+    assert markdown_of(spark, "<h1>this and&amp</h1><p>a &lt b &copy c &amp;amp &am") == ["# this and&\n\na < b © c &amp &am"]
