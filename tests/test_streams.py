@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from scribewell.operators import providers
 from scribewell.plans import table_queries
 from scribewell.sources import tables
 from scribewell.streaming import processors, streams
@@ -181,3 +182,18 @@ def test_recorders_of_a_bucket_keep_apart(spark):
         assert {(r["stream_id"], r["seq"], r["session"], tuple(r["setting"]), r["oldest"], tuple(r["samples"])) for r in found} == want
         # the bucket of null streams stands by itself; what came back after the pause had been forgotten, so it doesn't record
         assert held[0] == (2 if buckets == 1 else 5) and held[-1] <= 1
+
+
+def many_streams(spark, batches):
+    """Three hundred streams, each with a start and two chunks."""
+    rows = [(b, s, b, 10 * s + b, kind, None, samples) for s in range(300) for b, kind, samples in ((0, "start", None), (1, "chunk", [1.0] * (s % 5 + 1)), (2, "chunk", [2.0] * 2))]
+    return stream_of(spark, rows, "seq long, kind string, value long, samples array<float>", batches)
+
+
+def test_transcripts_of_many_streams_have_a_state_for_each_bucket(spark):
+    windows = processors.recorded_windows(many_streams(spark, 3), 4, buckets=8)
+    asked = windows.withColumn("language", F.lit("ru")).withColumn("task", F.lit("transcribe"))
+    found, held = run(providers.transcribed(asked, [providers.StubTranscriber], also=("seq", "session")))
+    sizes = {(s, 10 * s + b): min(s % 5 + n, 4) for s in range(300) for b, n in ((1, 1), (2, 3))}
+    assert len(found) == 600 and {(r["stream_id"], r["seq"]): r["outputs"] for r in found} == {k: [f"[stub transcribe ru: {n} samples]"] for k, n in sizes.items()}
+    assert max(held) <= 8
