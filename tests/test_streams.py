@@ -197,3 +197,9 @@ def test_transcripts_of_many_streams_have_a_state_for_each_bucket(spark):
     sizes = {(s, 10 * s + b): min(s % 5 + n, 4) for s in range(300) for b, n in ((1, 1), (2, 3))}
     assert len(found) == 600 and {(r["stream_id"], r["seq"]): r["outputs"] for r in found} == {k: [f"[stub transcribe ru: {n} samples]"] for k, n in sizes.items()}
     assert max(held) <= 8
+
+
+def test_shed_windows_of_many_streams_have_a_state_for_each_bucket(spark):
+    found, held = run(processors.recorded_windows(many_streams(spark, 1), 4, newest_only=True, buckets=8))
+    assert sorted((r["stream_id"], r["seq"], len(r["samples"]), r["n_waiting"]) for r in found) == [(s, 10 * s + 2, min(s % 5 + 3, 4), 2) for s in range(300)]
+    assert max(held) <= 8
