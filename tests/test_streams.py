@@ -203,3 +203,30 @@ def test_shed_windows_of_many_streams_have_a_state_for_each_bucket(spark):
     found, held = run(processors.recorded_windows(many_streams(spark, 1), 4, newest_only=True, buckets=8))
     assert sorted((r["stream_id"], r["seq"], len(r["samples"]), r["n_waiting"]) for r in found) == [(s, 10 * s + 2, min(s % 5 + 3, 4), 2) for s in range(300)]
     assert max(held) <= 8
+
+
+def test_every_window_has_a_place_in_its_part(spark):
+    """Parts that share a batch are told apart, none of their windows is lost, and the newest of each are those that shedding leaves."""
+    rows = [(0, s, 0, 100 * s, "start", None, None) for s in (1, 2)]
+    # hours 1 to 3 are part 0, hours 11 and 12 part 1, and hour 21 part 2; the first two parts are one batch
+    rows += [(h // 20, s, h, 100 * s + h, "chunk", None, [float(h)] * 2) for s in (1, 2) for h in (1, 2, 3, 11, 12, 21)]
+    part = F.hour("ts") / 10
+    found, _ = run(processors.recorded_windows(stream_of(spark, rows, "seq long, kind string, value long, samples array<float>", 2), 3, part=part))
+    want = {1: (3, 3), 2: (3, 2), 3: (3, 1), 11: (2, 2), 12: (2, 1), 21: (1, 1)}
+    assert sorted((r["seq"], r["n_waiting"], r["place"]) for r in found) == [(100 * s + h, *x) for s in (1, 2) for h, x in want.items()]
+    assert {(r["seq"], tuple(r["samples"])) for r in found if r["stream_id"] == 1} == {(101, (1.0, 1.0)), (102, (1.0, 2.0, 2.0)), (103, (2.0, 3.0, 3.0)), (111, (3.0, 11.0, 11.0)), (112, (11.0, 12.0, 12.0)), (121, (12.0, 21.0, 21.0))}
+    newest, _ = run(processors.recorded_windows(stream_of(spark, rows, "seq long, kind string, value long, samples array<float>", 2), 3, newest_only=True, part=part))
+    assert sorted((r["seq"], r["n_waiting"], r["place"], r["samples"][-1]) for r in newest) == [(100 * s + h, n, 1, h) for s in (1, 2) for h, n in ((3, 3), (12, 2), (21, 1))]
+
+
+def test_shed_windows_are_all_there_over_many_weeks(spark, tmp_path):
+    """Thirty weeks, which are more than the batches: the rows are the SQL's, and as many as there are windows."""
+    events = tables.table(spark, SF_DIR, "events")
+    begin = F.lit("2024-01-01").cast("timestamp")
+    micros = F.unix_micros(begin) + (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(begin)) * 7
+    events.withColumn("ts", F.timestamp_micros(micros).cast("timestamp_ntz")).write.parquet(str(tmp_path / "events.parquet"))
+    query, con = table_queries.queries()["stream_shed_windows"], connect(str(tmp_path))
+    assert con.execute("SELECT count(DISTINCT date_trunc('week', ts)) FROM events").fetchone()[0] > 20
+    assert difference(spark, query, SQL["stream_shed_windows"], str(tmp_path)) == ""
+    windows = con.execute(f"SELECT seq FROM ({SQL['stream_recorded_windows']})").fetchall()
+    assert sorted(r["seq"] for r in query(spark, str(tmp_path)).collect()) == sorted(x for x, in windows)
